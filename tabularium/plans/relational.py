@@ -36,7 +36,7 @@ def _(t: Tables):
 
 @query(
     "s20_star_measures",
-    """SELECT year(l_shipdate) AS year, count(*) AS row_count, count(DISTINCT l_orderkey) AS distinct_orders,
+    """SELECT year(l_shipdate)::INTEGER AS year, count(*) AS row_count, count(DISTINCT l_orderkey) AS distinct_orders,
     avg(l_extendedprice) AS avg_price, var_pop(l_discount) AS var_discount, sum(l_quantity) AS total_quantity
     FROM lineitem GROUP BY 1""",
     floats="avg_price var_discount total_quantity",
