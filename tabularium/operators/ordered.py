@@ -76,33 +76,33 @@ class Ordered:
         if self.hot is None:
             return self._finish([cold], list(added))
         local = self._spec(*self.keys, _RANGE)
-        rows = self.hot.withColumn("__rn", F.row_number().over(local).cast("long"))
+        rows = self.hot.withColumn("__o_rn", F.row_number().over(local).cast("long"))
         by_key = Window.partitionBy(*[col(k) for k in self.keys]).orderBy(_RANGE)
         spans = (
             self.hot.groupBy(*self.keys, _RANGE)
-            .agg(F.count(F.lit(1)).alias("__n"))
-            .withColumn("__start", F.sum("__n").over(by_key) - F.col("__n"))
+            .agg(F.count(F.lit(1)).alias("__o_n"))
+            .withColumn("__o_start", F.sum("__o_n").over(by_key) - F.col("__o_n"))
         )
         # one entry per range: bounded by rows / max_rows
-        spans = spans.withColumn("__end", F.col("__start") + F.col("__n"))
+        spans = spans.withColumn("__o_end", F.col("__o_start") + F.col("__o_n"))
         rows = self._null_safe(rows, spans, [*self.keys, _RANGE])
-        pos = F.col("__start") + F.col("__rn")
-        edge = (F.col("__rn") > F.col("__n") - preceding) | (F.col("__rn") <= following)
-        lists = spans.groupBy(*self.keys).agg(F.collect_list(F.struct(_RANGE, "__start", "__end")).alias("__spans"))
-        halo = self._null_safe(rows.filter(edge).withColumn("__pos", pos), lists, self.keys)
+        pos = F.col("__o_start") + F.col("__o_rn")
+        edge = (F.col("__o_rn") > F.col("__o_n") - preceding) | (F.col("__o_rn") <= following)
+        lists = spans.groupBy(*self.keys).agg(F.collect_list(F.struct(_RANGE, "__o_start", "__o_end")).alias("__o_spans"))
+        halo = self._null_safe(rows.filter(edge).withColumn("__o_pos", pos), lists, self.keys)
         halo = halo.withColumn(
-            "__to",
+            "__o_to",
             F.explode(
                 F.expr(
-                    f"transform(filter(__spans, s -> (s.__start >= __pos and s.__start < __pos + {preceding})"
-                    f" or (s.__end < __pos and s.__end >= __pos - {following})), s -> s.{_RANGE})"
+                    f"transform(filter(__o_spans, s -> (s.__o_start >= __o_pos and s.__o_start < __o_pos + {preceding})"
+                    f" or (s.__o_end < __o_pos and s.__o_end >= __o_pos - {following})), s -> s.{_RANGE})"
                 )
             ),
         )
         base = [*self.df.columns]
-        own = rows.select(*[col(c) for c in base], col(_RANGE), F.lit(False).alias("__halo"))
-        halo = halo.select(*[col(c) for c in base], F.col("__to").alias(_RANGE), F.lit(True).alias("__halo"))
-        hot = own.unionByName(halo).withColumns(build(local)).filter(~F.col("__halo"))
+        own = rows.select(*[col(c) for c in base], col(_RANGE), F.lit(False).alias("__o_halo"))
+        halo = halo.select(*[col(c) for c in base], F.col("__o_to").alias(_RANGE), F.lit(True).alias("__o_halo"))
+        hot = own.unionByName(halo).withColumns(build(local)).filter(~F.col("__o_halo"))
         return self._finish([cold, hot], list(added))
 
     def running(
