@@ -10,8 +10,8 @@ from .features import date_parts
 
 
 def prepare_batch(df: DataFrame) -> DataFrame:
-    """Deduplicate, fill gaps and expand date columns."""
-    out = fill_missing(df.dropDuplicates())
+    """Fill gaps, then deduplicate and expand date columns."""
+    out = fill_missing(df, drop_above=1.0).dropDuplicates()
     for c in date_columns(out):
         out = date_parts(out, c)
     return out

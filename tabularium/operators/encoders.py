@@ -61,6 +61,13 @@ def frequency_encode(df: DataFrame, column: str, name: str | None = None) -> Dat
     return join_lookup(df, counts, [column]).withColumn(name, F.col("__n") / F.lit(float(total))).drop("__n")
 
 
+def count_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """Number of rows holding the same value; NULL stays NULL."""
+    name = name or f"{column}_count"
+    counts = df.filter(col(column).isNotNull()).groupBy(col(column)).agg(F.count(F.lit(1)).alias(name))
+    return join_lookup(df, counts, [column])
+
+
 class TargetEncoder:
     """(n*mean + s*global) / (n + s); unseen and NULL categories get the global mean."""
 

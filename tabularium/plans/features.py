@@ -153,9 +153,9 @@ def _(t: Tables):
 
 @query(
     "c14_batch_job",
-    """WITH d AS (SELECT DISTINCT * FROM (SELECT o_orderkey, o_orderdate, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice END AS price FROM orders
-      UNION ALL SELECT o_orderkey, o_orderdate, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice END FROM orders WHERE o_orderpriority = '1-URGENT'))
-    SELECT o_orderkey, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM d)) AS price, year(o_orderdate)::INTEGER AS o_orderdate_year,
+    """WITH d AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice END AS price FROM orders
+      UNION ALL SELECT o_orderkey, o_orderdate, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice END FROM orders WHERE o_orderpriority = '1-URGENT')
+    SELECT DISTINCT o_orderkey, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM d)) AS price, year(o_orderdate)::INTEGER AS o_orderdate_year,
     month(o_orderdate)::INTEGER AS o_orderdate_month, (isodow(o_orderdate) - 1)::INTEGER AS o_orderdate_dayofweek FROM d""",
     floats="price",
     digits=3,
@@ -349,6 +349,11 @@ def _(t: Tables):
     return E.frequency_encode(t.part, "p_brand").select("p_partkey", "p_brand_freq")
 
 
+@query("f16_count_encoding", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand) AS p_brand_count FROM part")
+def _(t: Tables):
+    return E.count_encode(t.part, "p_brand").select("p_partkey", "p_brand_count")
+
+
 @query(
     "f17_target_encoding",
     """SELECT o_orderkey, (sum(o_totalprice) OVER w + (SELECT avg(o_totalprice) FROM orders)) / (count(*) OVER w + 1) AS o_custkey_target FROM orders WINDOW w AS (PARTITION BY o_custkey)""",
@@ -484,7 +489,7 @@ def _(t: Tables):
     """SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS unit_price, (l_discount > 0.05)::INTEGER AS is_discounted,
     l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem""",
     floats="unit_price net charge",
-    digits=5,
+    digits=8,
 )
 def _(t: Tables):
     rules = [
@@ -574,10 +579,8 @@ def _(t: Tables):
     return L.mutual_information(t.lineitem, ["l_quantity", "l_extendedprice"], "l_returnflag")
 
 
-@query(
-    "l09_select_top",
-    """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem""",
-)
+@query("l09_select_top", "SELECT l_orderkey, l_linenumber, l_extendedprice / 2 + l_quantity AS half FROM lineitem", floats="half", digits=4)
 def _(t: Tables):
-    best = L.select_features(t.lineitem, ["l_quantity", "l_tax", "l_discount"], "l_extendedprice", "regression", k=1)
-    return t.lineitem.select("l_orderkey", "l_linenumber", *best)
+    df = t.lineitem.withColumn("half", F.col("l_extendedprice") / 2 + F.col("l_quantity"))
+    best = L.select_features(df, ["l_quantity", "l_tax", "half"], "l_extendedprice", "regression", k=1)
+    return df.select("l_orderkey", "l_linenumber", *best)
