@@ -516,6 +516,7 @@ def auto_train(
     problem = monitoring.problem_type(df, target, "small").first()["problem_type"]
     labelled = df.filter(col(target).isNotNull()).withColumn("__y", col(target).cast("double"))
     split = monitoring.stratified_split(labelled, target, key, test) if problem == "classification" else monitoring.hash_split(labelled, key, test)
+    split = split.persist()
     train, hold = split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split")
     scorer = selection.anova_scores if problem == "classification" else selection.regression_scores
     chosen = selection.top_scores(scorer(train, list(numeric), target), max_features)
@@ -545,6 +546,7 @@ def auto_train(
     has_weights = hasattr(model, "featureImportances") or hasattr(model, "coefficients")
     table = importances(model, feature_names(ready), df.sparkSession) if has_weights else None
     kept = scored.select(col(key), col(target), "prediction")
+    split.unpersist()
     return TrainingReport(problem, chosen, best, fitted, preprocess, board, table, kept)
 
 

@@ -18,7 +18,7 @@ def _by_value_counts(df: DataFrame, keys: list[str], cols: list[str], probs: lis
     group = [*keys, "column"]
     counts = long.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
     ends = running_totals(counts, group, ["__v"], {"__end": F.col("__n")})
-    totals = long.groupBy(*group).agg((F.count(F.lit(1)) - 1).alias("__last"))
+    totals = counts.groupBy(*group).agg((F.sum("__n") - 1).alias("__last"))
     wanted = totals.select(
         *group,
         F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
@@ -42,13 +42,112 @@ def _by_value_counts(df: DataFrame, keys: list[str], cols: list[str], probs: lis
     )
 
 
+ACCURACY = 10_000
+MARGIN = 3 / ACCURACY
+COLLECTED = 100_000
+COLUMNS_PER_PASS = 8
+PASSES = 6
+
+
+def _bracketed(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, dict[float, float | None]]:
+    """Exact global quantiles in a few narrow passes, without moving the data.
+
+    A sketch gives a bracket around each wanted rank. The next pass counts the values below the bracket, on its two ends
+    and strictly inside. Insides of a checked, small size are fetched and indexed; larger ones are bracketed again. Ties
+    only ever sit on bracket ends, where they are counted, not fetched.
+    """
+    v = {c: col(c).cast("double") for c in columns}
+    near = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-MARGIN, MARGIN)})
+    first = df.agg(
+        *[F.count(v[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.min(v[c]).alias(f"a{i}") for i, c in enumerate(columns)],
+        *[F.max(v[c]).alias(f"z{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(v[c], [*near], F.lit(ACCURACY)).alias(f"q{i}") for i, c in enumerate(columns)],
+    ).first()
+    out: dict[str, dict[float, float | None]] = {c: {p: None for p in probs} for c in columns}
+    ranks: list[tuple[str, float, int, float, float]] = []
+    for i, c in enumerate(columns):
+        n, low, high = first[f"n{i}"], first[f"a{i}"], first[f"z{i}"]
+        if not n:
+            continue
+        at = dict(zip(near, first[f"q{i}"]))
+        for p in probs:
+            lo = low if p - MARGIN <= 0 else at[p - MARGIN]
+            hi = high if p + MARGIN >= 1 else at[p + MARGIN]
+            ranks.append((c, p, n, lo, hi))
+    for _ in range(PASSES):
+        if not ranks:
+            break
+        ranks = _resolve(df, v, ranks, out)
+    if ranks:
+        left = sorted({c for c, *_ in ranks})
+        for r in _by_value_counts(df, [], left, sorted({p for _, p, *_ in ranks})).collect():
+            if r["p"] in out[r["column"]]:
+                out[r["column"]][r["p"]] = r["value"]
+    return out
+
+
+def _resolve(df: DataFrame, v: dict, ranks: list[tuple], out: dict) -> list[tuple]:
+    """One round: settle ranks whose bracket is small enough, return the others with a narrower bracket."""
+    brackets = sorted({(c, lo, hi) for c, _, _, lo, hi in ranks})
+    aggs = []
+    for j, (c, lo, hi) in enumerate(brackets):
+        aggs += [
+            F.count_if(v[c] < F.lit(lo)).alias(f"b{j}"),
+            F.count_if(v[c] <= F.lit(lo)).alias(f"l{j}"),
+            F.count_if(v[c] < F.lit(hi)).alias(f"u{j}"),
+            F.count_if(v[c] <= F.lit(hi)).alias(f"t{j}"),
+        ]
+    row = df.agg(*aggs).first()
+    sizes = {k: (row[f"b{j}"], row[f"l{j}"], max(row[f"u{j}"], row[f"l{j}"]), row[f"t{j}"]) for j, k in enumerate(brackets)}
+    inside = {(c, lo, hi): (v[c] > F.lit(lo)) & (v[c] < F.lit(hi)) for c, lo, hi in brackets}
+    fetch = [k for k in brackets if 0 < sizes[k][2] - sizes[k][1] <= COLLECTED]
+    held: dict[tuple, list[float]] = {k: [] for k in brackets}
+    if fetch:
+        # the counts above bound what comes back
+        entries = [F.when(inside[k], F.struct(F.lit(j).alias("j"), v[k[0]].alias("x"))) for j, k in enumerate(fetch)]
+        some = F.lit(False)
+        for k in fetch:
+            some = some | F.coalesce(inside[k], F.lit(False))
+        found = df.filter(some).select(F.explode(F.array(*entries)).alias("e")).filter("e IS NOT NULL").select("e.*")
+        for r in found.collect():
+            held[fetch[r["j"]]].append(r["x"])
+        for values in held.values():
+            values.sort()
+    wide = [k for k in brackets if sizes[k][2] - sizes[k][1] > COLLECTED]
+    knots = {}
+    if wide:
+        steps = [i / 1000 for i in range(1001)]
+        narrow = df.agg(*[F.percentile_approx(F.when(inside[k], v[k[0]]), steps, F.lit(ACCURACY)).alias(f"k{j}") for j, k in enumerate(wide)]).first()
+        knots = {k: narrow[f"k{j}"] for j, k in enumerate(wide)}
+    again = []
+    for c, p, n, lo, hi in ranks:
+        below, start, stop, upto = sizes[(c, lo, hi)]
+        position = p * (n - 1)
+        k = int(position)
+        following = min(k + 1, n - 1)
+        if k < below or following >= upto:
+            again.append((c, p, n, float("-inf"), float("inf")))
+        elif (c, lo, hi) in knots and not (following < start or k >= stop):
+            points, size = knots[(c, lo, hi)], stop - start
+            left, right = int((k - start) / size * 1000) - 2, int((following - start) / size * 1000) + 3
+            again.append((c, p, n, lo if left < 0 else points[left], hi if right > 1000 else points[right]))
+        else:
+            values = held[(c, lo, hi)]
+            x, y = (lo if r < start else hi if r >= stop else values[r - start] for r in (k, following))
+            out[c][p] = x + (y - x) * (position - k)
+    return again
+
+
 def quantile_table(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
     """(keys..., column, p, value) with exact quantiles of every column in every group."""
+    if not keys:
+        found = quantiles(df, cols, probs)
+        rows = [(c, float(p), found[c][float(p)]) for c in cols for p in probs]
+        return df.sparkSession.createDataFrame(rows, "column string, p double, value double")
     if df.count() > max_group_rows(df.sparkSession):
         return _by_value_counts(df, keys, cols, probs)
-    array = F.array(*[F.lit(float(p)) for p in probs])
-    aggs = [F.percentile(col(c).cast("double"), array).alias(f"__q{i}") for i, c in enumerate(cols)]
-    wide = df.groupBy(*[col(k) for k in keys]).agg(*aggs) if keys else df.agg(*aggs)
+    wide = df.groupBy(*[col(k) for k in keys]).agg(*_percentiles(cols, probs))
     entries = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("p"), F.get(F.col(f"__q{i}"), F.lit(j)).alias("value"))
@@ -59,13 +158,25 @@ def quantile_table(df: DataFrame, keys: list[str], cols: list[str], probs: list[
     return wide.select(*[col(k) for k in keys], F.inline(entries))
 
 
+def _percentiles(cols: list[str], probs: list[float]) -> list:
+    array = F.array(*[F.lit(float(p)) for p in probs])
+    return [F.percentile(col(c).cast("double"), array).alias(f"__q{i}") for i, c in enumerate(cols)]
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, dict[float, float | None]]:
     """Fitted quantiles as scalars: columns x probabilities values reach the driver."""
+    out: dict[str, dict[float, float | None]] = {}
     if not cols:
-        return {}
-    out: dict[str, dict[float, float | None]] = {c: {float(p): None for p in probs} for c in cols}
-    for r in quantile_table(df, [], cols, probs).collect():
-        out[r["column"]][r["p"]] = r["value"]
+        return out
+    small = max_group_rows(df.sparkSession)
+    if df.limit(small + 1).count() <= small:
+        row = df.agg(*_percentiles(cols, probs)).first()
+        for i, c in enumerate(cols):
+            values = row[f"__q{i}"] or [None] * len(probs)
+            out[c] = {float(p): x for p, x in zip(probs, values)}
+        return out
+    for i in range(0, len(cols), COLUMNS_PER_PASS):
+        out |= _bracketed(df, cols[i : i + COLUMNS_PER_PASS], [float(p) for p in probs])
     return out
 
 

@@ -43,7 +43,7 @@ def corpus_language(df: DataFrame, column: str) -> DataFrame:
 
 
 def tokens(c: str) -> Column:
-    return F.filter(F.split(F.lower(col(c)), SEPARATOR), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(col(c)), SEPARATOR), "")
 
 
 def tokenise(df: DataFrame, column: str, name: str = "tokens") -> DataFrame:
@@ -74,9 +74,10 @@ def _lexicons(language: str) -> tuple[list[str], list[str]]:
 def with_sentiment(df: DataFrame, column: str, language: str = "en", name: str = "sentiment") -> DataFrame:
     """positive, negative or neutral by the number of distinct lexicon words present."""
     positive, negative = _lexicons(language)
-    hits = lambda words: F.size(F.array_intersect(tokens(column), F.array(*[F.lit(w) for w in words])))
-    label = F.when(hits(positive) > hits(negative), "positive").when(hits(negative) > hits(positive), "negative").otherwise("neutral")
-    return df.withColumn(name, F.when(col(column).isNotNull(), label))
+    hits = lambda words: F.size(F.array_intersect("__tokens", F.array(*[F.lit(w) for w in words])))
+    counted = df.withColumn("__tokens", tokens(column)).withColumn("__gap", hits(positive) - hits(negative))
+    label = F.when(F.col("__gap") > 0, "positive").when(F.col("__gap") < 0, "negative").otherwise("neutral")
+    return counted.withColumn(name, F.when(col(column).isNotNull(), label)).drop("__tokens", "__gap")
 
 
 def sentiment_summary(df: DataFrame, column: str, language: str = "en") -> DataFrame:

@@ -117,9 +117,9 @@ def _(t: Tables):
 
 @query("u05_custom_metric")
 def _(t: Tables):
-    rows = regressed(t).withColumn("id", F.monotonically_increasing_id())
+    rows = regressed(t)
     within = (F.abs(F.col("y") - F.col("p")) < 5000).cast("double")
-    made = M.bootstrap_expression(rows, lambda w: F.sum(within * w) / F.sum(w), "id", 50)
+    made = M.bootstrap_expression(rows, lambda w: F.sum(within * w) / F.sum(w), "key", 50)
     return M.bootstrap_interval(made, "value")
 
 

@@ -199,7 +199,8 @@ REGRESSED = "(SELECT l_extendedprice AS y, l_extendedprice * (0.9 + l_discount)
 
 def regressed(t: Tables):
     shift = F.col("l_quantity") * (F.col("l_partkey") % 7 - 3) * 100
-    return t.lineitem.select(F.col("l_extendedprice").alias("y"), (F.col("l_extendedprice") * (0.9 + F.col("l_discount")) + shift).alias("p"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key")
+    return t.lineitem.select(key, F.col("l_extendedprice").alias("y"), (F.col("l_extendedprice") * (0.9 + F.col("l_discount")) + shift).alias("p"))
 
 
 @query(

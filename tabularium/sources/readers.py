@@ -117,3 +117,18 @@ def file_info(spark: SparkSession, path: str, format: str | None = None) -> Data
     meta = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"),
                      F.col("_metadata.file_modification_time").alias("modified"))
     return meta.groupBy("path", "bytes", "modified").agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
+
+
+def spread(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Spread a small scan of fewer files than cores over all cores, for work that is heavy per row.
+
+    A single row group is one task however many cores there are. Larger inputs are left as they are: they have enough
+    splits of their own, and moving them would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    # lists lengths only, the contents are not read
+    size = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length").alias("n")).first()["n"]
+    return df.repartition(cores) if size <= max_bytes else df
