@@ -129,11 +129,11 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
             "negatives": F.col(f"neg{i}"),
         }
         fields |= {f"p{round(p * 100)}": F.lit(q[c][p]).cast("double") for p in probs}
-        p_value = normality_p(F.col(f"n{i}").cast("double"), F.col(f"g1{i}"), F.col(f"g2{i}"))
-        fields["normal_p"] = F.when(F.col(f"n{i}") >= 20, p_value)
-        fields["is_normal"] = fields["normal_p"] > 0.05
+        fields |= {"__g1": F.col(f"g1{i}"), "__g2": F.col(f"g2{i}")}
         blocks[c] = fields
-    return wide_to_long(fused(df, aggs), blocks)
+    long = wide_to_long(fused(df, aggs), blocks)
+    long = long.withColumn("normal_p", normality_p(F.col("count").cast("double"), F.col("__g1"), F.col("__g2")))
+    return long.withColumn("is_normal", F.col("normal_p") > 0.05).drop("__g1", "__g2")
 
 
 def long_values(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -139,6 +139,20 @@ def _resolve(df: DataFrame, v: dict, ranks: list[tuple], out: dict) -> list[tupl
     return again
 
 
+def _sorted(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, dict[float, float | None]]:
+    """Quantiles from one sorted array per column; the caller has checked how many values an array will hold."""
+    arrays = [F.sort_array(F.collect_list(col(c).cast("double"))).alias(f"a{i}") for i, c in enumerate(columns)]
+    picks = []
+    for i in range(len(columns)):
+        values = F.col(f"a{i}")
+        for j, p in enumerate(probs):
+            at = F.lit(p) * (F.size(values) - 1)
+            x, y = F.get(values, F.floor(at).cast("int")), F.get(values, F.least(F.floor(at) + 1, F.size(values) - 1).cast("int"))
+            picks.append((x + (y - x) * (at - F.floor(at))).alias(f"q{i}_{j}"))
+    row = df.agg(*arrays).select(*picks).first()
+    return {c: {p: row[f"q{i}_{j}"] for j, p in enumerate(probs)} for i, c in enumerate(columns)}
+
+
 def quantile_table(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
     """(keys..., column, p, value) with exact quantiles of every column in every group."""
     if not keys:
@@ -169,14 +183,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, d
     if not cols:
         return out
     small = max_group_rows(df.sparkSession)
-    if df.limit(small + 1).count() <= small:
-        row = df.agg(*_percentiles(cols, probs)).first()
-        for i, c in enumerate(cols):
-            values = row[f"__q{i}"] or [None] * len(probs)
-            out[c] = {float(p): x for p, x in zip(probs, values)}
-        return out
+    find = _sorted if df.limit(small + 1).count() <= small else _bracketed
     for i in range(0, len(cols), COLUMNS_PER_PASS):
-        out |= _bracketed(df, cols[i : i + COLUMNS_PER_PASS], [float(p) for p in probs])
+        out |= find(df, cols[i : i + COLUMNS_PER_PASS], [float(p) for p in probs])
     return out
 
 
