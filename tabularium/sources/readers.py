@@ -56,8 +56,8 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless decoding leaves replacement characters, then the next single-byte encoding."""
-    bad = spark.read.text(path).filter(F.col("value").contains("�")).limit(1).count()
+    """UTF-8 unless some line is not valid UTF-8, then the next, single-byte encoding, which accepts every byte."""
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
     return ENCODINGS[0] if bad == 0 else ENCODINGS[1]
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +13,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.guarded import col
 from ..operators.ordered import row_numbers
 
-# processors below travel with the job instead of being imported on the executors
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,10 +30,13 @@ def chain(df: DataFrame, processors: list[Callable[[DataFrame], DataFrame]]) ->
 
 def tumbling(df: DataFrame, ts: str, duration: str, keys: list[str], aggs: list[Column], watermark: str | None = None) -> DataFrame:
     """Event-time windows; late rows beyond the watermark are dropped by the stream and kept by the batch form."""
+    plain = isinstance(df.schema[ts].dataType, T.TimestampNTZType)
     if watermark:
-        df = df.withWatermark(ts, watermark)
+        # watermarks need a zoned timestamp
+        df = (df.withColumn(ts, col(ts).cast("timestamp")) if plain else df).withWatermark(ts, watermark)
+    start = F.col("__w.start").cast("timestamp_ntz") if plain else F.col("__w.start")
     grouped = df.groupBy(F.window(col(ts), duration).alias("__w"), *[col(k) for k in keys]).agg(*aggs)
-    return grouped.select(F.col("__w.start").alias("window_start"), *[c for c in grouped.columns if c != "__w"])
+    return grouped.select(start.alias("window_start"), *[c for c in grouped.columns if c != "__w"])
 
 
 def running_features(df: DataFrame, key: str, values: list[str], null_aware: bool = False) -> DataFrame:
