@@ -170,7 +170,17 @@ def probabilities(t: Tables):
     return t.orders.select(F.col("o_orderstatus").alias("y"), *[((price * k) % 1000 / 1000).alias(f"p_{c}") for c, k in (("F", 1), ("O", 3), ("P", 7))])
 
 
-@query("m22_roc_auc_ovr")
+def _class_auc_sql(c: str, k: int) -> str:
+    steps = f"""SELECT s, sum(sum(h)) OVER (ORDER BY s DESC) AS tp, sum(h) AS pos, sum(1 - h) AS neg FROM
+    (SELECT (o_totalprice * {k}) % 1000 / 1000 AS s, (o_orderstatus = '{c}')::INTEGER AS h FROM orders) GROUP BY s"""
+    return f"SELECT sum(neg * (tp - pos / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) AS auc, sum(pos) AS p FROM ({steps})"
+
+
+@query(
+    "m22_roc_auc_ovr",
+    f"SELECT sum(auc * p) / sum(p) AS auc FROM ({' UNION ALL '.join(_class_auc_sql(c, k) for c, k in (('F', 1), ('O', 3), ('P', 7)))})",
+    floats="auc",
+)
 def _(t: Tables):
     return M.roc_auc_ovr(probabilities(t), "y", {"F": "p_F", "O": "p_O", "P": "p_P"})
 

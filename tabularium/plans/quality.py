@@ -81,9 +81,24 @@ def _(t: Tables):
     return P.numeric_profile(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).drop("normal_p", "is_normal")
 
 
-@query("q04_normality")
+def _normality_sql(table: str, c: str) -> str:
+    """The published skewness and kurtosis tests, spelled out step by step."""
+    return f"""(WITH m AS (SELECT count({c})::DOUBLE AS n, avg({c}) AS mu FROM {table}),
+    c AS (SELECT n, avg(power({c} - mu, 2)) AS m2, avg(power({c} - mu, 3)) AS m3, avg(power({c} - mu, 4)) AS m4 FROM {table}, m GROUP BY n),
+    g AS (SELECT n, m3 / power(m2, 1.5) AS g1, m4 / (m2 * m2) AS b2 FROM c),
+    a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
+      (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+      6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM g),
+    b AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root))) AS k FROM a),
+    z AS (SELECT n, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1,
+      (1 - 2 / (9 * k) - cbrt((1 - 2 / k) / (1 + x * sqrt(2 / (k - 4))))) / sqrt(2 / (9 * k)) AS z2 FROM b)
+    SELECT '{c}' AS "column", n::BIGINT AS count, exp(-(z1 * z1 + z2 * z2) / 2) AS normal_p, exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AS is_normal FROM z)"""
+
+
+@query("q04_normality", f"{_normality_sql('events', 'value')} UNION ALL {_normality_sql('customer', 'c_acctbal')} UNION ALL {_normality_sql('labels', 'doc_id')}", floats="normal_p")
 def _(t: Tables):
     made = P.numeric_profile(t.events, ["value"]).unionByName(P.numeric_profile(t.customer, ["c_acctbal"]))
+    made = made.unionByName(P.numeric_profile(t.labels, ["doc_id"]))
     return made.select("column", "count", "normal_p", "is_normal")
 
 
