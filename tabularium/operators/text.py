@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.guarded import col, string_columns, wide_to_long
+from ..session import max_broadcast_rows
+from .lookup import join_lookup
 
 # letters, numbers and underscore of any script; everything else separates tokens
 SEPARATOR = r"[^\p{L}\p{N}_]+"
@@ -118,19 +120,31 @@ def terms(c: str, ngrams: int, stop: list[str]) -> Column:
     return F.concat(words, pairs)
 
 
+def term_rows(df: DataFrame, key: str, column: str, ngrams: int, stop: list[str]) -> DataFrame:
+    """(key, term), one row per occurrence; pairs are formed after the explode, inside generated code."""
+    worded = df.select(col(key), terms(column, 1, stop).alias("__w"))
+    if ngrams == 1:
+        return worded.select(key, F.explode("__w").alias("term"))
+    following = F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0)))
+    zipped = worded.withColumn("__n", following).select(key, F.explode(F.arrays_zip("__w", "__n")).alias("z"))
+    both = F.array(F.col("z.__w"), F.concat(F.col("z.__w"), F.lit(" "), F.col("z.__n")))
+    return zipped.select(key, F.explode(both).alias("term")).filter(F.col("term").isNotNull())
+
+
 def tfidf(df: DataFrame, key: str, column: str, ngrams: int = 1, max_features: int | None = None, stop: list[str] | None = None) -> DataFrame:
     """(key, term, tf, df, weight): count * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
 
-    ``max_features`` keeps the terms of highest corpus count (ties by term); the kept vocabulary is the only table sent
-    to every task and its size is that limit.
+    ``max_features`` keeps the terms of highest corpus count (ties by term); a kept vocabulary within the lookup bound is
+    sent to every task, a larger one is shuffle-joined.
     """
     stop = lexicon.STOP_EN if stop is None else stop
     n = df.filter(col(column).isNotNull()).count()
-    counts = df.select(col(key), F.explode(terms(column, ngrams, stop)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = term_rows(df, key, column, ngrams, stop).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("__total"))
     if max_features:
         vocabulary = vocabulary.orderBy(F.desc("__total"), "term").limit(max_features).drop("__total")
-        joined = counts.join(F.broadcast(vocabulary), "term")
+        fits = max_features <= max_broadcast_rows(df.sparkSession)
+        joined = counts.join(F.broadcast(vocabulary) if fits else vocabulary, "term")
     else:
         joined = counts.join(vocabulary.drop("__total"), "term")
     raw = F.col("tf") * (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
@@ -144,7 +158,6 @@ def top_terms_by_class(weights: DataFrame, labels: DataFrame, key: str, label: s
     """(label, term, mean_weight, rank): highest mean weight over all documents of the class, absent terms counting 0."""
     sizes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     sums = weights.join(labels, key).groupBy(label, "term").agg(F.sum("weight").alias("__s"))
-    # one row per class
-    means = sums.join(F.broadcast(sizes), label).select(label, "term", (F.col("__s") / F.col("__n")).alias("mean_weight"))
+    means = join_lookup(sums, sizes, [label]).select(label, "term", (F.col("__s") / F.col("__n")).alias("mean_weight"))
     order = Window.partitionBy(label).orderBy(F.desc(F.round("mean_weight", 9)), "term")
     return means.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
