@@ -3,23 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabularium.llm import decontaminate, packing
+from tabularium.llm import chosen_path, decontaminate, language_id, line_spread, packing
 from tabularium.llm.queries import table, tokenizer_file
 from tabularium.llm.shared import written
 
 
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a learned language; a text without letters has none and goes."""
+    model = language_id.train(docs, tokenizer_file("piece_bpe_32k.model"))
+    return language_id.predict(docs, model).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that many sources repeat; one that held nothing else goes."""
+    freed = line_spread.remove_boilerplate(docs)
+    left = (F.col("n_removed") == 0) | (F.regexp_count("text", F.lit(r"\S")) > 0)
+    return freed.filter(left).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return chosen_path.one_of_each(docs)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no twentieth or more is benchmark text."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES = [("benchmark decontamination", benchmark_decontamination), ("packing", pack)]
+STAGES = [
+    ("language id", identify_language),
+    ("line dedup", remove_lines),
+    ("near duplicates", remove_near_duplicates),
+    ("benchmark decontamination", remove_contaminated),
+    ("packing", pack),
+]
 
-#: tokenisation and language models have no SQL form; tests compare the stages with brute force
+#: piece models and tokenisation have no SQL form; tests compare the stages with brute force
 ORACLE_SQL = None
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .decontaminate import WordHashes, run_hashes
-from .shared import map_arrow, slices, written
+from .shared import map_arrow, row_keys, slices, written
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BITMAP_BITS = 23
@@ -54,7 +54,7 @@ def sketch(own: np.ndarray, factors: np.ndarray) -> np.ndarray:
 def sketched(documents: DataFrame, coordinates: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key_a, key_b (of id and text), n_shingles, sig (null without words), sketch."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumns({"key_a": F.xxhash64("doc_id", "text"), "key_b": F.xxhash64("text", "doc_id", F.lit(1))})
+    docs = docs.select("doc_id", "text", *row_keys("doc_id", "text"))
     factors = multipliers(coordinates, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -276,6 +276,5 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """One document of each near-duplicate group, columns unchanged; of repeated rows one stays."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     kept = near_duplicates(documents, **options).filter("kept").select("key_a", "key_b").distinct()
-    text = F.col(text_col).cast("string")
-    keyed = documents.withColumns({"key_a": F.xxhash64(F.col(id_col), text), "key_b": F.xxhash64(text, F.col(id_col), F.lit(1))})
+    keyed = documents.withColumns(dict(zip(("key_a", "key_b"), row_keys(id_col, text_col))))
     return keyed.join(kept, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).drop("key_a", "key_b")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, language_id, packing, token_counts, warc
+from . import chosen_path, decontaminate, language_id, line_spread, packing, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+OP3_SQL = """
+WITH l AS (SELECT doc_id, coalesce(source, '') AS site, i, s[i] AS line, trim(s[i], ' ' || chr(9) || chr(13)) AS bare
+    FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL), unnest(range(1, len(s) + 1)) AS q(i)),
+b AS (SELECT bare, min(doc_id) AS first_id FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= 10),
+k AS (SELECT doc_id, i, line, b.bare IS NULL OR doc_id = first_id AS stays FROM l LEFT JOIN b USING (bare)),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed FROM k GROUP BY doc_id)
+SELECT doc_id, t.text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed FROM documents LEFT JOIN t USING (doc_id)"""
+
+
+@query("op3_line_spread", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 @query("op5_trie_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))

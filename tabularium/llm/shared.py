@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -29,6 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """key_a, key_b: 128 bits of id and text, never null. Rows that repeat share them, and their results are the same."""
+    text = F.col(text_col).cast("string")
+    return [F.xxhash64(F.col(id_col), text).alias("key_a"), F.xxhash64(text, F.col(id_col), F.lit(1)).alias("key_b")]
+
+
 def task_number() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
