@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, language_id, line_spread, packing, token_counts, warc
+from . import chosen_path, decontaminate, language_id, line_spread, packing, ppm, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@query("op2_ppm_scores")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH l AS (SELECT doc_id, coalesce(source, '') AS site, i, s[i] AS line, trim(s[i], ' ' || chr(9) || chr(13)) AS bare
     FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL), unnest(range(1, len(s) + 1)) AS q(i)),
