@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .decontaminate import WordHashes, run_hashes
-from .shared import map_arrow, row_keys, slices, written
+from .shared import map_arrow, row_keys, slices, whole_groups, written
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BITMAP_BITS = 23
@@ -103,25 +103,10 @@ def leaf_pairs(leaves: DataFrame, classes: DataFrame, coordinates: int, floor: f
     """Distinct pairs (a, b) of a leaf whose sketches agree in ``floor`` of the coordinates or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held = None
-        for batch in batches:
-            block = pa.Table.from_batches([batch])
-            held = block if held is None else pa.concat_tables([held, block])
-            nodes = held.column("node").to_numpy()
-            # the last node may go on in the next batch
-            done = int(np.searchsorted(nodes, nodes[-1])) if len(nodes) else 0
-            yield compare(held.slice(0, done))
-            held = held.slice(done)
-        if held is not None:
-            yield compare(held)
-
-    def compare(part: pa.Table) -> dict:
-        out_a, out_b = [], []
-        if part.num_rows:
-            nodes, sigs = part.column("node").to_numpy(), part.column("sig").to_pylist()
-            rows = np.array(part.column("sketch").to_pylist(), dtype=np.int32)
-            starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
-            for lo, hi in zip(starts, [*starts[1:], len(nodes)]):
+        for part, groups in whole_groups(batches, "node"):
+            sigs, rows = part.column("sig").to_pylist(), np.array(part.column("sketch").to_pylist(), dtype=np.int32)
+            out_a, out_b = [], []
+            for lo, hi in groups:
                 own = rows[lo:hi]
                 same = (own[:, None, :] == own[None, :, :]).sum(axis=2)
                 for i, j in zip(*np.nonzero(np.triu(same >= floor * coordinates, 1))):
@@ -129,7 +114,7 @@ def leaf_pairs(leaves: DataFrame, classes: DataFrame, coordinates: int, floor: f
                     if a != b:
                         out_a.append(a)
                         out_b.append(b)
-        return {"a": out_a, "b": out_b}
+            yield {"a": out_a, "b": out_b}
 
     placed = leaves.join(classes, "sig").select("node", "sig", "sketch").repartition("node").sortWithinPartitions("node")
     return map_arrow(placed, run, "a binary, b binary").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,3 +63,25 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Itera
             step = max(1, int(batch.num_rows * max_bytes // max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 yield batch.slice(at, step)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows sorted by an integer column, as tables that hold whole groups, with the rows each group spans."""
+    held = None
+    for batch in batches:
+        block = pa.Table.from_batches([batch])
+        held = block if held is None else pa.concat_tables([held, block])
+        if held.num_rows:
+            values = held.column(key).to_numpy()
+            # the last group may go on in the next batch
+            done = int(np.searchsorted(values, values[-1]))
+            if done:
+                yield held.slice(0, done), spans(values[:done])
+                held = held.slice(done)
+    if held is not None and held.num_rows:
+        yield held, spans(held.column(key).to_numpy())
+
+
+def spans(values: np.ndarray) -> list[tuple[int, int]]:
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist()
+    return list(zip(starts, [*starts[1:], len(values)]))
