@@ -2,9 +2,9 @@
 
 A document's words, lower-cased, joined by a space and closed by a line feed, are predicted byte by byte from up to
 ``order`` bytes before. The context trie holds, for every training document, how often each byte follows each context.
-A context predicts a byte seen n times after it with n - 1/2 of its total and escapes to the next shorter context with
-the halves (method D); shorter contexts exclude what longer ones could have said. Below the empty context all remaining
-bytes are equally likely. A branch with less than ``share`` of all training bytes is not
+A context predicts a byte seen n times after it with n less a fixed discount of its total and escapes to the next
+shorter context with the discounts; shorter contexts exclude what longer ones could have said. Below the empty context
+all remaining bytes are equally likely. A branch with less than ``share`` of all training bytes is not
 kept: its counts go to the escape of its context, so probabilities still add up to one, and no depth can have more than
 1 / ``share`` branches, whatever the corpus size.
 """
@@ -25,7 +25,7 @@ from .shared import map_arrow, slices, task_number, written
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b"\n"
 #: what a byte seen leaves to the escape of its context
-DISCOUNT = 0.5
+DISCOUNT = 0.3
 
 
 def tokens(text: str | None) -> list[bytes]:
