@@ -184,7 +184,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     name, file = archive, store.open_input_file(f"{root}/{archive}")
                 file.seek(offset)
                 rows.append(parsed(zlib.decompress(file.read(length), 31)))
-                size += len(rows[-1][-1])
+                size += len(rows[-1][-1] or b"")
                 if size > 16 << 20:
                     yield named(rows)
                     rows, size = [], 0
