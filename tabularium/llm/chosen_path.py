@@ -261,5 +261,6 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """One document of each near-duplicate group, columns unchanged; of repeated rows one stays."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     kept = near_duplicates(documents, **options).filter("kept").select("key_a", "key_b").distinct()
-    keyed = documents.withColumns(dict(zip(("key_a", "key_b"), row_keys(id_col, text_col))))
-    return keyed.join(kept, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).drop("key_a", "key_b")
+    # the row goes along as one struct, so its column names meet no others
+    keyed = documents.select(F.struct("*").alias("doc"), *row_keys(id_col, text_col))
+    return keyed.join(kept, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select("doc.*")

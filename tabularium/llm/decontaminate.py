@@ -205,6 +205,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, percent: int
     """Documents without the contaminated ones, columns unchanged."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     bad = verdict(contamination(documents, benchmark, **options), percent).filter("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
-    keyed = F.xxhash64(documents[id_col], documents[text_col].cast("string"))
-    return documents.join(bad, documents[id_col].eqNullSafe(F.col("_bad_id")) & (keyed == F.col("_bad_key")), "left_anti")
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
+    # the row goes along as one struct, so its column names meet no others
+    keyed = documents.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("own_key"))
+    return keyed.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_key") == F.col("bad_key")), "left_anti").select("doc.*")

@@ -45,7 +45,8 @@ def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text")
     """
     shared = documents.sparkSession.sparkContext.broadcast(tuple(model))
     kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    source = documents.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("_text"))
+    spare = "_" + max(kept, key=len, default="")
+    source = documents.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias(spare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pieces, labels, weights, prior = shared.value

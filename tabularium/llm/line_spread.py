@@ -54,14 +54,13 @@ def remove_boilerplate(documents: DataFrame, min_sites: int = 10, log_k: int = 1
     found = written(boilerplate(lines, min_sites, log_k), "boilerplate")
     drops = lines.join(found, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("first_id")))
     # at most the lines of one document in a group
-    drops = drops.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
-    keyed = documents.drop("n_lines", "n_removed", "_drops").withColumns(dict(zip(("key_a", "key_b"), row_keys(id_col, text_col))))
+    drops = drops.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    # the row goes along as one struct, so its column names meet no others
+    keyed = documents.select(F.struct("*").alias("doc"), F.split(F.col(text_col), "\n").alias("own"), *row_keys(id_col, text_col))
     joined = keyed.join(drops, ["key_a", "key_b"], "left")
-    own = F.split(F.col(text_col), "\n")
-    stays = lambda line: (F.btrim(line, F.lit(BLANKS)) == "") | ~F.array_contains(F.col("_drops"), F.struct(*line_hashes(line)))
-    kept = F.when(F.col("_drops").isNull(), own).otherwise(F.filter(own, stays))
-    out = joined.withColumns({"_kept": kept, "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(own)).cast("bigint")})
-    out = out.withColumn("n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("bigint"))
-    text = F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*columns, "n_lines", "n_removed")
+    stays = lambda line: (F.btrim(line, F.lit(BLANKS)) == "") | ~F.array_contains(F.col("drops"), F.struct(*line_hashes(line)))
+    joined = joined.withColumn("kept", F.when(F.col("drops").isNull(), F.col("own")).otherwise(F.filter("own", stays)))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("bigint")
+    text = F.when(F.col("drops").isNull(), F.col("doc").getField(text_col)).otherwise(F.array_join("kept", "\n"))
+    columns = [(text if c == text_col else F.col("doc").getField(c)).alias(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, size("own").alias("n_lines"), (size("own") - size("kept")).alias("n_removed"))
