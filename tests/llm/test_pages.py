@@ -26,7 +26,7 @@ def test_article_is_extracted():
 
 
 @pytest.mark.parametrize("page, text", [
-    ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<p>a</i></div>b", "ab"), ("<script>never ends", ""), ("<p>x <a title='>'>y</a", "x"), ("<div>" * 3000 + "deep", "deep"),
+    ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<p>a</i></div>b", "ab"), ("<script>never ends", ""), ("<p>x <a title='>'>y</a", "x y"), ("<div>" * 3000 + "deep", "deep"),
     ("<main><p>m</p></main><p>out</p>", "m"), ("<p>a&amp;amp;b &notit;", "a&amp;b ¬it;"), ("<P HIDDEN>h</P><p>s", "s"), ("<article class=comment><p>no</p></article><p>yes", "yes"),
 ])
 def test_odd_pages(page, text):
