@@ -94,10 +94,6 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def wide_to_long(row: DataFrame, blocks: dict[str, dict[str, Column]], key: str = "column") -> DataFrame:
     """One wide aggregate row -> one row per block, each with the same named fields."""
     structs = [

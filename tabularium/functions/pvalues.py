@@ -13,10 +13,6 @@ def chi2_one_df(x: float) -> float:
     return math.erfc(math.sqrt(max(x, 0.0) / 2.0))
 
 
-def chi2_two_df(x: float) -> float:
-    return math.exp(-max(x, 0.0) / 2.0)
-
-
 def kolmogorov(d: float, n: float, m: float) -> float:
     """Asymptotic two-sample Kolmogorov-Smirnov p-value."""
     if d <= 0:

@@ -164,13 +164,3 @@ def impute_by_group_median(df: DataFrame, column: str, key: str) -> DataFrame:
     out = join_lookup(df, medians, [key])
     filled = F.coalesce(col(column).cast("double"), F.col("__m"), F.lit(overall).cast("double"))
     return out.withColumn(column, filled).drop("__m")
-
-
-def extract_title(df: DataFrame, name_column: str, pattern: str = r" ([A-Za-z]+)\.", name: str = "title") -> DataFrame:
-    found = F.regexp_extract(col(name_column), pattern, 1)
-    return df.withColumn(name, F.when(found != "", found))
-
-
-def share_missing(df: DataFrame) -> DataFrame:
-    table = column_profile(df)
-    return table.select("column", safe_divide("missing", "rows").alias("share"))

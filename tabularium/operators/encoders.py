@@ -162,8 +162,3 @@ class Scaler:
 
     def inverse(self, df: DataFrame) -> DataFrame:
         return self._map(df, lambda v, shift, scale: v * scale + shift)
-
-
-def map_values(column: str, mapping: dict, default: object = None) -> Column:
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), col(column)), F.lit(default))

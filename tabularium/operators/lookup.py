@@ -1,34 +1,16 @@
-"""Joins against fitted lookup tables: broadcast only after a size check, shuffle join otherwise."""
+"""Joins against fitted lookup tables, one row per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..session import max_broadcast_rows
-
-
-def bounded_local(table: DataFrame, limit: int | None = None) -> DataFrame | None:
-    """The table as driver-held rows when it has at most ``limit`` rows, else None.
-
-    At most ``limit + 1`` rows ever reach the driver.
-    """
-    spark = table.sparkSession
-    limit = limit or max_broadcast_rows(spark)
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return spark.createDataFrame(rows, table.schema)
 
 
 def join_lookup(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", null_safe: bool = False) -> DataFrame:
-    """Join a per-category table to the data without shuffling the data when the table is small.
+    """Join a per-category table to the data; nothing runs while the plan is built.
 
-    Above the bound the join is left to Spark: the table has one row per key, so AQE can split a hot key
-    of the data side over many tasks.
+    Spark sees the table's size in bytes when it has been aggregated: a small one is broadcast, and for a large one
+    the hot keys of the data side are split over many tasks.
     """
-    small = bounded_local(table)
-    table = F.broadcast(small) if small is not None else table
     if not null_safe:
         return df.join(table, on, how)
     renamed = table.withColumnsRenamed({k: f"__k_{k}" for k in on})

@@ -11,13 +11,10 @@ from pyspark.sql import types as T
 from ..functions import pvalues
 from ..functions.guarded import col
 from .aggregate import average_ranks
-from .lookup import bounded_local, join_lookup
+from .lookup import join_lookup
 from .ordered import running_totals
 from .relational import cross
 
-MAX_CLASSES = 10_000
-
-
 def _weight(weight: str | None):
     return F.lit(1.0) if weight is None else col(weight).cast("double")
 
@@ -75,7 +72,7 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """(actual, predicted, n, share): every pair of labels, empty cells included, share within the actual label."""
     counts = confusion_counts(df, actual, predicted)
     labels = counts.select(F.explode(F.array("actual", "predicted")).alias("actual")).distinct()
-    grid = cross(labels, labels.withColumnRenamed("actual", "predicted"), MAX_CLASSES)
+    grid = cross(labels, labels.withColumnRenamed("actual", "predicted"))
     cells = grid.join(counts, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
     totals = counts.groupBy("actual").agg(F.sum("n").alias("__t"))
     out = cells.join(totals, "actual", "left")
@@ -204,7 +201,7 @@ def davies_bouldin(df: DataFrame, label: str, vector: str) -> DataFrame:
     gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double")))
     spread = rows.groupBy("label").agg(F.avg(gap(F.col("v"), F.col("centroid"))).alias("s"), F.first("centroid").alias("c"))
     other = spread.select(F.col("label").alias("l2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
-    pairs = cross(spread, other, MAX_CLASSES).filter("label <> l2")
+    pairs = cross(spread, other).filter("label <> l2")
     worst = pairs.groupBy("label").agg(F.max(F.try_divide(F.col("s") + F.col("s2"), gap(F.col("c"), F.col("c2")))).alias("r"))
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
@@ -340,8 +337,3 @@ def bootstrap_interval(replicates: DataFrame, value: str = "difference", level:
     row = replicates.agg(F.avg(col(value)).alias("mean"), bounds.alias("b"))
     out = row.select("mean", F.get("b", F.lit(0)).alias("lower"), F.get("b", F.lit(1)).alias("upper"))
     return out.withColumn("significant", (F.col("lower") > 0) | (F.col("upper") < 0))
-
-
-def class_table(df: DataFrame, actual: str) -> DataFrame | None:
-    """Distinct labels when there are few enough to hold on one machine."""
-    return bounded_local(df.select(col(actual)).distinct(), MAX_CLASSES)

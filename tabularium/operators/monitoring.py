@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,17 +182,18 @@ def similar_items(df: DataFrame, key: str, vector: str, item, k: int = 10) -> Da
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
-def profile_similarity(df: DataFrame, columns: list[str], max_profiles: int = 10_000) -> DataFrame:
+def profile_similarity(df: DataFrame, columns: list[str]) -> DataFrame:
     """(profile_a, profile_b, similarity) between distinct one-hot feature profiles.
 
-    Items with equal features share a profile, so the item-by-item matrix is this table joined to the items; the number
-    of profiles is checked before they are compared.
+    Items with equal features share a profile, so the item-by-item matrix is this table joined to the items. A profile
+    is shown as column=value pairs without the NULL ones; profiles are told apart by their typed values.
     """
-    profile = F.concat_ws("|", *[F.concat_ws("=", F.lit(c), col(c).cast("string")) for c in columns])
-    profiles = df.select(profile.alias("profile_a"), F.array(*[F.concat_ws("=", F.lit(c), col(c).cast("string")) for c in columns]).alias("a")).distinct()
-    pairs = cross(profiles, profiles.select(F.col("profile_a").alias("profile_b"), F.col("a").alias("b")), max_profiles)
-    shared = F.size(F.array_intersect("a", "b")) / F.lit(float(len(columns)))
-    return pairs.select("profile_a", "profile_b", shared.alias("similarity"))
+    shown = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), col(c).cast("string")) for c in columns])
+    made = F.struct(*[col(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    profiles = df.select(made.alias("a"), shown.alias("profile_a")).distinct()
+    pairs = cross(profiles, profiles.select(F.col("a").alias("b"), F.col("profile_a").alias("profile_b")))
+    same = [F.coalesce((F.col(f"a.v{i}") == F.col(f"b.v{i}")).cast("int"), F.lit(0)) for i in range(len(columns))]
+    return pairs.select("profile_a", "profile_b", (sum(same[1:], same[0]) / F.lit(float(len(columns)))).alias("similarity"))
 
 
 def propagate(edges: DataFrame, nodes: DataFrame, src: str, dst: str, node: str, features: str) -> DataFrame:
@@ -214,14 +219,17 @@ def interaction_strength(df: DataFrame, importances: dict[str, float]) -> DataFr
 
 
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(rows, content_hash): order-independent, equal for equal multisets of rows."""
+    """(rows, content_hash): order-independent, equal for equal multisets of rows under the same names and types.
+
+    Every value goes in with its length, so values cannot run into each other and NULL differs from every text; nested
+    values go in as JSON. 128 bits of each row's digest are summed, and a digest of the schema stands in front.
+    """
     columns = columns or df.columns
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(col(c).cast("string"), F.lit("\\N")) for c in columns]))
+    kinds = dict(df.dtypes)
+    text = lambda c: F.to_json(F.struct(col(c))) if re.match("array|map|struct", kinds[c]) else F.hex(col(c)) if kinds[c] == "binary" else col(c).cast("string")
+    field = lambda c: F.coalesce(F.concat(F.char_length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-"))
+    digest = F.md5(F.concat(*[field(c) for c in columns]))
     piece = lambda i: F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
     total = lambda i: F.coalesce(F.sum(piece(i)), F.lit(0)).cast("string")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *[total(i) for i in range(4)]).alias("content_hash"))
-
-
-def vector_mean(columns: list[str]) -> Column:
-    values = F.array(*[col(c).cast("double") for c in columns])
-    return array_sum(values) / len(columns)
+    schema = hashlib.md5(json.dumps([(c, kinds[c]) for c in columns]).encode()).hexdigest()
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", F.lit(schema), *[total(i) for i in range(4)]).alias("content_hash"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.guarded import all_of, col, numeric_columns, safe_divide
-from .lookup import bounded_local, join_lookup
+from .lookup import join_lookup
 from .ordered import Ordered
 
 CAST_ALIASES = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean"}
@@ -75,8 +75,15 @@ def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame
     return df.withColumn("__r", rank).orderBy("__r").limit(n).drop("__r")
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+def keyed_uniform(seed: int | str, keys: list[str | Column]) -> Column:
+    """A number in [0, 1) that depends on the seed and the key values only, not on partitions or retries."""
+    parts = [F.coalesce((col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+
+
+def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """Each row with probability ``fraction``, drawn by its key (all columns unless given)."""
+    return df.filter(keyed_uniform(seed, key or df.columns) < fraction)
 
 
 def dropna(df: DataFrame, subset: list[str] | None = None, how: str = "any") -> DataFrame:
@@ -216,22 +223,9 @@ def merge(
     return out.withColumnsRenamed({f"__r_{k}": k for k in rkeys})
 
 
-def cross(left: DataFrame, right: DataFrame, max_right: int = 10_000) -> DataFrame:
-    """Every left row with every row of a small right table, whose size is checked first.
-
-    The right rows travel as one array and are exploded per left row; a right side above the bound is refused because
-    the product of two growing tables cannot be a usable result.
-    """
-    small = bounded_local(right, max_right)
-    if small is None:
-        raise ValueError(f"the right side of a cross join may hold at most {max_right} rows")
-    rows = small.agg(F.collect_list(F.struct(*[col(c) for c in small.columns])).alias("__rows"))
-    packed = rows.first()["__rows"]
-    schema = T.StructType([T.StructField("__rows", T.ArrayType(small.schema))])
-    const = left.sparkSession.createDataFrame([(packed,)], schema)
-    return left.withColumn("__one", F.lit(1)).join(F.broadcast(const.withColumn("__one", F.lit(1))), "__one").select(
-        *[col(c) for c in left.columns], F.inline("__rows")
-    )
+def cross(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every left row with every right row, planned by Spark; the size of the product is the caller's choice."""
+    return left.crossJoin(right)
 
 
 def lookup_map(df: DataFrame, table: DataFrame, key: str, value: str, name: str, default=None) -> DataFrame:
@@ -262,7 +256,3 @@ def in_small_groups(df: DataFrame, keys: list[str], below: int, name: str = "in_
     sizes = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__size"))
     out = join_lookup(df, sizes, keys, null_safe=True)
     return out.withColumn(name, F.col("__size") < below).drop("__size")
-
-
-def numeric_only(df: DataFrame) -> DataFrame:
-    return df.select(*[col(c) for c in numeric_columns(df)])

@@ -16,11 +16,6 @@ def variance_table(df: DataFrame, columns: list[str] | None = None, threshold: f
     return wide_to_long(row, {c: {"variance": F.col(f"v{i}")} for i, c in enumerate(columns)}).withColumn("kept", F.col("variance") > threshold)
 
 
-def drop_low_variance(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.01) -> DataFrame:
-    low = [r["column"] for r in variance_table(df, columns, threshold).filter("NOT kept").collect()]
-    return df.drop(*low)
-
-
 def correlated_columns(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.95) -> list[str]:
     """Later column of every pair whose |r| exceeds the threshold."""
     columns = columns or numeric_columns(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.guarded import col
+from ..functions.guarded import all_of, col
 from .ordered import Ordered
 
 
@@ -13,16 +13,19 @@ def as_of_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, r
     """Each left row with the values of the latest right row at or before it.
 
     Both sides are stacked and the last right row is carried forward, so there is one shuffle and no range condition;
-    a hot key is split over ranges like any other ordered group. ``left_key``/``right_key`` break ties.
+    a hot key is split over ranges like any other ordered group. ``left_key``/``right_key`` break ties in their own
+    types. Right rows without key or time match nothing, and left rows without them find nothing.
     """
     payload = F.struct(*[col(v).alias(v) for v in values])
-    tie = lambda names: F.concat_ws("|", *[F.lpad(col(n).cast("string"), 20, "0") for n in names])
+    ties = lambda side, names: [col(n).alias(f"__{side}{i}") for i, n in enumerate(names)]
     whole = F.struct(*[col(c) for c in left.columns])
-    a = left.select(*[col(k).alias(f"__k_{k}") for k in on], col(left_ts).alias("__ts"), F.lit(1).alias("__side"), tie(left_key).alias("__tie"), whole.alias("__row"))
-    b = right.select(*[col(k).alias(f"__k_{k}") for k in on], col(right_ts).alias("__ts"), F.lit(0).alias("__side"), tie(right_key).alias("__tie"), payload.alias("__value"))
+    known = all_of([col(c).isNotNull() for c in [*on, right_ts]])
+    a = left.select(*[col(k).alias(f"__k_{k}") for k in on], col(left_ts).alias("__ts"), F.lit(1).alias("__side"), *ties("l", left_key), whole.alias("__row"))
+    b = right.filter(known).select(*[col(k).alias(f"__k_{k}") for k in on], col(right_ts).alias("__ts"), F.lit(0).alias("__side"), *ties("r", right_key), payload.alias("__value"))
     keys = [f"__k_{k}" for k in on]
     stacked = a.unionByName(b, allowMissingColumns=True)
-    carried = Ordered(stacked, keys, ["__ts", "__side", "__tie"]).running(ffill={"__found": F.col("__value")})
+    order = ["__ts", "__side", *[f"__r{i}" for i in range(len(right_key))], *[f"__l{i}" for i in range(len(left_key))]]
+    carried = Ordered(stacked, keys, order).running(ffill={"__found": F.col("__value")})
     return carried.filter("__side = 1").select("__row.*", *[F.col(f"__found.{v}").alias(v) for v in values])
 
 

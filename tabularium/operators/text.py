@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.guarded import col, string_columns, wide_to_long
-from ..session import max_broadcast_rows
 from .lookup import join_lookup
 
 # letters, numbers and underscore of any script; everything else separates tokens
@@ -134,8 +133,7 @@ def term_rows(df: DataFrame, key: str, column: str, ngrams: int, stop: list[str]
 def tfidf(df: DataFrame, key: str, column: str, ngrams: int = 1, max_features: int | None = None, stop: list[str] | None = None) -> DataFrame:
     """(key, term, tf, df, weight): count * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
 
-    ``max_features`` keeps the terms of highest corpus count (ties by term); a kept vocabulary within the lookup bound is
-    sent to every task, a larger one is shuffle-joined.
+    ``max_features`` keeps the terms of highest corpus count (ties by term).
     """
     stop = lexicon.STOP_EN if stop is None else stop
     n = df.filter(col(column).isNotNull()).count()
@@ -143,8 +141,7 @@ def tfidf(df: DataFrame, key: str, column: str, ngrams: int = 1, max_features: i
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("__total"))
     if max_features:
         vocabulary = vocabulary.orderBy(F.desc("__total"), "term").limit(max_features).drop("__total")
-        fits = max_features <= max_broadcast_rows(df.sparkSession)
-        joined = counts.join(F.broadcast(vocabulary) if fits else vocabulary, "term")
+        joined = counts.join(vocabulary, "term")
     else:
         joined = counts.join(vocabulary.drop("__total"), "term")
     raw = F.col("tf") * (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)

@@ -131,8 +131,3 @@ def category_codes(df: DataFrame, columns: list[str], name: str = "code") -> Dat
     """(columns..., code): dense 0-based rank of each distinct category combination in sorted order."""
     values = df.select(*[col(c) for c in columns]).filter(reduce(lambda a, b: a & b, [col(c).isNotNull() for c in columns])).distinct()
     return Ordered(values, [], columns).running(sums={name: F.lit(1).cast("long")}).withColumn(name, col(name) - 1)
-
-
-def with_category_code(df: DataFrame, column: str, name: str = "code", missing: int = -1) -> DataFrame:
-    out = join_lookup(df, category_codes(df, [column], name), [column])
-    return out.withColumn(name, F.coalesce(col(name), F.lit(missing)))

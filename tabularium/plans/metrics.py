@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -439,16 +442,29 @@ def _(t: Tables):
     return made.select("id", F.get("f", F.lit(0)).alias("x"), F.get("f", F.lit(1)).alias("y"))
 
 
+FINGERPRINTED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+FIELDS_SQL = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in FINGERPRINTED)
+
+
+def fingerprint_sql(table: str, kinds: list[str]) -> str:
+    schema = hashlib.md5(json.dumps(list(zip(FINGERPRINTED, kinds))).encode()).hexdigest()
+    sums = " || '-' || ".join(f"sum(('0x' || substr(md5({FIELDS_SQL}), {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(4))
+    return f"SELECT count(*) AS rows, '{schema}-' || {sums} AS content_hash FROM {table}"
+
+
+@query("m39_fingerprint", fingerprint_sql("orders", ["bigint", "bigint", "string", "string"]))
+def _(t: Tables):
+    return D.fingerprint(t.orders, FINGERPRINTED)
+
+
 @query(
-    "m39_fingerprint",
-    "SELECT count(*) AS rows, "
-    + " || '-' || ".join(
-        f"sum(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority), {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(4)
-    )
-    + " AS content_hash FROM orders",
+    "m39_fingerprint_nulls",
+    fingerprint_sql("(SELECT o_orderkey, nullif(o_custkey % 7, 0) AS o_custkey, nullif(o_orderstatus, 'F') AS o_orderstatus, o_orderpriority || '|-' AS o_orderpriority FROM orders)", ["bigint", "bigint", "string", "string"]),
 )
 def _(t: Tables):
-    return D.fingerprint(t.orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    status = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))
+    key = F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % 7)
+    return D.fingerprint(t.orders.withColumns({"o_custkey": key, "o_orderstatus": status, "o_orderpriority": F.concat("o_orderpriority", F.lit("|-"))}), FINGERPRINTED)
 
 
 @query(

@@ -133,9 +133,12 @@ def _(t: Tables):
     return R.sample_n(t.customer.select("c_custkey", "c_acctbal"), 100, ["c_custkey"])
 
 
-@query("p10_sample_fraction")
+@query(
+    "p10_sample_fraction",
+    "SELECT c_custkey, c_acctbal FROM customer WHERE ('0x' || substr(md5('42|' || c_custkey), 1, 12))::BIGINT / 281474976710656.0 < 0.1",
+)
 def _(t: Tables):
-    return R.sample_fraction(t.customer, 0.1).select("c_custkey", "c_acctbal")
+    return R.sample_fraction(t.customer, 0.1, key=["c_custkey"]).select("c_custkey", "c_acctbal")
 
 
 @query(

@@ -135,3 +135,16 @@ def _(t: Tables):
     right = t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", F.col("value").alias("last_purchase"))
     made = S.as_of_join(left, right, ["user_id"], "ts", "ts", ["event_id"], ["event_id"], ["last_purchase"])
     return made.select("event_id", "last_purchase")
+
+
+@query(
+    "d10_as_of_join_nulls",
+    """WITH e AS (SELECT event_id, nullif(user_id % 5, 0) AS k, CASE WHEN event_id % 11 <> 0 THEN date_trunc('day', ts) END AS ts, event_type, event_id - 500 AS tie, value FROM events),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, ts ORDER BY tie DESC) AS rn FROM e WHERE event_type = 'purchase') WHERE rn = 1)
+    SELECT l.event_id, p.value AS last_purchase FROM (SELECT * FROM e WHERE event_type <> 'purchase') l ASOF LEFT JOIN p ON l.k = p.k AND l.ts >= p.ts""",
+)
+def _(t: Tables):
+    keyed = t.events.withColumns({"k": F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 5), "ts": F.when(F.col("event_id") % 11 != 0, F.date_trunc("day", "ts")), "tie": F.col("event_id") - 500})
+    left = keyed.filter("event_type <> 'purchase'").select("event_id", "k", "ts")
+    right = keyed.filter("event_type = 'purchase'").select("tie", "k", "ts", F.col("value").alias("last_purchase"))
+    return S.as_of_join(left, right, ["k"], "ts", "ts", ["event_id"], ["tie"], ["last_purchase"]).select("event_id", "last_purchase")

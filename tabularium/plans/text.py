@@ -226,19 +226,41 @@ def _(t: Tables):
     return V.clipped_means(t.customer, ["c_mktsegment"], "c_acctbal", (0.0, 5000.0))
 
 
-@query("v09_private_means")
+def uniform_sql(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT / 281474976710656.0)"
+
+
+def laplace_sql(scale: str, text: str) -> str:
+    u = f"({uniform_sql(text)} - 0.5)"
+    return f"-({scale}) * sign({u}) * ln(greatest(1 - 2 * abs({u}), 1e-300))"
+
+
+@query(
+    "v09_private_means",
+    f"""SELECT c_mktsegment, clipped_mean + {laplace_sql('5000 / n::DOUBLE', "'42|' || c_mktsegment")} AS private_mean
+    FROM (SELECT c_mktsegment, count(c_acctbal) AS n, avg(least(greatest(c_acctbal, 0), 5000)) AS clipped_mean FROM customer GROUP BY 1)""",
+    floats="private_mean",
+    digits=4,
+)
 def _(t: Tables):
-    return V.private_means(t.customer, ["c_mktsegment"], "c_acctbal", (0.0, 5000.0))
+    return V.private_means(t.customer, ["c_mktsegment"], "c_acctbal", (0.0, 5000.0), seed=42)
 
 
-@query("v09_private_counts")
+@query(
+    "v09_private_counts",
+    f"""SELECT event_type, greatest(0, trunc(n + {laplace_sql('1.0', "'42|' || event_type")})::BIGINT) AS private_count FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""",
+)
 def _(t: Tables):
-    return V.private_counts(t.events, ["event_type"])
+    return V.private_counts(t.events, ["event_type"], seed=42)
 
 
-@query("v10_randomised_response")
+@query(
+    "v10_randomised_response",
+    f"""SELECT CASE WHEN {uniform_sql("'42:keep|' || doc_id")} < exp(1.0) / (1 + exp(1.0)) THEN toxic::BOOLEAN ELSE {uniform_sql("'42:coin|' || doc_id")} < 0.5 END AS toxic, count(*) AS n
+    FROM labels GROUP BY 1""",
+)
 def _(t: Tables):
-    answered = V.randomised_response(t.labels, "toxic")
+    answered = V.randomised_response(t.labels, "toxic", ["doc_id"], seed=42)
     return answered.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -45,8 +45,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def max_group_rows(spark: SparkSession) -> int:
     """Largest ordered group one task may hold before it is split into ranges."""
     return int(spark.conf.get("spark.tabularium.maxGroupRows", "1000000"))
-
-
-def max_broadcast_rows(spark: SparkSession) -> int:
-    """Largest lookup table that is sent to every executor; larger ones are shuffle-joined."""
-    return int(spark.conf.get("spark.tabularium.maxBroadcastRows", "200000"))

@@ -28,12 +28,10 @@ def spark():
 
 @pytest.fixture
 def small_groups(spark):
-    """Force the paths for large groups and large lookup tables on tiny data."""
+    """Force the paths for large groups on tiny data."""
     spark.conf.set("spark.tabularium.maxGroupRows", "25")
-    spark.conf.set("spark.tabularium.maxBroadcastRows", "3")
     yield
     spark.conf.unset("spark.tabularium.maxGroupRows")
-    spark.conf.unset("spark.tabularium.maxBroadcastRows")
 
 
 @pytest.fixture

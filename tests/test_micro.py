@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions import pvalues
 from tabularium.functions.guarded import clip, corr, nan_to_null, sample_kurtosis, sample_skew
+from tabularium.operators import versioning as VR
 from tabularium.operators import aggregate as A
 from tabularium.operators import cleaning as C
 from tabularium.operators import encoders as E
@@ -136,16 +137,21 @@ def test_k_anonymity_borders(spark):
 
 
 def test_randomised_response_rate(spark):
-    df = spark.range(20_000).select(F.lit(True).alias("b"))
+    df = spark.range(20_000).select("id", F.lit(True).alias("b"))
     p = math.e / (1 + math.e)
-    share = V.randomised_response(df, "b").agg(F.avg(F.col("b").cast("int"))).first()[0]
+    share = V.randomised_response(df, "b", ["id"]).agg(F.avg(F.col("b").cast("int"))).first()[0]
     assert share == pytest.approx(p + (1 - p) / 2, abs=0.02)
 
 
 def test_private_mean_is_near_the_clipped_mean(spark):
     df = spark.range(5000).select(F.lit("g").alias("g"), (F.col("id") % 100).alias("v"))
-    r = V.private_means(df, ["g"], "v", (0.0, 50.0)).first()
-    assert abs(r["private_mean"] - r["clipped_mean"]) < 1.0
+    exact = V.clipped_means(df, ["g"], "v", (0.0, 50.0)).first()["clipped_mean"]
+    for delta in (None, 1e-5):
+        released = V.private_means(df, ["g"], "v", (0.0, 50.0), delta=delta)
+        assert released.columns == ["g", "private_mean"] and abs(released.first()["private_mean"] - exact) < 1.0
+    assert V.private_counts(df, ["g"]).columns == ["g", "private_count"]
+    # without a seed no two releases share their noise
+    assert V.private_means(df, ["g"], "v", (0.0, 50.0)).first() != V.private_means(df, ["g"], "v", (0.0, 50.0)).first()
 
 
 def test_arabic_text(spark):
@@ -211,9 +217,33 @@ def test_ab_bucket_matches_md5_modulo(spark):
     assert got == {i: int(hashlib.md5(str(i).encode()).hexdigest(), 16) % 100 for i in range(50)}
 
 
-def test_cross_join_refuses_a_large_right_side(spark):
-    with pytest.raises(ValueError):
-        R.cross(spark.range(3), spark.range(50), max_right=10)
+def test_fingerprint_tells_values_types_and_nulls_apart(spark):
+    tables = [
+        spark.createDataFrame([("a|b", "c")], "x string, y string"), spark.createDataFrame([("a", "b|c")], "x string, y string"),
+        spark.createDataFrame([(None, "\\N")], "x string, y string"), spark.createDataFrame([("\\N", None)], "x string, y string"),
+        spark.createDataFrame([("a|b", "c")], "x string, z string"), spark.createDataFrame([("1", "2")], "x string, y string"), spark.createDataFrame([("1", 2)], "x string, y int"),
+    ]
+    assert len({D.fingerprint(t).first()["content_hash"] for t in tables}) == len(tables)
+
+
+def test_versions_keep_tables_with_close_content(spark, tmp_path):
+    store = VR.DatasetVersions(spark, str(tmp_path))
+    a, b = spark.createDataFrame([("a|b", "c")], "x string, y string"), spark.createDataFrame([("a", "b|c")], "x string, y string")
+    assert [store.save(t, "t") for t in (a, b, a)] == [1, 2, 1] and store.load("t").collect() == b.collect()
+
+
+def test_as_of_join_with_nulls_and_ties(spark):
+    from tabularium.operators import sqlsurface as S
+
+    long = "k" * 21
+    right = spark.createDataFrame([("u", 5, long + "1", 1.0), ("u", 5, long + "2", 2.0), (None, 1, "a", 9.0), ("u", None, "a", 8.0), ("v", 1, "a", 7.0)], "k string, ts int, tie string, x double")
+    left = spark.createDataFrame([(1, "u", 5), (2, "u", 4), (3, None, 9), (4, "u", None), (5, "v", 1)], "id int, k string, ts int")
+    want = {1: 2.0, 2: None, 3: None, 4: None, 5: 7.0}
+    for frame in (right, right.orderBy(F.desc("tie")).repartition(3)):
+        assert {r["id"]: r["x"] for r in S.as_of_join(left, frame, ["k"], "ts", "ts", ["id"], ["tie"], ["x"]).collect()} == want
+    # negative keys compare as numbers
+    numbers = spark.createDataFrame([("u", 5, -5, 1.0), ("u", 5, -1, 2.0)], "k string, ts int, tie int, x double")
+    assert S.as_of_join(left, numbers, ["k"], "ts", "ts", ["id"], ["tie"], ["x"]).filter("id = 1").first()["x"] == 2.0
 
 
 def test_propagate_small_graph(spark):

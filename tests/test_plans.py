@@ -41,8 +41,20 @@ def test_rank_limits_are_applied_before_the_shuffle(spark, sf_dir):
     assert plan(W.last_k(df, ["user_id"], ["ts", "event_id"], 5)).count("WindowGroupLimit") == 2
 
 
-def test_large_lookups_are_not_broadcast_by_hint(spark, sf_dir, small_groups):
-    from tabularium.operators.lookup import bounded_local
+def test_planning_a_lookup_runs_nothing(spark, sf_dir):
+    from tabularium.operators.lookup import join_lookup
 
-    table = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    assert bounded_local(table) is None
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    spark.sparkContext.setJobGroup("lookup", "planning only")
+    made = join_lookup(orders, orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), ["o_custkey"], null_safe=True)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("lookup")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert made.count() == orders.count()
+
+
+def test_quantiles_gather_no_rows(spark, sf_dir):
+    from tabularium.operators import quantiles as Q
+
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    text = plan(Q.quantile_table(df, ["l_returnflag"], ["l_quantity"], [0.5]))
+    assert "SinglePartition" not in text and "collect_list(l_quantity" not in text

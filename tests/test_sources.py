@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tabularium.sources import catalog, jdbc, readers, synthetic, uri, writers
+from tabularium.sources import catalog, jdbc, readers, uri, writers
 from tabularium.streaming import sources as S
 
 
@@ -85,13 +85,6 @@ def test_kafka_options():
     assert out == {"kafka.bootstrap.servers": "a:1,b:2", "subscribe": "events", "startingOffsets": "latest", "maxOffsetsPerTrigger": "500"}
 
 
-@pytest.mark.parametrize("domain", synthetic.DOMAINS)
-def test_domain_tables_are_seeded(spark, domain):
-    a, b = synthetic.domain_table(spark, domain, 200), synthetic.domain_table(spark, domain, 200)
-    assert a.count() == 200 and a.exceptAll(b).count() == 0
-    assert synthetic.domain_table(spark, domain, 200, seed=1).exceptAll(a).count() > 0
-
-
 def test_spread_only_small_inputs(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert readers.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
