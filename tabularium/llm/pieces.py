@@ -183,10 +183,16 @@ def fit(labelled: DataFrame, pieces: list[str], rounds: int = 2, smoothing: floa
 
 
 def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int) -> DataFrame:
-    """About ``per_label`` rows of each label, chosen by a hash of the id."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_label")
+    """About ``per_label`` rows of each label, chosen by a hash of the id.
+
+    The shares by label are literals, like the model one value per label, so no text is moved to draw the sample.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    if not sizes:
+        return rows
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / (1 << 30)
-    return rows.join(sizes, rows[label] == sizes["_label"]).filter(share * F.col("_n") < per_label).drop("_n", "_label")
+    size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col(label)]
+    return rows.filter(share * size < per_label)
 
 
 def crc_mod(id_col: str, n: int) -> Column:
