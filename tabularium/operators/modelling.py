@@ -17,13 +17,15 @@ from pyspark.ml import recommendation as MREC
 from pyspark.ml import regression as MR
 from pyspark.ml import tuning as MT
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.guarded import col
 from . import monitoring
+from .lookup import join_lookup
 from .ordered import row_numbers
 from .quantiles import quantiles
+from .windows import category_codes
 
 REGISTRY: dict[str, dict[str, object]] = {
     "classification": {
@@ -57,15 +59,27 @@ def build(problem: str, name: str, **params) -> Estimator:
     return REGISTRY[problem][name](**params)
 
 
-def preprocess_stages(numeric: list[str], categorical: list[str], output: str = "features", scale: bool = True) -> list:
-    """Median imputation and scaling of numbers, ``missing`` fill and one-hot of categories, one vector column."""
+def target_codes(df: DataFrame, target: str) -> DataFrame:
+    """(target, __y): each class of a label of any type, numbered from 0 in sorted order; NULL is no class."""
+    return category_codes(df, [target], "__y").withColumn("__y", F.col("__y").cast("double"))
+
+
+def with_target(df: DataFrame, target: str, problem: str) -> DataFrame:
+    """Adds ``__y``: the class number, joined, or the number itself; rows without target go."""
+    known = df.filter(col(target).isNotNull())
+    if problem == "classification":
+        return join_lookup(known, target_codes(known, target), [target], "inner")
+    return known.withColumn("__y", col(target).cast("double"))
+
+
+def preprocess_stages(df: DataFrame, numeric: list[str], categorical: list[str], output: str = "features", scale: bool = True) -> list:
+    """Exact-median imputation and scaling of numbers, ``missing`` fill and one-hot of categories, one vector column."""
     stages, inputs = [], []
     if numeric:
-        casts = ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{c}__d`" for c in numeric)
-        stages.append(MF.SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"))
-        filled = [f"{c}__n" for c in numeric]
-        stages.append(MF.Imputer(strategy="median", inputCols=[f"{c}__d" for c in numeric], outputCols=filled))
-        stages.append(MF.VectorAssembler(inputCols=filled, outputCol="__numeric", handleInvalid="keep"))
+        medians = quantiles(df, numeric, [0.5])
+        fill = lambda c: f"CASE WHEN `{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)) THEN CAST('{medians[c][0.5] or 0.0!r}' AS DOUBLE) ELSE CAST(`{c}` AS DOUBLE) END AS `{c}__n`"
+        stages.append(MF.SQLTransformer(statement=f"SELECT *, {', '.join(fill(c) for c in numeric)} FROM __THIS__"))
+        stages.append(MF.VectorAssembler(inputCols=[f"{c}__n" for c in numeric], outputCol="__numeric", handleInvalid="keep"))
         if scale:
             stages.append(MF.StandardScaler(inputCol="__numeric", outputCol="__scaled", withMean=True))
         inputs.append("__scaled" if scale else "__numeric")
@@ -81,7 +95,7 @@ def preprocess_stages(numeric: list[str], categorical: list[str], output: str =
 
 
 def fit_preprocess(df: DataFrame, numeric: list[str], categorical: list[str] = (), scale: bool = True) -> PipelineModel:
-    return Pipeline(stages=preprocess_stages(list(numeric), list(categorical), scale=scale)).fit(df)
+    return Pipeline(stages=preprocess_stages(df, list(numeric), list(categorical), scale=scale)).fit(df)
 
 
 def assemble(df: DataFrame, columns: list[str], output: str = "features") -> DataFrame:
@@ -99,11 +113,15 @@ class TabularModel:
     label: str = "label"
     params: dict = field(default_factory=dict)
     fitted: PipelineModel | None = None
+    classes: DataFrame | None = None
 
     def fit(self, df: DataFrame) -> "TabularModel":
-        labelled = df.withColumn(self.label, col(self.label).cast("double"))
-        model = build(self.problem, self.name, labelCol=self.label, featuresCol="features", **self.params)
-        self.fitted = Pipeline(stages=[*preprocess_stages(self.numeric, self.categorical, scale=self.name != "naive_bayes"), model]).fit(labelled)
+        """Classes may be of any type; they are numbered in sorted order and ``predict`` gives them back."""
+        labelled = with_target(df, self.label, self.problem)
+        if self.problem == "classification":
+            self.classes = target_codes(df, self.label).withColumnsRenamed({self.label: "class", "__y": "prediction"})
+        model = build(self.problem, self.name, labelCol="__y", featuresCol="features", **self.params)
+        self.fitted = Pipeline(stages=[*preprocess_stages(labelled, self.numeric, self.categorical, scale=self.name != "naive_bayes"), model]).fit(labelled)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -111,20 +129,25 @@ class TabularModel:
         return out.drop(*[c for c in out.columns if c not in df.columns and c.endswith(("__d", "__n", "__c", "__i", "__o"))], "__numeric", "__scaled")
 
     def predict(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
-        """Add ``prediction`` and, for classifiers that give one, ``probability_1``."""
+        """Add ``prediction`` (a class number), its ``class``, and, for classifiers that give one, ``probability_1``."""
         out = self.transform(df)
         if self.problem == "classification" and "probability" in out.columns:
             out = out.withColumn("probability_1", F.get(vector_to_array("probability"), F.lit(1)))
             if threshold is not None:
                 out = out.withColumn("prediction", (F.col("probability_1") >= threshold).cast("double"))
-        return out.drop("features", "rawPrediction", "probability")
+        out = out.drop("features", "rawPrediction", "probability")
+        return out if self.classes is None else join_lookup(out, self.classes, ["prediction"])
 
     def save(self, path: str) -> None:
-        self.fitted.write().overwrite().save(path)
+        self.fitted.write().overwrite().save(f"{path}/pipeline")
+        if self.classes is not None:
+            self.classes.write.mode("overwrite").parquet(f"{path}/classes")
 
     @classmethod
     def load(cls, path: str, problem: str, name: str, numeric: list[str], categorical: list[str] = (), label: str = "label") -> "TabularModel":
-        return cls(problem, name, list(numeric), list(categorical), label, fitted=PipelineModel.load(path))
+        fitted = PipelineModel.load(f"{path}/pipeline")
+        classes = SparkSession.active().read.parquet(f"{path}/classes") if problem == "classification" else None
+        return cls(problem, name, list(numeric), list(categorical), label, fitted=fitted, classes=classes)
 
 
 def evaluator(problem: str, label: str, metric: str | None = None):
@@ -168,6 +191,7 @@ def race(train: DataFrame, test: DataFrame, models: dict[str, Estimator], label:
 def random_grid(estimator: Estimator, space: dict[str, list], n: int, seed: int = 42) -> list[dict]:
     """n distinct seeded draws from the product of the listed values."""
     rng, seen = random.Random(seed), {}
+    space = {name: list(dict.fromkeys(values)) for name, values in space.items()}
     size = 1
     for values in space.values():
         size *= len(values)
@@ -196,17 +220,35 @@ SPACES = {
 
 
 def soft_vote(df: DataFrame, models: dict[str, Model], problem: str) -> DataFrame:
-    """Average of class-1 probabilities (or predictions) of several models, added without joins."""
+    """Average of all class probabilities of several models, added without joins.
+
+    ``prediction`` is the class of the highest average, the first of equal ones, and ``vote`` that average; a model
+    without probabilities votes for its class alone. For regression both are the mean prediction.
+    """
     keep, parts, out = list(df.columns), [], df
+    classes = max([2, *(int(m.numClasses) for m in models.values() if hasattr(m, "numClasses"))])
     for i, model in enumerate(models.values()):
         scored = model.transform(out)
         part = f"__m{i}"
-        value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in scored.columns else F.col("prediction")
+        if problem != "classification":
+            value = F.col("prediction")
+        elif "probability" in scored.columns:
+            value = vector_to_array("probability")
+        else:
+            value = F.array(*[(F.col("prediction") == c).cast("double") for c in range(classes)])
         out = scored.withColumn(part, value).select(*[col(c) for c in keep], *parts, part)
         parts.append(part)
-    mean = sum((F.col(p) for p in parts), F.lit(0.0)) / len(parts)
-    final = (mean >= 0.5).cast("double") if problem == "classification" else mean
-    return out.withColumns({"vote": mean, "prediction": final}).drop(*parts)
+    if problem != "classification":
+        mean = sum((F.col(p) for p in parts), F.lit(0.0)) / len(parts)
+        return out.withColumns({"vote": mean, "prediction": mean}).drop(*parts)
+    share = lambda c: sum((F.coalesce(F.get(p, F.lit(c)), F.lit(0.0)) for p in parts), F.lit(0.0)) / len(parts)
+    out = out.withColumn("__all", F.array(*[share(c) for c in range(classes)])).withColumn("vote", F.array_max("__all"))
+    return out.withColumn("prediction", (F.array_position("__all", F.col("vote")) - 1).cast("double")).drop("__all", *parts)
+
+
+def _opinion(scored: DataFrame) -> Column:
+    """What a model says of a row: all class probabilities, else its prediction."""
+    return F.col("probability" if "probability" in scored.columns else "prediction")
 
 
 def stack(df: DataFrame, models: dict[str, Estimator], key: str, label: str, problem: str, k: int = 5) -> tuple[dict[str, Model], Model]:
@@ -219,8 +261,7 @@ def stack(df: DataFrame, models: dict[str, Estimator], key: str, label: str, pro
         keep, out = list(frame.columns), frame
         for n, m in zip(names, fitted):
             scored = m.transform(out)
-            value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in scored.columns else F.col("prediction")
-            out = scored.withColumn(f"oof_{n}", value).select(*[col(c) for c in keep], f"oof_{n}")
+            out = scored.withColumn(f"oof_{n}", _opinion(scored)).select(*[col(c) for c in keep], f"oof_{n}")
             keep.append(f"oof_{n}")
         return out
 
@@ -240,8 +281,7 @@ def stack_predict(df: DataFrame, base: dict[str, Model], top: Model) -> DataFram
     keep, out = list(df.columns), df
     for n, m in base.items():
         scored = m.transform(out)
-        value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in scored.columns else F.col("prediction")
-        out = scored.withColumn(f"oof_{n}", value).select(*[col(c) for c in keep], *[f"oof_{b}" for b in base if f"oof_{b}" in scored.columns], f"oof_{n}")
+        out = scored.withColumn(f"oof_{n}", _opinion(scored)).select(*[col(c) for c in keep], *[f"oof_{b}" for b in base if f"oof_{b}" in scored.columns], f"oof_{n}")
     scored = top.transform(assemble(out, [f"oof_{n}" for n in base], "__stack"))
     return scored.select(*[col(c) for c in df.columns], "prediction")
 
@@ -253,12 +293,19 @@ def feature_names(df: DataFrame, features: str = "features") -> list[str]:
     return [n for _, n in slots]
 
 
+def _weights(model: Model) -> list[float]:
+    """Absolute coefficients; with several classes the largest over them."""
+    if hasattr(model, "coefficientMatrix"):
+        return [float(v) for v in abs(model.coefficientMatrix.toArray()).max(axis=0)]
+    return [abs(float(v)) for v in model.coefficients.toArray()]
+
+
 def importances(model: Model, names: list[str], spark, k: int | None = None) -> DataFrame:
     """(feature, importance, share, rank) from tree importances or absolute coefficients."""
     if hasattr(model, "featureImportances"):
         values = [float(v) for v in model.featureImportances.toArray()]
     else:
-        values = [abs(float(v)) for v in model.coefficients.toArray()]
+        values = _weights(model)
     names = names if len(names) == len(values) else [f"f{i}" for i in range(len(values))]
     total = sum(values) or 1.0
     ranked = sorted(zip(names, values), key=lambda x: (-x[1], x[0]))
@@ -267,7 +314,7 @@ def importances(model: Model, names: list[str], spark, k: int | None = None) ->
 
 
 def forest_selection(df: DataFrame, columns: list[str], target: str, k: int = 10, problem: str = "classification") -> list[str]:
-    ready = assemble(df.withColumn("__y", col(target).cast("double")), columns, "__f")
+    ready = assemble(with_target(df, target, problem), columns, "__f")
     model = build(problem, "random_forest", labelCol="__y", featuresCol="__f").fit(ready)
     ranked = sorted(zip(columns, model.featureImportances.toArray()), key=lambda x: (-x[1], x[0]))
     return [c for c, _ in ranked[:k]]
@@ -275,7 +322,7 @@ def forest_selection(df: DataFrame, columns: list[str], target: str, k: int = 10
 
 def recursive_elimination(df: DataFrame, columns: list[str], target: str, k: int = 5, problem: str = "classification") -> list[str]:
     """Drop the weakest feature and refit until k remain."""
-    ready, left = df.withColumn("__y", col(target).cast("double")).persist(), list(columns)
+    ready, left = with_target(df, target, problem).persist(), list(columns)
     while len(left) > k:
         model = build(problem, "decision_tree", labelCol="__y", featuresCol="__f").fit(assemble(ready, left, "__f"))
         weights = model.featureImportances.toArray()
@@ -286,11 +333,11 @@ def recursive_elimination(df: DataFrame, columns: list[str], target: str, k: int
 
 def l1_selection(df: DataFrame, columns: list[str], target: str, k: int | None = None, problem: str = "classification", strength: float = 0.01) -> list[str]:
     """Columns an L1-penalised linear model keeps, largest standardised weight first."""
-    ready = assemble(df.withColumn("__y", col(target).cast("double")), columns, "__raw")
+    ready = assemble(with_target(df, target, problem), columns, "__raw")
     scaled = MF.StandardScaler(inputCol="__raw", outputCol="__f", withMean=True).fit(ready).transform(ready)
     name = "logistic_regression" if problem == "classification" else "linear_regression"
     model = build(problem, name, labelCol="__y", featuresCol="__f", regParam=strength, elasticNetParam=1.0).fit(scaled)
-    kept = [(c, abs(w)) for c, w in zip(columns, model.coefficients.toArray()) if abs(w) > 1e-9]
+    kept = [(c, w) for c, w in zip(columns, _weights(model)) if w > 1e-9]
     ranked = [c for c, _ in sorted(kept, key=lambda x: (-x[1], x[0]))]
     return ranked[:k] if k else ranked
 
@@ -312,8 +359,11 @@ def permutation_importance(model: Transformer, df: DataFrame, columns: list[str]
     return df.sparkSession.createDataFrame([(c, v, abs(v) / total) for c, v in rows], "feature string, importance double, share double")
 
 
-def partial_dependence(model: Transformer, df: DataFrame, column: str, points: int = 20) -> DataFrame:
-    """(value, average): mean prediction over all rows with the column set to each grid value between p5 and p95."""
+def partial_dependence(model: Transformer, df: DataFrame, column: str, points: int = 20, class_number: int = 1) -> DataFrame:
+    """(value, average): mean prediction over all rows with the column set to each grid value between p5 and p95.
+
+    For a classifier it is the mean probability of one class.
+    """
     distinct = [r[0] for r in df.select(col(column).cast("double")).distinct().limit(points + 1).collect()]
     if len(distinct) <= points:
         grid = sorted(v for v in distinct if v is not None)
@@ -323,7 +373,7 @@ def partial_dependence(model: Transformer, df: DataFrame, column: str, points: i
         grid = [q[0.05] + step * i for i in range(points)]
     spread = df.withColumn(column, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
     scored = model.transform(spread)
-    value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in scored.columns else F.col("prediction")
+    value = F.get(vector_to_array("probability"), F.lit(class_number)) if "probability" in scored.columns else F.col("prediction")
     return scored.groupBy(col(column).alias("value")).agg(F.avg(value).alias("average")).orderBy("value")
 
 
@@ -504,29 +554,31 @@ def auto_train(
     numeric: list[str],
     categorical: list[str] = (),
     models: list[str] | None = None,
-    max_features: int = 50,
+    max_features: int | None = None,
     tune: int = 0,
     balance: bool = True,
     test: float = 0.2,
     vote: int = 3,
 ) -> TrainingReport:
-    """Problem type, split, selection on train, class weights, race, optional tuning, vote, hold-out scores."""
+    """Problem type, split, selection on train, class weights, race, optional tuning, vote, hold-out scores.
+
+    Classes may be of any type and number; ``scored`` holds them and, for classification, the predicted ``class``.
+    """
     from . import selection
 
     problem = monitoring.problem_type(df, target, "small").first()["problem_type"]
-    labelled = df.filter(col(target).isNotNull()).withColumn("__y", col(target).cast("double"))
+    labelled = with_target(df, target, problem)
     split = monitoring.stratified_split(labelled, target, key, test) if problem == "classification" else monitoring.hash_split(labelled, key, test)
     split = split.persist()
     train, hold = split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split")
     scorer = selection.anova_scores if problem == "classification" else selection.regression_scores
-    chosen = selection.top_scores(scorer(train, list(numeric), target), max_features)
+    chosen = selection.top_scores(scorer(train, list(numeric), "__y"), max_features or max(1, len(numeric)))
     preprocess = fit_preprocess(train, chosen, list(categorical))
     ready, ready_hold = preprocess.transform(train), preprocess.transform(hold)
     options: dict = {"labelCol": "__y", "featuresCol": "features"}
     if balance and problem == "classification":
-        weights = {r["class"]: r["weight"] for r in monitoring.class_balance(train, target).collect()}
-        pairs = [F.lit(x) for kv in weights.items() for x in kv]
-        ready = ready.withColumn("__weight", F.try_element_at(F.create_map(*pairs), col(target)))
+        weights = monitoring.class_balance(train, "__y").select(F.col("class").alias("__y"), F.col("weight").alias("__weight"))
+        ready = join_lookup(ready, weights, ["__y"])
         options["weightCol"] = "__weight"
     ready = ready.persist()
     names = models or (["random_forest", "logistic_regression", "decision_tree"] if problem == "classification" else ["random_forest", "ridge", "decision_tree"])
@@ -543,9 +595,11 @@ def auto_train(
     top = {n: fitted[n] for n in ranked[:vote]}
     scored = soft_vote(ready_hold, top, problem) if vote > 1 else fitted[best].transform(ready_hold)
     model = fitted[best]
-    has_weights = hasattr(model, "featureImportances") or hasattr(model, "coefficients")
+    has_weights = any(hasattr(model, a) for a in ("featureImportances", "coefficientMatrix", "coefficients"))
     table = importances(model, feature_names(ready), df.sparkSession) if has_weights else None
     kept = scored.select(col(key), col(target), "prediction")
+    if problem == "classification":
+        kept = join_lookup(kept, target_codes(df, target).withColumnsRenamed({target: "class", "__y": "prediction"}), ["prediction"])
     split.unpersist()
     return TrainingReport(problem, chosen, best, fitted, preprocess, board, table, kept)
 
@@ -563,11 +617,11 @@ def forecast_race(train: DataFrame, test: DataFrame, features: list[str], value:
     return best, fitted[best], train.sparkSession.createDataFrame(rows, "model string, mae double, rmse double, r2 double")
 
 
-def text_race(df: DataFrame, text: str, label: str, key: str, features: int = 4096, test: float = 0.2, models: list[str] | None = None) -> DataFrame:
+def text_race(df: DataFrame, text: str, label: str, key: str, features: int = 1 << 18, test: float = 0.2, models: list[str] | None = None) -> DataFrame:
     """(model, score): naive Bayes, logistic regression, linear SVM and forest on hashed TF-IDF of the whole texts."""
     from .text import tokens
 
-    worded = df.select(col(key), col(label).cast("double").alias("__y"), tokens(text).alias("__w"))
+    worded = with_target(df, label, "classification").select(col(key), "__y", tokens(text).alias("__w"))
     split = monitoring.hash_split(worded, key, test)
     stages = [
         MF.HashingTF(inputCol="__w", outputCol="__tf", numFeatures=features),

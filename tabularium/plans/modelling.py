@@ -102,9 +102,9 @@ def _(t: Tables):
 
 @query("m06_model_registry")
 def _(t: Tables):
-    ready = ML.assemble(graded(t).withColumn("label", F.col("label").cast("double")), NUMERIC)
+    ready = D.hash_split(ML.assemble(graded(t).withColumn("label", F.col("label").cast("double")), NUMERIC), "doc_id")
     models = {n: ML.build("classification", n) for n in ("decision_tree", "logistic_regression", "naive_bayes")}
-    return ML.race(ready, ready, models, "label", "classification")[1]
+    return ML.race(ready.filter("split = 'train'"), ready.filter("split = 'test'"), models, "label", "classification")[1]
 
 
 @query("m07_fit_save_load_predict")
@@ -135,11 +135,20 @@ def _(t: Tables):
     return report.leaderboard
 
 
+@query("m10_auto_train_text_classes")
+def _(t: Tables):
+    """The order status, three text classes, from the shares of line states of the order."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.avg((F.col("l_linestatus") == "F").cast("double")).alias("done"), F.count(F.lit(1)).cast("double").alias("lines"))
+    report = ML.auto_train(t.orders.join(lines, "o_orderkey"), "o_orderstatus", "o_orderkey", ["done", "lines", "o_totalprice"], ["o_orderpriority"], models=["decision_tree", "logistic_regression"], vote=2)
+    return report.scored.groupBy("o_orderstatus", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("m11_soft_vote")
 def _(t: Tables):
-    ready = ML.assemble(graded(t).withColumn("label", F.col("label").cast("double")), NUMERIC)
-    fitted = {n: ML.build("classification", n).fit(ready) for n in ("decision_tree", "logistic_regression")}
-    return ML.soft_vote(ready, fitted, "classification").select("doc_id", F.round("vote", 6).alias("vote"), "prediction")
+    ready = D.hash_split(ML.assemble(graded(t).withColumn("label", F.col("label").cast("double")), NUMERIC), "doc_id")
+    fitted = {n: ML.build("classification", n).fit(ready.filter("split = 'train'")) for n in ("decision_tree", "logistic_regression")}
+    return ML.soft_vote(ready.filter("split = 'test'"), fitted, "classification").select("doc_id", F.round("vote", 6).alias("vote"), "prediction")
 
 
 @query("m11_stacking")

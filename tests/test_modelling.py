@@ -52,6 +52,27 @@ def test_auto_train_and_vote(table):
     assert report.scored.count() == 80 or abs(report.scored.count() - 80) <= 2
 
 
+def test_text_classes_are_voted_over_all_of_them(table):
+    three = table.withColumn("kind", F.when(F.col("a") < 3, "low").when(F.col("a") < 7, "mid").otherwise("top"))
+    report = ML.auto_train(three, "kind", "id", ["a", "noise"], models=["decision_tree", "logistic_regression", "random_forest"], vote=3)
+    rows = report.scored.collect()
+    assert {r["class"] for r in rows} == {"low", "mid", "top"} and sum(r["class"] == r["kind"] for r in rows) > 0.9 * len(rows)
+    model = ML.TabularModel("classification", "decision_tree", ["a"], label="kind").fit(three)
+    assert model.predict(three).filter("class = kind").count() > 380
+    assert ML.forest_selection(three, ["noise", "a"], "kind", 1) == ["a"] and ML.l1_selection(three, ["noise", "a"], "kind", 1) == ["a"]
+
+
+def test_medians_are_exact(spark):
+    df = spark.createDataFrame([(float(i * i),) for i in range(101)] + [(None,)], "v double")
+    made = ML.fit_preprocess(df, ["v"], scale=False).transform(df).filter("v IS NULL").select(ML.vector_to_array("features")[0]).first()[0]
+    assert made == 2500.0
+
+
+def test_random_grid_ends_with_repeated_values():
+    estimator = ML.build("classification", "decision_tree")
+    assert len(ML.random_grid(estimator, {"maxDepth": [3, 3, 5]}, 5)) == 2
+
+
 def test_cluster_distances(table):
     made = ML.cluster_features(table.select("id", "a", "noise"), ["a", "noise"], 3)
     nearest = F.least("dist_to_cluster_0", "dist_to_cluster_1", "dist_to_cluster_2")
