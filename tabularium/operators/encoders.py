@@ -121,7 +121,7 @@ def cross_codes(df: DataFrame, columns: list[str], name: str = "cross_code") ->
     return join_lookup(out, category_codes(out, ["__cross"], name), ["__cross"]).drop("__cross")
 
 
-def cross_candidates(df: DataFrame, columns: list[str], below: int = 10, limit: int = 3) -> list[str]:
+def cross_candidates(df: DataFrame, columns: list[str], below: int = 10, limit: int | None = None) -> list[str]:
     row = df.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     return [c for i, c in enumerate(columns) if row[f"d{i}"] < below][:limit]
 

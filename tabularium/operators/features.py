@@ -31,8 +31,8 @@ def numeric_transforms(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(made) if made else df
 
 
-def math_features(df: DataFrame, columns: list[str] | None = None, first: int = 10, squared_below: float = 1e6) -> DataFrame:
-    """log1p (all > 0), sqrt (all >= 0) and square (max below a bound) of the first numeric columns."""
+def math_features(df: DataFrame, columns: list[str] | None = None, first: int | None = None, squared_below: float = 1e6) -> DataFrame:
+    """log1p (all > 0), sqrt (all >= 0) and square (max below a bound) of the numeric columns, or the ``first`` of them."""
     columns = (columns or numeric_columns(df))[:first]
     made: dict[str, Column] = {}
     for c, (low, high) in _ranges(df, columns).items():
@@ -144,8 +144,8 @@ def text_features(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def interactions(df: DataFrame, columns: list[str], operations: list[str] = ("multiply", "add", "subtract", "divide"), first: int = 10, zero: float | None = None) -> DataFrame:
-    """Pairwise features of the first columns; division by zero gives ``zero`` (NULL by default)."""
+def interactions(df: DataFrame, columns: list[str], operations: list[str] = ("multiply", "add", "subtract", "divide"), first: int | None = None, zero: float | None = None) -> DataFrame:
+    """Pairwise features of the columns, or the ``first`` of them; division by zero gives ``zero`` (NULL by default)."""
     made: dict[str, Column] = {}
     for a, b in combinations(columns[:first], 2):
         x, y = col(a).cast("double"), col(b).cast("double")
@@ -207,10 +207,10 @@ def entity_features(df: DataFrame, name_column: str, title_pattern: str, count_c
     return df.withColumns(made)
 
 
-def top_variance(df: DataFrame, keep: list[str] = (), limit: int = 100) -> DataFrame:
+def top_variance(df: DataFrame, keep: list[str] = (), limit: int | None = None) -> DataFrame:
     """Keep the ``limit`` numeric columns of largest sample variance (and every non-numeric or listed column)."""
     candidates = [c for c in numeric_columns(df) if c not in keep]
-    if len(candidates) <= limit:
+    if limit is None or len(candidates) <= limit:
         return df
     row = df.agg(*[F.var_samp(col(c)).alias(f"v{i}") for i, c in enumerate(candidates)]).first()
     ranked = sorted(range(len(candidates)), key=lambda i: (-(row[f"v{i}"] or 0.0), i))[:limit]
@@ -218,7 +218,7 @@ def top_variance(df: DataFrame, keep: list[str] = (), limit: int = 100) -> DataF
     return df.select(*[col(c) for c in df.columns if c not in candidates or c in best])
 
 
-def auto_generate(df: DataFrame, target: str | None = None, max_features: int = 100, with_interactions: bool = True, with_polynomials: bool = True) -> DataFrame:
+def auto_generate(df: DataFrame, target: str | None = None, max_features: int | None = None, with_interactions: bool = True, with_polynomials: bool = True) -> DataFrame:
     """Numeric transforms, category codes, date parts, products and squares, then the variance limit."""
     from .encoders import frequency_encode
 

@@ -109,7 +109,7 @@ def recommendations(df: DataFrame) -> DataFrame:
 SEVERITY_ORDER = {"critical": 0, "warning": 1, "success": 2, "info": 3}
 
 
-def insights(df: DataFrame, skew_columns: int = 5) -> DataFrame:
+def insights(df: DataFrame, skew_columns: int | None = None) -> DataFrame:
     """(category, column, severity, value, rank) ranked by severity."""
     over = P.overview(df)
     missing = F.try_divide(F.col("missing") * 100.0, F.col("rows") * F.col("columns"))

@@ -35,8 +35,8 @@ def facet_filter(df: DataFrame, facets: dict[str, list]) -> DataFrame:
     return df.filter(all_of([col(c).isin(values) for c, values in facets.items() if values]))
 
 
-def facet_values(df: DataFrame, max_columns: int = 4, max_values: int = 20) -> DataFrame:
-    """(column, value) choices offered for filtering: the first low-cardinality string columns."""
+def facet_values(df: DataFrame, max_columns: int | None = None, max_values: int = 20) -> DataFrame:
+    """(column, value) choices offered for filtering: the low-cardinality string columns, or the first of them."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     distinct = df.select(*[F.approx_count_distinct(col(c)).alias(c) for c in names]).first() if names else {}
     chosen = [c for c in names if distinct[c] <= max_values * 2]

@@ -276,10 +276,10 @@ def _(t: Tables):
 @query(
     "j01_inner_join",
     """SELECT o_orderpriority, count(*) AS lines, sum(l_quantity) AS quantity
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1""",
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
 )
 def _(t: Tables):
-    joined = R.merge(t.lineitem, t.orders.filter("o_orderstatus = 'F'"), left_on=["l_orderkey"], right_on=["o_orderkey"])
+    joined = R.merge(t.lineitem, t.orders, left_on=["l_orderkey"], right_on=["o_orderkey"])
     return joined.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
 
 

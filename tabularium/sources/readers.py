@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ SUFFIXES = {
     ".xml": "xml",
     ".orc": "orc",
 }
-# fixed values: encodings tried in this order
-ENCODINGS = ["utf-8", "iso-8859-1", "windows-1256", "windows-1252"]
+# fixed values: UTF-8, else the single-byte encoding that accepts every byte
+ENCODINGS = ["utf-8", "iso-8859-1"]
 DELIMITERS = [",", ";", "\t"]
 
 
@@ -55,10 +57,18 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return max(DELIMITERS, key=lambda d: sum(line.count(d) for line in lines))
 
 
+def file_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Encoding -> files: UTF-8 unless some line of the file is not valid UTF-8; one pass over the text."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
+    found: dict[str, list[str]] = {}
+    for file, ok in lines.groupBy("file").agg(F.min("ok")).collect():
+        found.setdefault(ENCODINGS[0] if ok else ENCODINGS[1], []).append(unquote(file))
+    return found
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line is not valid UTF-8, then the next, single-byte encoding, which accepts every byte."""
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
-    return ENCODINGS[0] if bad == 0 else ENCODINGS[1]
+    """The encoding that reads every file below the path."""
+    return ENCODINGS[1] if ENCODINGS[1] in file_encodings(spark, path) else ENCODINGS[0]
 
 
 def read_csv(
@@ -67,14 +77,26 @@ def read_csv(
     schema: T.StructType | str | None = None,
     sep: str | None = None,
     encoding: str | None = None,
+    multiline: bool = False,
     **options,
 ) -> DataFrame:
-    """CSV/TSV/TXT scan with header; without a schema, types are inferred from all rows."""
+    """CSV/TSV/TXT scan with header; without a schema, types are inferred from all rows.
+
+    A quote inside a quoted value is written twice. ``multiline`` lets quoted values hold line breaks (a file is then
+    one split). Without ``encoding`` each file is read in its own.
+    """
     sep = sep or detect_delimiter(spark, path)
-    encoding = encoding or detect_encoding(spark, path)
-    reader = spark.read.options(header=True, sep=sep, encoding=encoding, mode="PERMISSIVE", **options)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return nan_to_null(reader.csv(path))
+    base = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multiline, "mode": "PERMISSIVE", **options}
+    files = {encoding: [path]} if encoding else file_encodings(spark, path)
+    if len(files) <= 1:
+        reader = spark.read.options(**base, encoding=next(iter(files), ENCODINGS[0]))
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+        return nan_to_null(reader.csv(path))
+    if schema is None:
+        # types do not depend on how letters are decoded
+        schema = spark.read.options(**base, encoding=ENCODINGS[1], inferSchema=True).csv(path).schema
+    parts = [spark.read.options(**base, encoding=e).schema(schema).csv(own) for e, own in sorted(files.items())]
+    return nan_to_null(reduce(DataFrame.unionByName, parts))
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False, schema=None, envelope: str | None = "data", **options) -> DataFrame:
@@ -117,18 +139,3 @@ def file_info(spark: SparkSession, path: str, format: str | None = None) -> Data
     meta = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"),
                      F.col("_metadata.file_modification_time").alias("modified"))
     return meta.groupBy("path", "bytes", "modified").agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
-
-
-def spread(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
-    """Spread a small scan of fewer files than cores over all cores, for work that is heavy per row.
-
-    A single row group is one task however many cores there are. Larger inputs are left as they are: they have enough
-    splits of their own, and moving them would cost more than it gains.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    # lists lengths only, the contents are not read
-    size = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length").alias("n")).first()["n"]
-    return df.repartition(cores) if size <= max_bytes else df

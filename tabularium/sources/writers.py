@@ -13,6 +13,9 @@ from .readers import detect_format
 def write(df: DataFrame, path: str, format: str | None = None, if_exists: str = "fail", partition_by: list[str] = (), **options) -> None:
     """csv, tsv, json, ndjson, parquet, orc or xml by suffix; the output is a folder of part files."""
     format = format or detect_format(path)
+    if format in ("csv", "tsv", "txt", "json", "ndjson"):
+        # times keep their microseconds
+        options = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", **options}
     writer = df.write.mode(SAVE_MODES[if_exists]).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

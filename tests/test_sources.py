@@ -85,13 +85,18 @@ def test_kafka_options():
     assert out == {"kafka.bootstrap.servers": "a:1,b:2", "subscribe": "events", "startingOffsets": "latest", "maxOffsetsPerTrigger": "500"}
 
 
-def test_spread_only_small_inputs(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert readers.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert readers.spread(df, max_bytes=10).rdd.getNumPartitions() == df.rdd.getNumPartitions()
-
-
 def test_metadata(spark, sf_dir):
     info = readers.file_info(spark, f"{sf_dir}/orders.parquet").first()
     assert info["rows"] == 1500 and info["columns"] == 6
     assert readers.schema_table(spark.read.parquet(f"{sf_dir}/nation.parquet")).count() == 3
+
+
+def test_csv_as_people_write_it(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,t\n1,"x ""y"" z"\n2,"two\nlines"\n', encoding="utf-8")
+    assert [r["t"] for r in readers.read_csv(spark, str(tmp_path / "q.csv"), multiline=True).orderBy("id").collect()] == ['x "y" z', "two\nlines"]
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a b.csv").write_bytes("id,name\n1,José\n".encode("utf-8"))
+    (folder / "c.csv").write_bytes("id,name\n2,José\n3,Zoë\n".encode("latin-1"))
+    rows = readers.read_csv(spark, str(folder)).orderBy("id").collect()
+    assert [(r["id"], r["name"]) for r in rows] == [(1, "José"), (2, "José"), (3, "Zoë")]
