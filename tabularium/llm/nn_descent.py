@@ -217,7 +217,7 @@ def near_vectors(
     orders: int = 4,
     rounds: int = 3,
     target: float = 0.99,
-    most_searches: int = 8,
+    most_repeats: int = 8,
     sample: int = 256,
     seed: int = 11,
     id_col: str = "vec_id",
@@ -229,14 +229,15 @@ def near_vectors(
     Only vectors of one label and length are compared, by cosine in double precision. Vectors that are null, empty or
     zero, hold null or non-finite components, or have no label link with nothing. component_id is the smallest vec_id
     that links reach, kept marks rows that carry it; a null vec_id is larger than any other. Equal and repeated vectors
-    are linked. An empty table gives no rows; other columns are not read.
+    are linked. An empty table gives no rows; other columns are not read. ``target`` is the audited recall that stops
+    the search, ``most_repeats`` how often it runs over all classes again to reach it.
     """
     rows = prepared(vectors, id_col, vector_col, label_col)
     classes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("kind").alias("kind"), F.first("unit").alias("unit"))
     nodes = written(classes.withColumn("part", F.col("id")), "classes")
     links = None
-    chosen = nodes
-    for search in range(most_searches):
+    chosen, search, repeats = nodes, 0, 0
+    while True:
         lists = searched(chosen, k, block, orders, rounds, seed + search)
         found = written(lists.filter(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b")), "links")
         grew = found.limit(1).count() > 0
@@ -247,10 +248,12 @@ def near_vectors(
         # a list without room for more links may hide some
         saturated = lists.groupBy("src").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n")).filter((F.col("low") >= threshold) & (F.col("n") >= k))
         more = saturated.select(F.col("src").alias("id"))
+        search += 1
         if more.limit(1).count() > 0:
+            # every such list joins parts, so this ends
             chosen = written(nodes.join(more, "id", "left_semi"), "saturated")
-        elif audit(nodes, threshold, sample) < target:
-            chosen = nodes
+        elif repeats < most_repeats and audit(nodes, threshold, sample) < target:
+            chosen, repeats = nodes, repeats + 1
         else:
             break
     counted = count_links(nodes, threshold, 512)
