@@ -66,15 +66,15 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held, size = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             keys = np.sort(grams([stream(tokens(t)) for t in batch.column(0).to_pylist()], order)[0])
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             held.append((keys[starts], np.diff(np.r_[starts, len(keys)])))
             size += len(starts)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 held = [merged(held)]
                 size = len(held[0][0])
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield from chunks(held.pop())
                     size = 0
         if held:
@@ -181,12 +181,14 @@ def train(texts: DataFrame, order: int = 6, share: float = 2.0**-22) -> Trie:
 
     To the driver come kept branches and their contexts only, at most 1 / share at each depth.
     """
-    longest = written(count_grams(texts, order), "grams")
-    total = longest.agg(F.sum("n")).first()[0] or 0
+    counts = written(count_grams(texts, order), "grams")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(1.0, total * share)
     levels, contexts = [], []
-    for j in range(order + 1):
-        counts = longest.groupBy(F.col("key").bitwiseAND(F.lit(int(mask(j + 1)))).alias("key")).agg(F.sum("n").alias("n"))
+    for j in range(order, -1, -1):
+        if j < order:
+            # shorter grams are sums of the next longer ones, of which there are fewer at each step
+            counts = written(counts.groupBy(F.col("key").bitwiseAND(F.lit(int(mask(j + 1)))).alias("key")).agg(F.sum("n").alias("n")), "grams")
         stats = counts.groupBy(F.shiftright("key", 8).alias("context")).agg(
             F.sum("n").alias("total"), F.count(F.when(F.col("n") >= least, 1)).alias("branches"), F.sum(F.when(F.col("n") >= least, F.col("n"))).alias("kept"))
         kept = counts.filter(F.col("n") >= least).toArrow()
@@ -195,7 +197,7 @@ def train(texts: DataFrame, order: int = 6, share: float = 2.0**-22) -> Trie:
         own = stats.filter("kept IS NOT NULL").toArrow()
         order_by = np.argsort(own["context"].to_numpy())
         contexts.append(tuple(own[c].to_numpy()[order_by] for c in ("context", "total", "branches", "kept")))
-    return build(levels, contexts, order)
+    return build(levels[::-1], contexts[::-1], order)
 
 
 class Coder:
@@ -229,10 +231,10 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         found: Counter = Counter()
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             for text in batch.column(0).to_pylist():
                 found.update(tokens(text))
-            if len(found) > 500_000:
+            if len(found) > 300_000:
                 yield {"word": list(found), "n": list(found.values())}
                 found = Counter()
         yield {"word": list(found), "n": list(found.values())}
@@ -270,7 +272,7 @@ def score(documents: DataFrame, folds: int = 10, held_out_fold: int = 0, order:
         own = Trie(order)
         vars(own).update(parts)
         coder, row = Coder(own), task_number() << 33
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             made = [tokens(t) for t in batch.column(2).to_pylist()]
             lengths = coder.lengths([stream(w) for w in made])
             base, known, rest = [], [], []
