@@ -192,7 +192,7 @@ def scope_of(elements: list[Node], blocks: list[tuple[str, Node]]) -> Node | Non
 
 
 def page_parts(page: str) -> dict:
-    """blocks (text, hashes of the subtrees it may be deleted with), subtrees (all hashes), body (hash of the longest block)."""
+    """blocks (text, hashes of the subtrees it may be deleted with), body (hash of the longest block)."""
     elements, blocks = walk(parse(page))
     scope = scope_of(elements, blocks)
     out = []
@@ -206,7 +206,7 @@ def page_parts(page: str) -> dict:
             out.append({"text": text, "within": within})
     longest = max((b["text"] for b in out), key=len, default="")
     body = int.from_bytes(hashlib.blake2b(longest.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-    return {"blocks": out, "subtrees": sorted({n.hash for n in elements if n.hash and n.tag not in ("", "html", "body")}), "body": body}
+    return {"blocks": out, "body": body}
 
 
 def host_of(url: str | None) -> str:
@@ -228,17 +228,18 @@ def main_text(pages: DataFrame, min_pages: int = 10, id_col: str = "page_id", ur
         for batch in slices(batches):
             parts = [page_parts(page or "") for page in batch.column(2).to_pylist()]
             yield {"row": list(range(row, row + len(parts))), "page_id": batch.column(0), "url": batch.column(1), "host": [host_of(u) for u in batch.column(1).to_pylist()],
-                   **{c: [p[c] for p in parts] for c in ("blocks", "subtrees", "body")}}
+                   **{c: [p[c] for p in parts] for c in ("blocks", "body")}}
             row += len(parts)
 
     kind = dict(source.dtypes)["page_id"]
-    schema = f"row bigint, page_id {kind}, url string, host string, blocks array<struct<text:string,within:array<bigint>>>, subtrees array<bigint>, body bigint"
+    schema = f"row bigint, page_id {kind}, url string, host string, blocks array<struct<text:string,within:array<bigint>>>, body bigint"
     parsed = written(map_arrow(source, run, schema), "pages")
-    bodies = parsed.select("host", F.explode("subtrees").alias("subtree"), "body").distinct()
+    # only subtrees that hold a block and are no article text can be deleted, so only they are counted
+    held = parsed.select("row", "host", "body", F.explode(F.array_distinct(F.flatten("blocks.within"))).alias("subtree"))
+    bodies = held.select("host", "subtree", "body").distinct()
     templates = bodies.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree")
-    held = parsed.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.within"))).alias("subtree"))
-    # at most the subtrees of one page in a group
-    deleted = held.join(templates, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("deleted"))
+    # at most the subtrees of one page in a group; written, so that Spark knows the size and moves pages only if it is large
+    deleted = written(held.join(templates, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("deleted")), "deleted")
     stays = F.filter("blocks", lambda b: F.col("deleted").isNull() | ~F.arrays_overlap(b["within"], F.col("deleted")))
     text = F.array_join(F.transform(stays, lambda b: b["text"]), "\n")
     return parsed.join(deleted, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
