@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, shared_folder
+from .shared import map_arrow, shared_folder, written
 
 CRLF = "\r\n"
 INDEX = "archive string, offset bigint, length bigint, record_id string, record_type string, payload_digest string"
@@ -46,9 +46,11 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     made = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     made = made.withColumns({"payload_bytes": F.octet_length("html").cast("bigint"), "payload_digest": base32_sha1(F.col("html").cast("binary"))})
-    # one row per payload after partial aggregation, so a payload of very many pages is no hot group
-    first = made.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"))
-    first = first.filter((F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull())
+    # one row per repeated payload after partial aggregation, so a payload of very many pages is no hot group; written,
+    # so that Spark knows the table's size when it plans the join and moves pages only if it is large
+    first = made.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    repeated = (F.col("n") > 1) & (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull()
+    first = written(first.filter(repeated).drop("n"), "payloads")
     joined = made.join(first, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest",
