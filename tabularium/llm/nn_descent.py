@@ -206,7 +206,8 @@ def count_links(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
         out = [(ids[first], near @ weight[second])] + ([] if i == j else [(ids[second], weight[first] @ near)])
         return pa.table({"id": pa.array(np.concatenate([x[0] for x in out]), pa.int64()), "n_links": pa.array(np.concatenate([x[1] for x in out]), pa.int64())})
 
-    return met.groupBy("part", "i", "j").applyInArrow(run, "id bigint, n_links bigint").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+    # else all blocks of a part would stay where the join put the part
+    return met.repartition("part", "i", "j").groupBy("part", "i", "j").applyInArrow(run, "id bigint, n_links bigint").groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
 
 def near_vectors(
