@@ -4,9 +4,9 @@ A document's words, lower-cased, joined by a space and closed by a line feed, ar
 ``order`` bytes before. The context trie holds, for every training document, how often each byte follows each context.
 A context predicts a byte seen n times after it with n less a fixed discount of its total and escapes to the next
 shorter context with the discounts; shorter contexts exclude what longer ones could have said. Below the empty context
-all remaining bytes are equally likely. A branch with less than ``share`` of all training bytes is not
-kept: its counts go to the escape of its context, so probabilities still add up to one, and no depth can have more than
-1 / ``share`` branches, whatever the corpus size.
+all remaining bytes are equally likely. All counts of all depths stay, in written tables: only the code lengths of the
+most frequent grams are looked up in tasks, those of all other grams of the texts come by joins. Grams never seen in
+training go down the depths together, one join a depth, until the depth is small enough to be looked up as well.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pieces import crc_mod
@@ -176,10 +177,10 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.n
     return trie
 
 
-def train(texts: DataFrame, order: int = 6, share: float = 2.0**-22) -> Trie:
-    """Count contexts over all of ``texts`` (one text column) and keep branches of at least ``share`` of the bytes.
+def train(texts: DataFrame, order: int = 6, share: float = 0.0) -> Trie:
+    """The model of ``texts`` (one text column) on the driver, for small tables and to compare ``score`` with.
 
-    To the driver come kept branches and their contexts only, at most 1 / share at each depth.
+    A branch of less than ``share`` of the bytes goes to the escape of its context, so probabilities still add up to one.
     """
     counts = written(count_grams(texts, order), "grams")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -200,30 +201,130 @@ def train(texts: DataFrame, order: int = 6, share: float = 2.0**-22) -> Trie:
     return build(levels[::-1], contexts[::-1], order)
 
 
+def count_levels(texts: DataFrame, order: int) -> list[DataFrame]:
+    """Per depth the written (key, n) of all grams; shorter ones are sums of the next longer, of which there are fewer."""
+    levels = [written(count_grams(texts, order), "grams")]
+    for j in range(order - 1, -1, -1):
+        levels.append(written(levels[-1].groupBy(F.col("key").bitwiseAND(F.lit(int(mask(j + 1)))).alias("key")).agg(F.sum("n").alias("n")), "grams"))
+    return levels[::-1]
+
+
+def frequent_from(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` rows reach."""
+    seen = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).toArrow()
+    n, rows = seen["n"].to_numpy(), seen["rows"].to_numpy()
+    order = np.argsort(-n)
+    fit = int(np.searchsorted(np.cumsum(rows[order]), most, side="right"))
+    return 1 if fit == len(n) else int(n[order][fit]) + 1
+
+
+def descended(keys: np.ndarray, cost: np.ndarray, said: np.ndarray, row: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cost, said, found) after one depth, at which context ``row`` has the branches (byte, n).
+
+    ``said`` holds a bit for each byte the longer context has said: none while no context was found.
+    """
+    m = len(keys)
+    total, branches = np.bincount(row, n, m), np.bincount(row, minlength=m)
+    mine = np.bincount(row, n * (byte == (keys & 255)[row]), m)
+    left = total - np.bincount(row, (n - DISCOUNT) * (said[row, byte >> 3] >> (7 - (byte & 7)) & 1), m)
+    found, gone = mine > 0, (mine == 0) & (total > 0)
+    cost = cost.copy()
+    cost[found] += np.log(left[found]) - np.log(mine[found] - DISCOUNT)
+    cost[gone] += np.log(left[gone]) - np.log(DISCOUNT * branches[gone])
+    now = np.zeros((m, 256), dtype=bool)
+    now[row, byte] = True
+    return cost, np.packbits(now, axis=1), found
+
+
+def unseen_costs(keys: DataFrame, levels: list[DataFrame], most: int) -> DataFrame:
+    """(key, cost) of distinct grams, by depths: those of at most ``most`` branches in tasks, longer ones by a join."""
+    small, held = 0, []
+    for level in levels:
+        if level.count() > most:
+            break
+        got = level.toArrow()
+        at = np.argsort(got["key"].to_numpy())
+        held.append((got["key"].to_numpy()[at], got["n"].to_numpy()[at]))
+        small += 1
+    floor = float(np.log(max(1, 256 - levels[0].count())))
+    state = "key bigint, cost double, said binary"
+    now, done = keys.select("key", F.lit(0.0).alias("cost"), F.lit(bytes(32)).alias("said")), []
+    for depth in range(len(levels) - 1, small - 1, -1):
+        now = now.withColumn("context", F.shiftright("key", 8).bitwiseAND(F.lit(int(mask(depth)))))
+        # at most 256 branches in a group
+        own = levels[depth].withColumn("context", F.shiftright("key", 8)).join(now.select("context").distinct(), "context", "left_semi")
+        own = own.groupBy("context").agg(F.collect_list(F.col("key").bitwiseAND(F.lit(255))).alias("byte"), F.collect_list("n").alias("n"))
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                own, byte, n = (batch.column(c) for c in ("key", "byte", "n"))
+                own = own.to_numpy()
+                row = np.repeat(np.arange(len(own)), np.nan_to_num(pc.list_value_length(byte).to_numpy(zero_copy_only=False).astype(float)).astype(int))
+                cost, said, found = descended(own, batch.column("cost").to_numpy(), unpacked(batch.column("said")), row, byte.flatten().to_numpy(), n.flatten().to_numpy())
+                yield {"key": own, "cost": cost, "said": [s.tobytes() for s in said], "found": found}
+
+        stepped = written(map_arrow(now.join(own, "context", "left").select("key", "cost", "said", "byte", "n"), step, f"{state}, found boolean"), "unseen")
+        done.append(stepped.filter("found").select("key", "cost"))
+        now = stepped.filter(~F.col("found")).drop("found")
+    shared = keys.sparkSession.sparkContext.broadcast(held)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        tables = shared.value
+        for batch in slices(batches, 256 << 10):
+            own, cost, said = batch.column("key").to_numpy(), batch.column("cost").to_numpy().copy(), unpacked(batch.column("said"))
+            left = np.arange(len(own))
+            for depth in range(len(tables) - 1, -1, -1):
+                known, n = tables[depth]
+                context = (own[left] >> 8) & mask(depth)
+                first, last = np.searchsorted(known, context << 8), np.searchsorted(known, (context + 1) << 8)
+                row = np.repeat(np.arange(len(left)), last - first)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[row]
+                cost[left], said, found = descended(own[left], cost[left], said, row, known[at] & 255, n[at])
+                left, said = left[~found], said[~found]
+            cost[left] += floor
+            yield {"key": own, "cost": cost}
+
+    made = map_arrow(now, rest, "key bigint, cost double")
+    for more in done:
+        made = made.unionByName(more)
+    return written(made, "unseen")
+
+
+def unpacked(said: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(said.to_pylist()), dtype=np.uint8).reshape(len(said), 32)
+
+
 class Coder:
-    """Code lengths of whole streams, with a table of the grams met last so that most lookups take one step."""
+    """Code lengths of grams in a sorted table, with a table of the grams met last so that most lookups take one step."""
 
     slots = 20
 
-    def __init__(self, trie: Trie):
-        self.trie = trie
+    def __init__(self, known: np.ndarray, known_costs: np.ndarray, order: int):
+        self.known, self.known_costs, self.order = known, known_costs, order
         self.keys = np.full(1 << self.slots, -1, dtype=np.int64)
         self.costs = np.zeros(1 << self.slots)
 
-    def lengths(self, streams: list[bytes]) -> np.ndarray:
-        """Natural code length of each stream."""
-        keys, sizes = grams(streams, self.trie.order)
+    def lengths(self, streams: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Natural code length of each stream's known grams, and the (keys, counts) of its other ones."""
+        keys, sizes = grams(streams, self.order)
         slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.slots)).view(np.int64)
         costs = self.costs[slot]
         unknown = np.flatnonzero(self.keys[slot] != keys)
         if len(unknown):
             new, back = np.unique(keys[unknown], return_inverse=True)
-            made = self.trie.cost(new)
+            hit, at = find(self.known, new)
+            made = np.full(len(new), np.nan)
+            made[hit] = self.known_costs[at[hit]]
             costs[unknown] = made[back]
             self.keys[slot[unknown]] = keys[unknown]
             # the last of the keys of one slot wins in both tables
             self.costs[slot[unknown]] = costs[unknown]
-        return np.add.reduceat(costs, np.cumsum(sizes) - sizes)
+        ends = np.cumsum(sizes)
+        rare = np.flatnonzero(np.isnan(costs))
+        costs[rare] = 0.0
+        cuts = np.searchsorted(rare, np.r_[0, ends])
+        others = [np.unique(keys[rare[lo:hi]], return_counts=True) for lo, hi in zip(cuts[:-1], cuts[1:])]
+        return np.add.reduceat(costs, ends - sizes), others
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -242,14 +343,15 @@ def count_words(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(documents: DataFrame, folds: int = 10, held_out_fold: int = 0, order: int = 6, share: float = 2.0**-22, head_share: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, folds: int = 10, held_out_fold: int = 0, order: int = 6, head_grams: int = 1 << 22, head_share: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     The model learns from documents outside the held-out fold (crc32 of the id as text modulo ``folds``). ``score`` is
     its log10 probability of a document's tokens. ``base_score`` adds log10((c + 0.1) / (N + 0.1 (V + 1))) over words
     and one end token. Null and empty texts are the end token alone; repeated rows get equal results; an empty table
     gives no rows; other columns are not read. Words of at least ``head_share`` of all training tokens, at most its
-    inverse, are looked up in tasks; counts of all other words come by a join, where none of them is a hot key.
+    inverse, are looked up in tasks; counts of all other words come by a join, where none of them is a hot key. So are
+    at most ``head_grams`` grams seen most often and all others, which changes no score.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("doc_id"), (crc_mod(id_col, folds) == held_out_fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -264,17 +366,22 @@ def score(documents: DataFrame, folds: int = 10, held_out_fold: int = 0, order:
     head = {w: i for i, w in enumerate(frequent["word"].to_pylist())}
     head_score = np.log10(frequent["n"].to_numpy() + 0.1) - scale
     end_score = float(np.log10(ends + 0.1) - scale)
-    trie = train(learn, order, share)
-    shared = spark.sparkContext.broadcast((head, head_score, vars(trie)))
+    levels = count_levels(learn, order)
+    # at most 256 branches in a group
+    whole = F.sum("n").over(Window.partitionBy(F.shiftright("key", 8)))
+    costs = written(levels[order].select("key", "n", (F.log(whole) - F.log(F.col("n") - DISCOUNT)).alias("cost")), "gram-costs")
+    # what is seen a few times only is no head, however small the table
+    often = max(4, frequent_from(costs, head_grams))
+    top = costs.filter(F.col("n") >= often).select("key", "cost").toArrow()
+    by_key = np.argsort(top["key"].to_numpy())
+    shared = spark.sparkContext.broadcast((head, head_score, top["key"].to_numpy()[by_key], top["cost"].to_numpy()[by_key]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        where, known_score, parts = shared.value
-        own = Trie(order)
-        vars(own).update(parts)
-        coder, row = Coder(own), task_number() << 33
+        where, known_score, keys, key_costs = shared.value
+        coder, row = Coder(keys, key_costs, order), task_number() << 33
         for batch in slices(batches, 1 << 20):
             made = [tokens(t) for t in batch.column(2).to_pylist()]
-            lengths = coder.lengths([stream(w) for w in made])
+            lengths, others = coder.lengths([stream(w) for w in made])
             base, known, rest = [], [], []
             for own_words in made:
                 at = np.fromiter((where.get(w, -1) for w in own_words), np.int64, len(own_words))
@@ -283,16 +390,29 @@ def score(documents: DataFrame, folds: int = 10, held_out_fold: int = 0, order:
                 rare = Counter(own_words[i] for i in np.flatnonzero(at < 0))
                 rest.append([{"word": w, "tf": n} for w, n in rare.items()])
             yield {"row": list(range(row, row + len(made))), "doc_id": batch.column(0), "held_out": batch.column(1), "n_tokens": [len(w) + 1 for w in made],
-                   "n_known": known, "base_score": base, "score": -lengths / np.log(10), "rare": rest}
+                   "n_known": known, "base_score": base, "score": -lengths / np.log(10), "rare": rest,
+                   "keys": [k.tobytes() for k, _ in others], "times": [n.astype(np.int32).tobytes() for _, n in others]}
             row += len(made)
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,tf:bigint>>"
+    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,tf:bigint>>, keys binary, times binary"
     scored = written(map_arrow(docs, run, schema), "scored")
     tail = words.filter(F.col("n") < least)
     rare = scored.select("row", F.inline("rare")).join(tail, "word", "left")
     c = F.coalesce("n", F.lit(0))
     sums = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * (F.log10(c + 0.1) - scale)).alias("more_base"))
-    return scored.join(sums, "row", "left").select(
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in slices(batches, 2 << 20):
+            keys = [np.frombuffer(k, np.int64) for k in batch.column(1).to_pylist()]
+            yield {"row": np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys]), "key": np.concatenate(keys), "tf": np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32)}
+
+    others = lambda rows: map_arrow(rows.filter(F.length("keys") > 0).select("row", "keys", "times"), listed, "row bigint, key bigint, tf int")
+    # every gram of a training text has been counted
+    unseen = others(scored.filter("held_out")).select("key").distinct().join(costs, "key", "left_anti")
+    tail_costs = costs.filter(F.col("n") < often).select("key", "cost").unionByName(unseen_costs(written(unseen, "unseen"), levels, most=1 << 20))
+    more = others(scored).join(tail_costs, "key").groupBy("row").agg((F.sum(F.col("tf") * F.col("cost")) / float(np.log(10))).alias("more_cost"))
+    return scored.join(sums, "row", "left").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") - F.coalesce("more_cost", F.lit(0.0))).alias("score"))

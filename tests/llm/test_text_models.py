@@ -96,6 +96,29 @@ def test_ppm_scores_and_base(spark):
     assert held[1] > held[0]
 
 
+def test_ppm_keeps_rare_grams_whatever_the_size(spark):
+    # 9 MB of training text: what is seen once is below 2^-22 of it
+    rare = ["zyx wvu tsr", "zyx wvu tsrq ponm", "quite other words \u00e9\u0142"]
+    rows = [(i, "the cat sat on the mat " * 200_000 if i < 2 else f"{rare[i % 3]} {i * i * i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    learn = docs.filter(pieces.crc_mod("doc_id", 10) != 0).select("text")
+    trie = ppm.train(learn, share=0.0)
+    want = {i: -trie.cost(ppm.grams([ppm.stream(ppm.tokens(t))], 6)[0]).sum() / math.log(10) for i, t in rows if i >= 2}
+    assert {r.doc_id: r.score for r in ppm.score(docs).collect() if r.doc_id >= 2} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("head, most", [(0, 0), (40, 30), (1 << 22, 1 << 20)])
+def test_ppm_lookups_and_joins_agree(spark, monkeypatch, head, most):
+    rows = [(i, f"doc {i * i} says {'abc' * (i % 4)} and {'\u00e9' * (i % 3)} x{i}") for i in range(40)] + [(40, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    trie = ppm.train(docs.filter(pieces.crc_mod("doc_id", 10) != 0).select("text"), share=0.0)
+    want = {i: -trie.cost(ppm.grams([ppm.stream(ppm.tokens(t))], 6)[0]).sum() / math.log(10) for i, t in rows}
+    original = ppm.unseen_costs
+    monkeypatch.setattr(ppm, "unseen_costs", lambda keys, levels, **_: original(keys, levels, most))
+    found = ppm.score(docs, head_grams=head).collect()
+    assert any(r.held_out for r in found) and {r.doc_id: r.score for r in found} == pytest.approx(want)
+
+
 def test_ppm_edge_cases(edge_documents, no_documents):
     rows = ppm.score(edge_documents).collect()
     assert len(rows) == 10
