@@ -1,6 +1,7 @@
 """Unigram piece models over a fixed vocabulary, scored by dynamic programming on a trie of distinct pre-tokens.
 
-A pre-token is a white-space separated word with a leading word mark, cut after ``MAX_CHARS`` characters. The
+A pre-token is a white-space separated word with a leading word mark. ``pretokens`` lower-cases words and cuts them after
+``MAX_CHARS`` characters; words that come longer are scored one by one along their characters instead of on a trie. The
 probability of a prefix is the sum over its last piece of the probability of what precedes it times the piece's; it is
 computed once per trie node, so words that share a prefix share its scores. Characters outside the vocabulary count as a
 piece of small fixed weight.
@@ -8,8 +9,9 @@ piece of small fixed weight.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.longest = max(map(len, pieces))
+        self.by_text = {p: i for i, p in enumerate(pieces)}
         with np.errstate(over="ignore"):
             self.powers = np.cumprod(np.r_[np.uint64(1), np.full(self.longest - 1, FACTOR, np.uint64)], dtype=np.uint64)
             hashes = np.array([(np.array([ord(c) for c in reversed(p)], np.uint64) * self.powers[: len(p)]).sum(dtype=np.uint64) for p in pieces], np.uint64)
@@ -113,9 +116,54 @@ def word_scores(words: list[str], pieces: Pieces, weights: np.ndarray) -> np.nda
     return out
 
 
+def last_pieces_of(marked: str, end: int, ids: dict[str, int], longest: int) -> Iterator[tuple[int, int]]:
+    """(start, piece) of the pieces of a marked word that end before ``end``; piece -1: an unknown character."""
+    for start in range(end - 1, max(0, end - longest) - 1, -1):
+        piece = ids.get(marked[start:end], -1)
+        if piece >= 0 or start == end - 1:
+            yield start, piece
+
+
+def along(word: str, ids: dict[str, int], longest: int, log_weight: list[float]) -> tuple[list[float], list[float], list[int], list[float]]:
+    """Per prefix of a word of any length, marked: log probability, expected pieces, and pieces and log of the best way."""
+    marked = MARK + word
+    total, mean, best_n, best = [0.0], [0.0], [0], [0.0]
+    for end in range(1, len(marked) + 1):
+        ways = [(start, log_weight[piece]) for start, piece in last_pieces_of(marked, end, ids, longest)]
+        logs = [total[start] + w for start, w in ways]
+        high = max(logs)
+        parts = [math.exp(x - high) for x in logs]
+        whole = sum(parts)
+        total.append(high + math.log(whole))
+        mean.append(1 + sum(p * mean[start] for p, (start, _) in zip(parts, ways)) / whole)
+        # equal scores: fewer pieces
+        top, n = max((best[start] + w, -best_n[start] - 1) for start, w in ways)
+        best.append(top), best_n.append(-n)
+    return total, mean, best_n, best
+
+
+def expected_along(word: str, ids: dict[str, int], longest: int, log_weight: list[float], count: float, out: np.ndarray) -> None:
+    """Add the expected uses of each piece in one word of any length."""
+    marked, total = MARK + word, along(word, ids, longest, log_weight)[0]
+    # share of all ways that pass a position
+    flow = [0.0] * len(marked) + [count]
+    for end in range(len(marked), 0, -1):
+        for start, piece in last_pieces_of(marked, end, ids, longest):
+            used = flow[end] * math.exp(total[start] + log_weight[piece] - total[end])
+            out[piece] += used
+            flow[start] += used
+
+
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, weights: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in the words over all segmentations, for one column of weights."""
     out = np.zeros(pieces.size + 1)
+    long = [i for i, w in enumerate(words) if len(w) > MAX_CHARS]
+    if long:
+        log_weight = np.log(weights[:, 0]).tolist()
+        for i in long:
+            expected_along(words[i], pieces.by_text, pieces.longest, log_weight, float(counts[i]), out)
+        short = np.array([i for i, w in enumerate(words) if len(w) <= MAX_CHARS], np.int64)
+        words, counts = [words[i] for i in short], counts[short]
     for at in range(0, len(words), TRIE_WORDS):
         trie = Trie(words[at : at + TRIE_WORDS])
         alpha = [a[:, 0] for a in forward(trie, pieces, weights)]
@@ -130,14 +178,14 @@ def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, weight
     return out
 
 
-def count_words(labelled: DataFrame) -> DataFrame:
+def count_words(labelled: DataFrame, split: Callable[[str], list[str]] = pretokens) -> DataFrame:
     """(label, word, n) over whole texts of (label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in slices(batches, 16 << 20):
             found: dict[str, Counter] = {}
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(label, Counter()).update(pretokens(text or ""))
+                found.setdefault(label, Counter()).update(split(text or ""))
             rows = [(label, w, n) for label, words in found.items() for w, n in words.items()]
             yield dict(zip(("label", "word", "n"), zip(*rows))) if rows else {"label": [], "word": [], "n": []}
 
@@ -145,12 +193,12 @@ def count_words(labelled: DataFrame) -> DataFrame:
     return made.groupBy("label", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, pieces: list[str], rounds: int = 2, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, pieces: list[str], rounds: int = 2, smoothing: float = 0.1, split: Callable[[str], list[str]] = pretokens) -> tuple[list[str], np.ndarray]:
     """(labels, weights): per label the probability of each piece, by expectation maximisation from equal weights.
 
     What comes to the driver is labels x pieces numbers, both fixed by the labels and the vocabulary.
     """
-    words = written(count_words(labelled), "words")
+    words = written(count_words(labelled, split), "words")
     labels = sorted(r[0] for r in words.select("label").distinct().collect())
     size = len(pieces)
     spark = labelled.sparkSession
@@ -163,7 +211,7 @@ def fit(labelled: DataFrame, pieces: list[str], rounds: int = 2, smoothing: floa
             known, names, now = shared.value
             finder = Pieces(known)
             total = np.zeros((len(known) + 1, len(names)))
-            for batch in batches:
+            for batch in slices(batches):
                 label, word = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist()
                 counts = np.array(batch.column(2).to_pylist(), dtype=np.float64)
                 for i, name in enumerate(names):
@@ -204,15 +252,16 @@ class WordMemo:
     """Row numbers of words in a growing table of their scores."""
 
     def __init__(self, score):
-        self.score, self.rows, self.table = score, {}, None
+        self.score, self.rows, self.table, self.chars = score, {}, None, 0
 
     def lookup(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
         texts = list(texts)
-        if len(self.rows) > MEMO_WORDS:
-            self.rows, self.table = {}, None
+        if len(self.rows) > MEMO_WORDS or self.chars > MEMO_WORDS * MAX_CHARS:
+            self.rows, self.table, self.chars = {}, None, 0
         new = list(dict.fromkeys(w for words in texts for w in words if w not in self.rows))
         if new or self.table is None:
             scores = self.score(new)
+            self.chars += sum(map(len, new))
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
             self.table = scores if self.table is None else np.concatenate([self.table, scores])
         return [np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)) for words in texts]

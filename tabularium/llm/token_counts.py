@@ -2,7 +2,7 @@
 
 Each trie node holds the probability of its prefix over all segmentations, the expected number of pieces, and the
 number of pieces of the most probable segmentation; the values at a word's last node are its terminal counts. A
-document's counts are the sums over its pre-tokens.
+document's counts are the sums over its pre-tokens: its words as they stand, at any length and in their own case.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import TRIE_WORDS, Pieces, Trie, WordMemo, bounded_sample, fit, load_pieces, pretokens
+from .pieces import MAX_CHARS, TRIE_WORDS, Pieces, Trie, WordMemo, along, fit, load_pieces
 from .shared import map_arrow, slices
 
 
@@ -24,6 +24,14 @@ def terminal_counts(words: list[str], pieces: Pieces, weights: np.ndarray) -> np
     weight = weights[:, 0]
     with np.errstate(divide="ignore"):
         log_weight = np.log(weight)
+    long = np.array([len(w) > MAX_CHARS for w in words], dtype=bool)
+    if long.any():
+        plain = log_weight.tolist()
+        for i in np.flatnonzero(long):
+            total, mean, best_n, _ = along(words[i], pieces.by_text, pieces.longest, plain)
+            out[i] = best_n[-1], mean[-1], total[-1]
+        out[~long] = terminal_counts([w for w in words if len(w) <= MAX_CHARS], pieces, weights)
+        return out
     for at in range(0, len(words), TRIE_WORDS):
         trie = Trie(words[at : at + TRIE_WORDS])
         sizes = [len(p) for p in trie.parents]
@@ -46,17 +54,15 @@ def terminal_counts(words: list[str], pieces: Pieces, weights: np.ndarray) -> np
     return out
 
 
-def count_tokens(documents: DataFrame, vocabulary: str, fit_rows: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pretokens, n_tokens, expected_tokens, log10_prob of every whole text.
 
-    Piece probabilities are fitted on about ``fit_rows`` documents chosen by a hash of the id. Null and empty texts have
-    no tokens and log probability 0. Repeated rows get equal results; an empty table gives no rows; other columns are
-    not read.
+    Piece probabilities are fitted on the word counts of all documents. Null and empty texts have no tokens and log
+    probability 0. Repeated rows get equal results; an empty table gives no rows; other columns are not read.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = load_pieces(vocabulary)
-    sample = bounded_sample(docs.withColumn("label", F.lit("all")), "label", "doc_id", fit_rows)
-    labels, weights = fit(sample, pieces)
+    labels, weights = fit(docs.withColumn("label", F.lit("all")), pieces, split=str.split)
     if not labels:
         weights = np.full((len(pieces) + 1, 1), 1.0 / len(pieces))
     shared = documents.sparkSession.sparkContext.broadcast((pieces, weights))
@@ -66,7 +72,7 @@ def count_tokens(documents: DataFrame, vocabulary: str, fit_rows: int = 5_000, i
         finder = Pieces(known)
         memo = WordMemo(lambda words: terminal_counts(words, finder, own))
         for batch in slices(batches):
-            found = memo.lookup(pretokens(t or "") for t in batch.column(1).to_pylist())
+            found = memo.lookup((t or "").split() for t in batch.column(1).to_pylist())
             sums = np.array([memo.table[rows].sum(axis=0) for rows in found]).reshape(-1, 3)
             yield {"doc_id": batch.column(0), "n_pretokens": [len(r) for r in found], "n_tokens": sums[:, 0].astype(np.int64),
                    "expected_tokens": sums[:, 1], "log10_prob": sums[:, 2] / np.log(10)}

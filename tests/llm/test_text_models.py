@@ -127,6 +127,33 @@ def test_ppm_edge_cases(edge_documents, no_documents):
     assert ppm.score(no_documents).count() == 0
 
 
+def test_token_counts_are_fitted_on_all_documents_as_they_stand(spark):
+    # a word of one document among 8,000, a long word, and capitals
+    long = "https://Example.org/" + "abcde" * 30
+    docs = spark.range(8_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "Quixotic " * 50).when(F.col("id") == 8, long).otherwise("plain words").alias("text"))
+    known = pieces.load_pieces(VOCABULARY)
+    finder, weights = pieces.Pieces(known), np.r_[np.full(len(known), 1 / len(known)), pieces.UNKNOWN][:, None]
+    words, counts = ["Quixotic", "plain", "words", long], np.array([50.0, 7_998, 7_998, 1])
+    for _ in range(2):
+        total = pieces.expected_counts(words, counts, finder, weights)[:-1]
+        weights = np.r_[(total + 0.1) / (total.sum() + 0.1 * len(known)), pieces.UNKNOWN][:, None]
+    _, mean, logs = token_counts.terminal_counts(words, finder, weights).T
+    found = {r.doc_id: r for r in token_counts.count_tokens(docs, VOCABULARY).filter("doc_id < 9").collect()}
+    assert found[7].n_pretokens == 50 and found[7].log10_prob == pytest.approx(50 * logs[0] / math.log(10))
+    assert found[8].n_pretokens == 1 and found[8].log10_prob == pytest.approx(logs[3] / math.log(10)) and found[8].expected_tokens == pytest.approx(mean[3])
+
+
+def test_long_words_are_scored_like_short_ones(monkeypatch):
+    known = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "aba"]
+    weights = np.array([[0.1, 0.2, 0.05, 0.3, 0.1, 0.05, 0.1, 0.1, pieces.UNKNOWN]]).T
+    words, finder = ["abab" * 7, "ab", "axb" * 9], pieces.Pieces(known)
+    short = [token_counts.terminal_counts(words, finder, weights), pieces.expected_counts(words, np.array([1.0, 2, 3]), finder, weights)]
+    for module in (pieces, token_counts):
+        monkeypatch.setattr(module, "MAX_CHARS", 4)
+    assert token_counts.terminal_counts(words, finder, weights) == pytest.approx(short[0])
+    assert pieces.expected_counts(words, np.array([1.0, 2, 3]), finder, weights) == pytest.approx(short[1])
+
+
 def test_token_counts_edge_cases(edge_documents, no_documents):
     rows = token_counts.count_tokens(edge_documents, VOCABULARY).collect()
     assert len(rows) == 10 and all((r.n_tokens, r.log10_prob) == (0, 0.0) for r in rows if r.doc_id in (2, 3, 4))
