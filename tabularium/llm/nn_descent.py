@@ -11,6 +11,7 @@ classes again. The links of each part are then counted exactly, block by block,
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,30 +164,47 @@ def searched(nodes: DataFrame, k: int, block: int, orders: int, rounds: int, see
     return lists
 
 
-def audit(nodes: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the links of about ``sample`` classes, compared with all vectors, whose ends are in one part."""
+def audit(nodes: DataFrame, threshold: float, sample: int, few: int, enough: int = 64) -> tuple[float, float, int]:
+    """(recall, recall of classes with at most ``few`` links, classes with links) by classes compared with all vectors.
+
+    Recall is the mean over sampled classes with links of the share of their links whose ends are in one part, so a
+    class of a large group counts like one of a pair; 1 where no class has a link. At first about ``sample`` classes are
+    drawn, then up to 16 times as many until ``enough`` of them have links.
+    """
     n = nodes.count()
     share = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) / (1 << 30)
-    # a bounded query set against all rows
-    chosen = nodes.filter(share * n < sample).select("id", "kind", "part", "unit").collect()
-    shared = nodes.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        links = together = 0
-        for batch in batches:
-            ids, kinds, parts = (batch.column(i).to_numpy() for i in range(3))
-            units = batch.column(3).to_pylist()
-            for own, kind, part, unit in shared.value:
-                alike = np.flatnonzero(kinds == kind)
-                if len(alike):
-                    near = np.frombuffer(b"".join(units[i] for i in alike), np.float64).reshape(len(alike), -1) @ np.frombuffer(unit, np.float64) >= threshold
-                    hit = alike[near & (ids[alike] != own)]
-                    links += len(hit)
-                    together += int((parts[hit] == part).sum())
-        yield {"links": [links], "together": [together]}
-
-    found = map_arrow(nodes.select("id", "kind", "part", "unit"), run, "links bigint, together bigint").agg(F.sum("links"), F.sum("together")).first()
-    return 1.0 if not found[0] else found[1] / found[0]
+    size, most = sample, 16 * sample
+    while True:
+        # a bounded query set against all rows
+        drawn: dict[int, list] = {}
+        for id_, kind, part, unit in nodes.filter(share * n < size).select("id", "kind", "part", "unit").collect():
+            drawn.setdefault(kind, []).append((id_, part, bytes(unit)))
+        shared = nodes.sparkSession.sparkContext.broadcast(drawn)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[dict]:
+            chosen = {k: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), -1)) for k, rows in shared.value.items()}
+            links, together = ({k: np.zeros(len(v[0]), np.int64) for k, v in chosen.items()} for _ in range(2))
+            for batch in slices(batches, 256 << 10):
+                ids, kinds, parts = (batch.column(i).to_numpy() for i in range(3))
+                for kind in np.unique(kinds):
+                    if kind not in chosen:
+                        continue
+                    own, part, units = chosen[kind]
+                    at = np.flatnonzero(kinds == kind)
+                    near = (matrix(batch.column(3).take(pa.array(at))) @ units.T >= threshold) & (ids[at][:, None] != own[None, :])
+                    links[kind] += near.sum(axis=0)
+                    together[kind] += (near & (parts[at][:, None] == part[None, :])).sum(axis=0)
+            for kind, (own, _, _) in chosen.items():
+                some = np.flatnonzero(links[kind])
+                yield {"id": own[some], "links": links[kind][some], "together": together[kind][some]}
+
+        made = map_arrow(nodes.select("id", "kind", "part", "unit"), run, "id bigint, links bigint, together bigint")
+        found = made.groupBy("id").agg(F.sum("links"), F.sum("together")).collect()
+        if len(found) >= enough or size >= min(n, most):
+            break
+        size *= 4
+    mean = lambda rows: float(np.mean([r[2] / r[1] for r in rows])) if rows else 1.0
+    return mean(found), mean([r for r in found if r[1] <= few]), len(found)
 
 
 def count_links(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -230,8 +248,9 @@ def near_vectors(
     Only vectors of one label and length are compared, by cosine in double precision. Vectors that are null, empty or
     zero, hold null or non-finite components, or have no label link with nothing. component_id is the smallest vec_id
     that links reach, kept marks rows that carry it; a null vec_id is larger than any other. Equal and repeated vectors
-    are linked. An empty table gives no rows; other columns are not read. ``target`` is the audited recall that stops
-    the search, ``most_repeats`` how often it runs over all classes again to reach it.
+    are linked. An empty table gives no rows; other columns are not read. ``target`` is the audited recall, of all
+    classes and of those with few links, that stops the search, ``most_repeats`` how often it runs over all classes again
+    to reach it; where it is not reached, a warning gives the measured recall.
     """
     rows = prepared(vectors, id_col, vector_col, label_col)
     classes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("kind").alias("kind"), F.first("unit").alias("unit"))
@@ -253,10 +272,14 @@ def near_vectors(
         if more.limit(1).count() > 0:
             # every such list joins parts, so this ends
             chosen = written(nodes.join(more, "id", "left_semi"), "saturated")
-        elif repeats < most_repeats and audit(nodes, threshold, sample) < target:
-            chosen, repeats = nodes, repeats + 1
-        else:
+            continue
+        whole, small, linked = audit(nodes, threshold, sample, k)
+        if min(whole, small) >= target:
+            break
+        if repeats >= most_repeats:
+            warnings.warn(f"near_vectors: audited recall {whole:.4f}, {small:.4f} of classes with at most {k} links, over {linked} classes, is below the target {target} after {repeats} repeats")
             break
+        chosen, repeats = nodes, repeats + 1
     counted = count_links(nodes, threshold, 512)
     per_class = written(nodes.join(counted, "id", "left").select("key", "part", (F.coalesce("n_links", F.lit(0)) + F.col("rows") - 1).alias("n_links")), "counted")
     joined = written(rows.select("row", "vec_id", "key").join(per_class, "key", "left"), "joined")

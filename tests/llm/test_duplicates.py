@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabularium.llm import chosen_path, components, decontaminate, line_spread, nn_descent
@@ -176,6 +177,31 @@ def test_vectors_equal_brute_force(spark):
     assert nn_descent.near_vectors(frame.limit(0)).count() == 0
 
 
+def grouped_nodes(spark):
+    """A group of 400 in one part and 40 pairs whose links were missed, as (id, kind, part, unit)."""
+    draw = np.random.default_rng(8)
+    unit = lambda v: (v / np.linalg.norm(v)).tobytes()
+    centre, rows = draw.standard_normal(32), []
+    rows = [(i, 1, 0, unit(centre + draw.standard_normal(32) * 0.02)) for i in range(400)]
+    for i in range(400, 480, 2):
+        pair = draw.standard_normal(32)
+        rows += [(i, 1, i, unit(pair)), (i + 1, 1, i + 1, unit(pair + draw.standard_normal(32) * 0.02))]
+    return spark.createDataFrame(rows, "id bigint, kind bigint, part bigint, unit binary")
+
+
+def test_audit_counts_classes_not_links(spark):
+    whole, small, linked = nn_descent.audit(grouped_nodes(spark), 0.93, 480, 12)
+    assert (whole, small, linked) == (400 / 480, 0.0, 480)
+    # draws more until enough classes have links
+    assert nn_descent.audit(grouped_nodes(spark), 0.93, 32, 12)[2] >= 64
+
+
+def test_missed_target_is_reported(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [1.0, 0.01], 3)], "vec_id bigint, embedding array<double>, label int")
+    with pytest.warns(UserWarning, match="audited recall 1.0000"):
+        nn_descent.near_vectors(frame, target=1.1, most_repeats=0)
+
+
 def test_repeated_vector_ids(spark):
     rows = nn_descent.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (None, [1.0, 0.01], 3)], "vec_id bigint, embedding array<double>, label int")).collect()
     assert [(r.n_links, r.component_id) for r in rows] == [(2, 1)] * 3
