@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, html_extract, language_id, line_spread, nn_descent, packing, ppm, token_counts, warc
+from . import bit_planes, chosen_path, decontaminate, html_extract, language_id, line_spread, nn_descent, packing, ppm, repeats, token_counts, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,51 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 @query("op10_warc_normaliser", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_shifted_cholesky_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def bit_plane_sql(rounds: int = 10, k: int = 8) -> str:
+    """Assignments and moves spelled out round by round."""
+    steps = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64)""",
+             "u AS MATERIALIZED (SELECT vec_id, d, x[d] AS x FROM v, range(1, 65) AS q(d))",
+             f"""c0 AS MATERIALIZED (SELECT k, d, x[d] AS c FROM (SELECT x, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM v
+    ORDER BY sha256('3:' || vec_id) LIMIT {k}), range(1, 65) AS q(d))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, arg_min(k, far * {k} + k) AS k, min(far)::BIGINT AS distance
+    FROM (SELECT vec_id, k, sum((x - c) * (x - c)) AS far FROM u JOIN c{r} USING (d) GROUP BY vec_id, k) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT k, d, coalesce(m.c, p.c)::BIGINT AS c FROM c{r} AS p LEFT JOIN (SELECT k, d, (s - ((s % n) + n) % n) // n AS c
+    FROM (SELECT k, d, sum(x) AS s, count(*) AS n FROM u JOIN a{r} USING (vec_id) GROUP BY k, d)) AS m USING (k, d))""")
+    return f"""WITH {", ".join(steps)}, h AS (SELECT k, sha256(string_agg(c, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (k)"""
+
+
+@query("op12_bit_plane_clusters", bit_plane_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_planes.cluster(table(spark, sf_dir, "embeddings"))
+
+
+# hexadecimal digits keep bytes apart; two digits a byte
+OP13_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 800)) AS g FROM d, unnest(range(0, n - 399)) AS q(p)),
+m AS (SELECT doc_id, p FROM w JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, coalesce((p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 400)::INT, 1) AS new FROM m)),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS before FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(from_hex(coalesce(before, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
+
+@query("op13_deep_shallow_repeats", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

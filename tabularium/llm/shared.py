@@ -65,6 +65,26 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Itera
                 yield batch.slice(at, step)
 
 
+def clean_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, vector) as doubles, without vectors that are null or hold null or non-finite entries."""
+    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    bad = F.exists("vector", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    return rows.filter(F.col("vector").isNotNull() & ~bad)
+
+
+def summed(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], kind: str, largest: str | None = None) -> tuple[list, int]:
+    """Sums by position of the equally long ``part`` arrays that ``fn`` yields, one a task, and the largest of a long column.
+
+    Parts are added in Spark: the driver receives one number a position. No tasks give no sums.
+    """
+    more = f", {largest} bigint" if largest else ""
+    parts = map_arrow(df, fn, f"part array<{kind}>{more}")
+    spread = parts.select(F.posexplode("part").alias("at", "value"), F.col(largest).alias("most") if largest else F.lit(0).cast("bigint").alias("most"))
+    found = spread.groupBy("at").agg(F.sum("value").alias("total"), F.max("most").alias("most")).collect()
+    found.sort(key=lambda r: r["at"])
+    return [r["total"] for r in found], max((r["most"] for r in found), default=0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
     """Rows sorted by an integer column, as tables that hold whole groups, with the rows each group spans."""
     held = None
