@@ -16,6 +16,30 @@ def event_stream(t: Tables):
     return S.read_files(t.spark, t.path("events").replace(".parquet", ".parque[t]"), t.events.schema)
 
 
+def disordered(t: Tables, shuffle: tuple[int, ...] = (1, 0, 3, 2)):
+    """(stream, lateness): all events as files out of order, time slices swapped in pairs, then a closing event far ahead.
+
+    No event is later than two slices. The closing event only moves the watermark past the others; it stays in the
+    operators' state and never comes out.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = t.events.agg(F.min(micros), F.max(micros)).first()
+    width = (high - low) // len(shuffle) + 1
+    folder = S.scratch_folder(t.spark, "disordered")
+    for number, at in enumerate(shuffle):
+        t.events.filter(F.floor((micros - low) / width) == at).write.parquet(f"{folder}/{number}")
+    late = 2 * width // 1_000_000 + 1
+    ahead = F.timestamp_micros(F.lit(high) + (2 * late + 2 * 86_400) * 1_000_000)
+    t.events.limit(1).withColumn("ts", ahead.cast(t.events.schema["ts"].dataType)).write.parquet(f"{folder}/{len(shuffle)}")
+    return S.read_files(t.spark, f"{folder}/*", t.events.schema), f"{late} seconds"
+
+
+def latest(df, key: str):
+    """The last state of each key."""
+    fields = [c for c in df.columns if c not in (key, "upto")]
+    return df.groupBy(key).agg(F.max_by(F.struct(*fields), "upto").alias("s")).select(key, "s.*")
+
+
 @query(
     "st01_json_messages",
     """SELECT event_id, user_id, CAST(props->>'k' AS BIGINT) AS k FROM events""",
@@ -48,7 +72,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     aggs = [F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")]
-    return S.drain(O.tumbling(event_stream(t), "ts", "6 hours", ["event_type"], aggs), "complete", "st04")
+    stream, late = disordered(t)
+    # a window comes out once the watermark has passed it
+    return S.drain(O.tumbling(stream, "ts", "6 hours", ["event_type"], aggs, late), label="st04")
 
 
 COUNTED = """SELECT user_id, window, count(*) AS events, sum(value) AS total FROM (SELECT user_id, value, floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 20)::BIGINT AS window
@@ -69,7 +95,8 @@ def total_of_window(pdf):
 @query("st04_count_windows_stream", f"SELECT * FROM ({COUNTED.replace('window', chr(34) + 'window' + chr(34))}) WHERE events = 20", floats="total", digits=4)
 def _(t: Tables):
     output = "user_id bigint, window bigint, events bigint, total double"
-    made = O.buffered_windows(event_stream(t), "user_id", ["value"], ["ts", "event_id"], output, 20, None, [lambda pdf: total_of_window(pdf)])
+    stream, late = disordered(t)
+    made = O.event_windows(stream, "user_id", "ts", ["event_id"], ["value"], output, 20, late, [lambda pdf: total_of_window(pdf)])
     return S.drain(made, label="st04c")
 
 
@@ -83,7 +110,9 @@ def _(t: Tables):
 
 @query("st05_running_features_stream", RUNNING, floats="value_sum value_avg", digits=4)
 def _(t: Tables):
-    return S.drain(O.running_features(event_stream(t), "user_id", ["value"]), "complete", "st05")
+    stream, late = disordered(t)
+    made = S.drain(O.event_features(stream, "user_id", ["value"], "ts", ["event_id"], late), label="st05")
+    return latest(made, "user_id")
 
 
 @query(
@@ -94,7 +123,8 @@ def _(t: Tables):
     digits=4,
 )
 def _(t: Tables):
-    made = O.anomaly_scores(event_stream(t), "user_id", "event_id", ["value"], ["ts", "event_id"], window=50)
+    stream, late = disordered(t)
+    made = O.anomaly_scores(stream, "user_id", "event_id", ["value"], "ts", ["event_id"], late, window=50)
     return S.drain(made, label="st06").select("event_id", "score")
 
 
@@ -105,11 +135,13 @@ def _(t: Tables):
     floats="accuracy",
 )
 def _(t: Tables):
+    stream, late = disordered(t)
+
     class Streamed:
-        events = event_stream(t)
+        events = stream
 
-    made = O.live_accuracy(predicted(Streamed), "user_id", "prediction", "actual", ["ts", "event_id"], last=50)
-    return S.drain(made, label="st07")
+    made = O.live_accuracy(predicted(Streamed), "user_id", "prediction", "actual", "ts", ["event_id"], late, last=50)
+    return latest(S.drain(made, label="st07"), "user_id")
 
 
 @query(
@@ -120,7 +152,8 @@ def _(t: Tables):
     digits=5,
 )
 def _(t: Tables):
-    return S.drain(O.windowed_drift(event_stream(t), t.events, "ts", "1 day", ["value"]), "complete", "st08")
+    stream, late = disordered(t)
+    return S.drain(O.windowed_drift(stream, t.events, "ts", "1 day", ["value"], watermark=late), label="st08")
 
 
 @query("st09_file_batches", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.guarded import col
 from ..operators.ordered import row_numbers
@@ -59,8 +60,9 @@ def count_windows(df: DataFrame, key: str, order_by: list[str], size: int, aggs:
 class BufferedWindow(StatefulProcessor):
     """Flush a key's buffer at ``size`` events, or ``seconds`` after its first event by processing time.
 
-    The state of a key never exceeds ``size`` rows. Rows of one micro-batch are taken in ``order`` order; limit the
-    micro-batch (offsets or files per trigger) to bound what a hot key brings at once.
+    Windows follow arrival: rows of one micro-batch are taken in ``order`` order, later batches come after; see
+    ``event_windows`` for event order. The state of a key never exceeds ``size`` rows; limit the micro-batch (offsets or
+    files per trigger) to bound what a hot key brings at once.
     """
 
     def __init__(self, key: str, fields: list[str], order: list[str], schema: str, size: int, seconds: int | None, processors: list[Callable[[pd.DataFrame], pd.DataFrame]]):
@@ -128,74 +130,287 @@ def buffered_windows(
     return kept.groupBy(key).transformWithStateInPandas(processor, output, "Append", mode)
 
 
-class TrailingScore(StatefulProcessor):
-    """Largest |z| of each event against the last ``window`` events of its key, kept as a ring of values."""
+class EventOrdered(StatefulProcessor):
+    """Rows of a key in event-time order, whatever the order they arrive in.
+
+    Arrivals are held in list state until the watermark has passed them: an event-time timer at the earliest held row wakes
+    the key, the rows at or below the watermark go to ``step`` in order, the others stay. Rows behind the watermark never
+    get here; Spark counts them (see ``late_rows``). A key whose events pause for more than ``idle`` seconds starts anew, and
+    a timer frees its state then; without ``idle`` it is kept for good.
 
-    def __init__(self, key: str, row_id: str, columns: list[str], order: list[str], window: int, min_rows: int):
-        self.key, self.row_id, self.columns, self.order = key, row_id, columns, order
-        self.window, self.min_rows = window, min_rows
+    Held rows are tuples (microseconds, *fields); ``order`` gives the places that break ties.
+    """
+
+    def __init__(self, key: str, fields: list[str], held_schema: str, order: list[int], idle: int | None):
+        self.key, self.fields, self.held_schema, self.order = key, fields, held_schema, order
+        self.idle = idle * 1_000_000 if idle else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in self.columns]))
+        self.handle = handle
+        self.pending = handle.getListState("pending", self.held_schema)
+        self.newest = handle.getValueState("newest", "at bigint")
+        self.open(handle)
+
+    def wake(self, at: int) -> None:
+        # timers count milliseconds and fire once the watermark is past them
+        self.handle.registerTimer(at // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        held = self.ring.get() if self.ring.exists() else None
-        past = np.array([list(v) for v in held], dtype=float) if held is not None else np.empty((len(self.columns), 0))
-        values = np.hstack([past, batch[self.columns].to_numpy(dtype=float).T])
-        scores, begin = [], past.shape[1]
-        for i in range(len(batch)):
-            seen = values[:, max(0, begin + i - self.window) : begin + i]
-            if seen.shape[1] < self.min_rows:
-                scores.append(0.0)
+        earliest = None
+        for part in rows:
+            if part.empty:
+                continue
+            held = part[["at", *self.fields]].astype(object)
+            held = held.where(held.notna(), None)
+            self.pending.appendList([tuple(r) for r in held.itertuples(index=False, name=None)])
+            first = int(part["at"].min())
+            earliest = first if earliest is None else min(first, earliest)
+        if earliest is not None:
+            self.wake(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        held.sort(key=lambda r: (r[0], *(r[i] for i in self.order)))
+        n = sum(r[0] <= watermark for r in held)
+        if n:
+            if n < len(held):
+                self.pending.put(held[n:])
             else:
-                z = np.abs(values[:, begin + i] - seen.mean(axis=1)) / (seen.std(axis=1) + 1e-8)
-                scores.append(float(z.max()))
-        self.ring.update(tuple(list(map(float, v[-self.window :])) for v in values))
-        yield pd.DataFrame({self.key: key[0], self.row_id: batch[self.row_id].to_numpy(), "score": scores})
+                self.pending.clear()
+        if n < len(held):
+            self.wake(held[n][0])
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        for rows in self.without_pauses(held[:n], newest):
+            if newest is not None and self.idle and rows[0][0] - newest > self.idle:
+                yield from self.forget(key)
+            yield from self.step(key, rows)
+            newest = rows[-1][0]
+        if n:
+            self.newest.update((newest,))
+        yield from self.passed(key, watermark)
+        if self.idle and newest is not None:
+            if newest + self.idle < watermark and n == len(held):
+                yield from self.forget(key)
+                self.newest.clear()
+            else:
+                self.wake(newest + self.idle)
+
+    def without_pauses(self, rows: list[tuple], newest: int | None) -> Iterator[list[tuple]]:
+        """Rows cut where the gap to the row before is a pause."""
+        start = 0
+        for i in range(1, len(rows)):
+            if self.idle and rows[i][0] - rows[i - 1][0] > self.idle:
+                yield rows[start:i]
+                start = i
+        if rows:
+            yield rows[start:]
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def forget(self, key) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def anomaly_scores(df: DataFrame, key: str, row_id: str, columns: list[str], order: list[str], window: int = 100, min_rows: int = 10, threshold: float = 3.0) -> DataFrame:
-    """Streaming twin of the trailing z-score."""
+def in_event_order(df: DataFrame, key: str, ts: str, order: list[str], fields: list[Column], watermark: str, build: Callable, output: str) -> DataFrame:
+    """Feed a processor: ``fields`` and tie breakers by key, under a watermark; rows without time never get there.
+
+    ``order`` breaks ties of ``ts`` and has no nulls.
+    """
     use_rocksdb(df.sparkSession)
-    kept = df.select(*[col(c) for c in dict.fromkeys([key, row_id, *columns, *order])])
+    # rows reach Python as named tuples, which know no leading underscores, spaces or keywords
+    made = {f"f{i}": c for i, c in enumerate(fields)} | {f"o{i}": col(c) for i, c in enumerate(order)}
+    kept = df.select(col(key).alias("event_key"), col(ts).cast("timestamp").alias("event_time"), *[c.alias(n) for n, c in made.items()])
+    kept = kept.filter(F.col("event_time").isNotNull()).withWatermark("event_time", watermark).withColumn("at", F.unix_micros("event_time"))
+    held = "at bigint, " + ", ".join(f"{n} {kept.schema[n].dataType.simpleString()}" for n in made)
+    processor = build(key, list(made), held, [1 + len(fields) + i for i in range(len(order))])
+    return kept.groupBy("event_key").transformWithStateInPandas(processor, output, "Append", "EventTime")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were left out, over the progress reports the query keeps."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+class EventWindows(EventOrdered):
+    """Windows of ``size`` consecutive events, or of the events within ``seconds`` of their first one, by event time."""
+
+    def __init__(self, *base, columns: list[str], size: int, seconds: int | None, processors: list[Callable[[pd.DataFrame], pd.DataFrame]], idle: int | None):
+        super().__init__(*base, idle)
+        self.columns, self.size, self.processors = columns, size, processors
+        self.span = seconds * 1_000_000 if seconds else None
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.buffer = handle.getListState("buffer", self.held_schema)
+        self.flushed = handle.getValueState("flushed", "n bigint")
+
+    def _flush(self, key, rows: list[tuple]) -> pd.DataFrame:
+        number = self.flushed.get()[0] if self.flushed.exists() else 0
+        self.flushed.update((number + 1,))
+        out = pd.DataFrame([r[1 : 1 + len(self.columns)] for r in rows], columns=self.columns)
+        for p in self.processors:
+            out = p(out)
+        out.insert(0, "window", number)
+        out.insert(0, self.key, key[0])
+        return out
+
+    def _held(self) -> list[tuple]:
+        return [tuple(r) for r in self.buffer.get()] if self.buffer.exists() else []
+
+    def _hold(self, rows: list[tuple]) -> None:
+        if rows:
+            self.buffer.put(rows)
+            if self.span:
+                self.wake(rows[0][0] + self.span)
+        else:
+            self.buffer.clear()
+
+    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        for row in rows:
+            if held and self.span and row[0] - held[0][0] >= self.span:
+                yield self._flush(key, held)
+                held = []
+            held.append(row)
+            if len(held) == self.size:
+                yield self._flush(key, held)
+                held = []
+        self._hold(held)
+
+    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        held = self._held() if self.span else []
+        if held and watermark >= held[0][0] + self.span:
+            yield self._flush(key, held)
+            self._hold([])
+
+    def forget(self, key) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        if held:
+            yield self._flush(key, held)
+        self.buffer.clear()
+        self.flushed.clear()
+
+
+def event_windows(
+    df: DataFrame,
+    key: str,
+    ts: str,
+    order: list[str],
+    fields: list[str],
+    output: str,
+    size: int,
+    watermark: str,
+    processors: list[Callable[[pd.DataFrame], pd.DataFrame]],
+    seconds: int | None = None,
+    idle: int | None = None,
+) -> DataFrame:
+    """Stream of processed count windows in event order, the same as ``count_windows`` however late rows come.
+
+    ``output`` is the schema of (key, window, processed columns). An open window is held; after a pause of ``idle`` seconds
+    it is flushed short, and the key's numbers start again.
+    """
+    build = lambda *base: EventWindows(*base, columns=fields, size=size, seconds=seconds, processors=processors, idle=idle)
+    return in_event_order(df, key, ts, order, [col(c) for c in fields], watermark, build, output)
+
+
+def trailing_z(values: np.ndarray, begin: int, window: int, min_rows: int) -> np.ndarray:
+    """Largest |z| over the columns of each row from ``begin`` on, against the up to ``window`` rows before it."""
+    n = values.shape[1]
+    scores = np.zeros(n - begin)
+    for i in range(begin, min(n, window)):
+        if i >= min_rows:
+            seen = values[:, :i]
+            scores[i - begin] = (np.abs(values[:, i] - seen.mean(axis=1)) / (seen.std(axis=1) + 1e-8)).max()
+    if window < min_rows:
+        return scores
+    for at in range(max(begin, window), n, 4096):
+        stop = min(n, at + 4096)
+        seen = np.lib.stride_tricks.sliding_window_view(values[:, at - window : stop - 1], window, axis=1)
+        z = np.abs(values[:, at:stop] - seen.mean(axis=2)) / (seen.std(axis=2) + 1e-8)
+        scores[at - begin : stop - begin] = z.max(axis=0)
+    return scores
+
+
+class TrailingScore(EventOrdered):
+    """Largest |z| of each event against the last ``window`` events of its key, kept as a ring of values."""
+
+    def __init__(self, *base, columns: int, row_id: str, window: int, min_rows: int, idle: int | None):
+        super().__init__(*base, idle)
+        self.columns, self.row_id, self.window, self.min_rows = columns, row_id, window, min_rows
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getValueState("ring", T.StructType([T.StructField(f"c{i}", T.ArrayType(T.DoubleType())) for i in range(self.columns)]))
+
+    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        past = np.array([list(v) for v in self.ring.get()], dtype=float) if self.ring.exists() else np.empty((self.columns, 0))
+        fresh = np.array([[np.nan if r[2 + i] is None else r[2 + i] for r in rows] for i in range(self.columns)], dtype=float)
+        values = np.hstack([past, fresh])
+        scores = trailing_z(values, past.shape[1], self.window, self.min_rows)
+        self.ring.update(tuple(list(map(float, v[-self.window :])) for v in values))
+        yield pd.DataFrame({self.key: key[0], self.row_id: [r[1] for r in rows], "score": scores})
+
+    def forget(self, key) -> Iterator[pd.DataFrame]:
+        self.ring.clear()
+        return iter(())
+
+
+def anomaly_scores(
+    df: DataFrame,
+    key: str,
+    row_id: str,
+    columns: list[str],
+    ts: str,
+    order: list[str],
+    watermark: str,
+    window: int = 100,
+    min_rows: int = 10,
+    threshold: float = 3.0,
+    idle: int | None = None,
+) -> DataFrame:
+    """Streaming twin of the trailing z-score, in event order."""
     types = {c: df.schema[c].dataType.simpleString() for c in (key, row_id)}
     output = f"{key} {types[key]}, {row_id} {types[row_id]}, score double"
-    scored = kept.groupBy(key).transformWithStateInPandas(TrailingScore(key, row_id, columns, order, window, min_rows), output, "Append", "None")
+    fields = [col(row_id), *[col(c).cast("double") for c in columns]]
+    build = lambda *base: TrailingScore(*base, columns=len(columns), row_id=row_id, window=window, min_rows=min_rows, idle=idle)
+    scored = in_event_order(df, key, ts, order, fields, watermark, build, output)
     return scored.withColumn("is_anomaly", (F.col("score") > threshold).cast("int"))
 
 
-class LastOutcomes(StatefulProcessor):
-    """Accuracy over the labelled events among the last N of each model, one row per micro-batch and model."""
+class LastOutcomes(EventOrdered):
+    """Accuracy over the labelled events among the last N of each model, one row whenever the watermark passes events."""
 
-    def __init__(self, key: str, prediction: str, actual: str, order: list[str], last: int, min_labelled: int, baseline: float, tolerance: float):
-        self.key, self.prediction, self.actual, self.order = key, prediction, actual, order
+    def __init__(self, *base, last: int, min_labelled: int, baseline: float, tolerance: float, idle: int | None):
+        super().__init__(*base, idle)
         self.last, self.min_labelled, self.baseline, self.tolerance = last, min_labelled, baseline, tolerance
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         # 1 right, 0 wrong, -1 not labelled
         self.log = handle.getValueState("log", T.StructType([T.StructField("outcomes", T.ArrayType(T.IntegerType()))]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        known = batch[self.actual].notna()
-        right = (batch[self.prediction] == batch[self.actual]).astype(int)
+    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         held = list(self.log.get()[0]) if self.log.exists() else []
-        held = (held + [int(x) for x in right.where(known, -1)])[-self.last :]
+        held = (held + [int(r[1]) for r in rows])[-self.last :]
         self.log.update((held,))
         labelled = [x for x in held if x >= 0]
         enough = len(labelled) >= self.min_labelled
         accuracy = sum(labelled) / len(labelled) if enough else None
         alert = bool(enough and self.baseline - accuracy > self.tolerance)
-        yield pd.DataFrame({self.key: [key[0]], "labelled": [len(labelled)], "accuracy": [accuracy], "alert": [alert]})
+        yield pd.DataFrame({self.key: [key[0]], "upto": [rows[-1][0]], "labelled": [len(labelled)], "accuracy": [accuracy], "alert": [alert]})
 
-    def close(self) -> None:
-        pass
+    def forget(self, key) -> Iterator[pd.DataFrame]:
+        self.log.clear()
+        return iter(())
 
 
 def live_accuracy(
@@ -203,18 +418,56 @@ def live_accuracy(
     key: str,
     prediction: str,
     actual: str,
+    ts: str,
     order: list[str],
+    watermark: str,
     last: int = 100,
     min_labelled: int = 10,
     baseline: float = 1.0,
     tolerance: float = 0.1,
+    idle: int | None = None,
 ) -> DataFrame:
-    """Streaming model monitor: alert when accuracy falls more than ``tolerance`` below ``baseline``."""
-    use_rocksdb(df.sparkSession)
-    kept = df.select(*[col(c) for c in dict.fromkeys([key, prediction, actual, *order])])
-    output = f"{key} {df.schema[key].dataType.simpleString()}, labelled bigint, accuracy double, alert boolean"
-    processor = LastOutcomes(key, prediction, actual, order, last, min_labelled, baseline, tolerance)
-    return kept.groupBy(key).transformWithStateInPandas(processor, output, "Append", "None")
+    """Streaming model monitor in event order: alert when accuracy falls more than ``tolerance`` below ``baseline``.
+
+    (key, upto, labelled, accuracy, alert): the state after the events up to ``upto`` (microseconds).
+    """
+    output = f"{key} {df.schema[key].dataType.simpleString()}, upto bigint, labelled bigint, accuracy double, alert boolean"
+    outcome = F.when(col(actual).isNull(), F.lit(-1)).otherwise(col(prediction).eqNullSafe(col(actual)).cast("int"))
+    build = lambda *base: LastOutcomes(*base, last=last, min_labelled=min_labelled, baseline=baseline, tolerance=tolerance, idle=idle)
+    return in_event_order(df, key, ts, order, [outcome], watermark, build, output)
+
+
+class RunningFeatures(EventOrdered):
+    """Events so far, and sums and averages of the values of a key, one row whenever the watermark passes events."""
+
+    def __init__(self, *base, values: list[str], idle: int | None):
+        super().__init__(*base, idle)
+        self.values = values
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "events bigint, sums array<double>")
+
+    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        events, sums = self.total.get() if self.total.exists() else (0, [0.0] * len(self.values))
+        events += len(rows)
+        sums = [float(s) + sum(r[1 + i] or 0.0 for r in rows) for i, s in enumerate(sums)]
+        self.total.update((events, sums))
+        made = {self.key: [key[0]], "upto": [rows[-1][0]], "events": [events]}
+        for c, s in zip(self.values, sums):
+            made |= {f"{c}_sum": [s], f"{c}_avg": [s / events]}
+        yield pd.DataFrame(made)
+
+    def forget(self, key) -> Iterator[pd.DataFrame]:
+        self.total.clear()
+        return iter(())
+
+
+def event_features(df: DataFrame, key: str, values: list[str], ts: str, order: list[str], watermark: str, idle: int | None = None) -> DataFrame:
+    """Append-mode twin of ``running_features``: (key, upto, events, c_sum, c_avg); a key silent for ``idle`` seconds starts anew."""
+    output = f"{key} {df.schema[key].dataType.simpleString()}, upto bigint, events bigint, " + ", ".join(f"{c}_sum double, {c}_avg double" for c in values)
+    fields = [col(c).cast("double") for c in values]
+    build = lambda *base: RunningFeatures(*base, values=values, idle=idle)
+    return in_event_order(df, key, ts, order, fields, watermark, build, output)
 
 
 def windowed_drift(df: DataFrame, reference: DataFrame, ts: str, duration: str, columns: list[str], threshold: float = 2.0, watermark: str | None = None) -> DataFrame:

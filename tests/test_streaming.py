@@ -5,6 +5,7 @@ import os
 import subprocess
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -71,11 +72,77 @@ def test_processor_chain_gets_the_previous_output(spark, tmp_path):
     assert S.drain(made).first()["total"] == 12.0
 
 
+CLOSE = (10_000, "x", 100_000, 0.0)
+
+
+def late_first(spark, tmp_path, rows):
+    """The later half in the first file, the earlier half in the second, then a closing row."""
+    folder = str(tmp_path / "in")
+    rows = sorted(rows, key=lambda r: (r[2], r[0]))
+    part(spark, folder, "a", rows[len(rows) // 2 :])
+    part(spark, folder, "b", rows[: len(rows) // 2])
+    part(spark, folder, "c", [CLOSE])
+    return stream(spark, folder), spark.createDataFrame([(i, k, float(v)) for i, k, _, v in rows], "id bigint, k string, v double"), rows
+
+
+def test_files_out_of_order_equal_the_batch_forms(spark, tmp_path):
+    rows = [(i, "xy"[i % 3 == 0], i * 7 % 400, (i * 37 % 101) / 3 + (300 if i % 50 == 0 else 0)) for i in range(400)]
+    made, _, ordered = late_first(spark, tmp_path, rows)
+    keys = {k: [r for r in ordered if r[1] == k] for k in "xy"}
+    total = lambda pdf: pd.DataFrame({"total": [pdf["v"].sum()]})
+    got = S.drain(O.event_windows(made, "k", "ts", ["id"], ["v"], "k string, window bigint, total double", 30, "1 hour", [total])).collect()
+    want = {(k, n): sum(r[3] for r in own[30 * n : 30 * n + 30]) for k, own in keys.items() for n in range(len(own) // 30)}
+    assert {(r["k"], r["window"]) for r in got} == set(want) and all(abs(r["total"] - want[r["k"], r["window"]]) < 1e-6 for r in got)
+
+    got = {r["id"]: r["score"] for r in S.drain(O.anomaly_scores(made, "k", "id", ["v"], "ts", ["id"], "1 hour", window=40)).collect()}
+    for own in keys.values():
+        for n, r in enumerate(own):
+            seen = np.array([x[3] for x in own[max(0, n - 40) : n]])
+            want_score = abs(r[3] - seen.mean()) / (seen.std() + 1e-8) if n >= 10 else 0.0
+            assert abs(got[r[0]] - want_score) < 1e-6
+    assert len(got) == 400
+
+    marked = made.withColumns({"p": F.lit(1.0), "y": F.when(F.col("id") % 4 > 0, F.floor("v") % 2.0)})
+    got = S.drain(O.live_accuracy(marked, "k", "p", "y", "ts", ["id"], "1 hour", last=50))
+    last = {r["k"]: r for r in got.groupBy("k").agg(F.max_by(F.struct("labelled", "accuracy"), "upto").alias("s")).select("k", "s.*").collect()}
+    for k, own in keys.items():
+        known = [int(r[3]) % 2 == 1 for r in own[-50:] if r[0] % 4]
+        assert last[k]["labelled"] == len(known) and abs(last[k]["accuracy"] - sum(known) / len(known)) < 1e-9
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    part(spark, folder, "a", [(1, "x", 1000, 1), (2, "x", 1001, 1)])
+    part(spark, folder, "b", [(3, "x", 2000, 1)])
+    part(spark, folder, "c", [(4, "x", 5, 1), (5, "x", 2001, 1)])
+    part(spark, folder, "d", [CLOSE])
+    made = O.event_features(stream(spark, folder), "k", ["v"], "ts", ["id"], "10 seconds")
+    seen = []
+    q = S.for_each_batch(made, lambda batch, _: seen.extend(batch.collect()), str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    assert O.late_rows(q) == 1 and max(r["events"] for r in seen) == 4
+
+
+def test_a_pause_starts_a_key_anew(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    part(spark, folder, "a", [(1, "x", 1, 1), (2, "x", 5, 2), (3, "x", 500, 4)])
+    part(spark, folder, "b", [(4, "x", 400, 8), (5, "y", 3, 16)])
+    part(spark, folder, "c", [CLOSE])
+    made = O.event_features(stream(spark, folder), "k", ["v"], "ts", ["id"], "1000 seconds", idle=120)
+    got = sorted((r["k"], r["events"], r["v_sum"]) for r in S.drain(made).collect())
+    assert got == [("x", 2, 3.0), ("x", 2, 12.0), ("y", 1, 16.0)]
+    output = "k string, window bigint, total double"
+    made = O.event_windows(stream(spark, folder), "k", "ts", ["id"], ["v"], output, 10, "1000 seconds", [lambda pdf: pd.DataFrame({"total": [pdf["v"].sum()]})], seconds=50)
+    got = sorted((r["k"], r["window"], r["total"]) for r in S.drain(made).collect())
+    assert got == [("x", 0, 3.0), ("x", 1, 8.0), ("x", 2, 4.0), ("y", 0, 16.0)]
+
+
 def test_alert_when_accuracy_drops(spark, tmp_path):
     folder = str(tmp_path / "in")
     part(spark, folder, "a", [(i, "good", i, 1) for i in range(20)] + [(100 + i, "bad", i, i % 2) for i in range(20)])
+    part(spark, folder, "b", [CLOSE])
     df = stream(spark, folder).withColumns({"p": F.lit(1.0), "y": F.col("v")})
-    got = {r["k"]: r["alert"] for r in S.drain(O.live_accuracy(df, "k", "p", "y", ["ts", "id"], last=10)).collect()}
+    got = {r["k"]: r["alert"] for r in S.drain(O.live_accuracy(df, "k", "p", "y", "ts", ["id"], "5 seconds", last=10)).collect()}
     assert got == {"good": False, "bad": True}
 
 
