@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.guarded import col
-from . import monitoring
+from . import monitoring, similarity
 from .lookup import join_lookup
 from .ordered import row_numbers
 from .quantiles import quantiles
@@ -426,11 +426,19 @@ def score_batch(model: Transformer, df: DataFrame, output: str, format: str = "p
     return df.sparkSession.read.schema(scored.schema).format(format).load(output)
 
 
-def recommend(ratings: DataFrame, user: str, item: str, rating: str, k: int = 10, rank: int = 10, iterations: int = 5, seed: int = 42) -> DataFrame:
-    """(user, item, score, rank): top-k items per user by alternating least squares."""
+def recommend(ratings: DataFrame, user: str, item: str, rating: str, k: int = 10, rank: int = 10, iterations: int = 5, seed: int = 42, users: DataFrame | None = None) -> DataFrame:
+    """(user, item, score, rank): top-k items per user by alternating least squares, for all users or those of ``users``.
+
+    Scores are products of the factors; items are visited by bounds (see ``similarity.top_products``), so users are not
+    compared with every item, and the ranking is exact.
+    """
     als = MREC.ALS(userCol=user, itemCol=item, ratingCol=rating, rank=rank, maxIter=iterations, regParam=0.1, seed=seed, coldStartStrategy="drop")
-    top = als.fit(ratings).recommendForAllUsers(k)
-    return top.select(user, F.posexplode("recommendations").alias("__p", "r")).select(user, F.col(f"r.{item}").alias(item), F.col("r.rating").alias("score"), (F.col("__p") + 1).alias("rank"))
+    model = als.fit(ratings)
+    asked = similarity.vector_rows(model.userFactors, "id", "features", "query")
+    if users is not None:
+        asked = asked.join(users.select(col(user).alias("query")).distinct(), "query", "left_semi")
+    top = similarity.top_products(asked, similarity.vector_rows(model.itemFactors, "id", "features", "item"), k)
+    return top.select(F.col("query").alias(user), F.col("item").alias(item), F.col("score").cast("float").alias("score"), "rank")
 
 
 def elbow(df: DataFrame, features: str, ks: list[int], seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import monitoring as D
+from ..operators import similarity as SI
 from ..operators import versioning as VR
 from .registry import Tables, query
 
@@ -424,6 +425,37 @@ def _(t: Tables):
     return D.profile_similarity(t.part.withColumn("band", F.col("p_size") % 4), ["p_type", "band"])
 
 
+COSINES = f"""SELECT x.vec_id AS a, y.vec_id AS b, {DOT.format(a='x.embedding', b='y.embedding')} / (sqrt({DOT.format(a='x.embedding', b='x.embedding')}) * sqrt({DOT.format(a='y.embedding', b='y.embedding')})) AS similarity
+    FROM embeddings AS x JOIN embeddings AS y ON x.vec_id <> y.vec_id"""
+
+
+@query(
+    "m36_most_similar",
+    f"""SELECT a AS vec_id, b AS neighbour, similarity, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM ({COSINES})) WHERE rank <= 3""",
+    floats="similarity",
+    digits=9,
+)
+def _(t: Tables):
+    return SI.most_similar(t.embeddings, "vec_id", "embedding", 3)
+
+
+@query("m36_similar_pairs", f"SELECT a AS key_a, b AS key_b, similarity FROM ({COSINES}) WHERE a < b AND similarity >= 0.45", floats="similarity", digits=9)
+def _(t: Tables):
+    return SI.similar_pairs(t.embeddings, "vec_id", "embedding", 0.45)
+
+
+@query(
+    "m36_similar_profiles",
+    """WITH p AS (SELECT DISTINCT p_brand, p_type, p_size FROM part), k AS (SELECT *, p_brand || '|' || p_type || '|' || p_size AS shown FROM p)
+    SELECT a.shown AS profile_a, b.shown AS profile_b, ((a.p_brand = b.p_brand)::INT + (a.p_type = b.p_type)::INT + (a.p_size = b.p_size)::INT) / 3.0::DOUBLE AS similarity FROM k AS a JOIN k AS b
+    ON (a.p_brand, a.p_type, a.p_size) < (b.p_brand, b.p_type, b.p_size) WHERE (a.p_brand = b.p_brand)::INT + (a.p_type = b.p_type)::INT + (a.p_size = b.p_size)::INT >= 2""",
+    floats="similarity",
+)
+def _(t: Tables):
+    shown = lambda side: F.concat_ws("|", *[F.col(f"{side}.v{i}").cast("string") for i in range(3)]).alias(side)
+    return SI.similar_profiles(t.part, ["p_brand", "p_type", "p_size"], 2 / 3).select(shown("profile_a"), shown("profile_b"), "similarity")
+
+
 @query(
     "m38_propagate",
     """WITH n AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part UNION ALL SELECT s_suppkey + 1000000000, s_nationkey, s_acctbal FROM supplier),
