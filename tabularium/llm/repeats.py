@@ -303,12 +303,13 @@ def counted_runs(texts: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int, spread: int, most: int) -> DataFrame:
     """Written (key_a, key_b, found): by text, the runs of windows that occur twice or more, as lists of first and stop by piece."""
     made = pieces(docs, length, spread)
-    often = made.groupBy("context").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("context")
+    # written counts leave the joins' own exchanges as the last ones, so that a context with many rows is split there
+    often = written(made.groupBy("context").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("context"), "often")
     met = written(made.join(often, "context"), "met")
     one = F.min(F.struct("key_a", "key_b", "start")).alias("one")
     distinct = met.groupBy("context", "content").agg(F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"), F.first("near").alias("near"), one)
     distinct = written(distinct.select("context", "content", "copies", "windows", "near", "one.*"), "distinct")
-    crowds = distinct.groupBy("context").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    crowds = written(distinct.groupBy("context").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "crowds")
     texts = written(with_texts(docs, distinct.join(crowds, "context"), length).join(crowds, "context"), "texts")
     whole = distinct.filter("copies > 1").select("context", "content", F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("stop"))).alias("runs"))
     parts = [sorted_runs(texts.filter(F.col("crowd") <= most).drop("crowd"), length, spread)]
