@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pvalues
 from ..functions.guarded import col, corr, numeric_columns, sample_kurtosis, sample_skew, wide_to_long
+from .concordance import kendall
 from .lookup import join_lookup
 from .ordered import Ordered, row_numbers, running_totals
 from .quantiles import quantile_table, quantiles
@@ -226,6 +227,8 @@ def correlations(df: DataFrame, columns: list[str] | None = None, method: str =
     pairs = list(combinations(columns, 2))
     if method == "spearman":
         return reduce(lambda a, b: a.unionByName(b), [_spearman(df, a, b) for a, b in pairs])
+    if method == "kendall":
+        return df.sparkSession.createDataFrame([(a, b, kendall(df, a, b)) for a, b in pairs], "col1 string, col2 string, r double")
     row = df.agg(*[corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     entries = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.inline(F.array(*entries)))

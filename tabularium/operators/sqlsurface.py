@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guarded import all_of, col
@@ -29,13 +34,63 @@ def as_of_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, r
     return carried.filter("__side = 1").select("__row.*", *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
-def range_join(points: DataFrame, ranges: DataFrame, x: str, low: str, high: str, width: float) -> DataFrame:
-    """Rows with low <= x < high as an equi-join on buckets of ``width``.
+FAN, LEVELS = 8, 4
+
+
+def _cells(points: list[DataFrame]) -> Callable[[Column], Column]:
+    """A function from a double to the number of its cell, among 4096 of about as many points each.
+
+    The edges are quantiles of the points, so that crowded stretches have narrow cells. NaN is above all others.
+    """
+    values = reduce(lambda a, b: a.unionByName(b), points).na.drop()
+    n = FAN**LEVELS
+    found = values.agg(F.percentile_approx("x", [i / n for i in range(1, n)], 4 * n).alias("edges")).first()["edges"] or []
+    edges = np.unique(np.array([e for e in found if e == e]))
+
+    @F.pandas_udf("int")
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, x.to_numpy(dtype=float), side="right"), index=x.index).where(x.notna())
+
+    return place
+
+
+def _pieces(first: Column, last: Column) -> Column:
+    """Cover of the cells first..last by aligned runs of 1, 8, 64 or 512 cells: (level, run), at most 14 a level."""
+    listed = lambda a, b, level: F.transform(F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>")), lambda x: F.struct(F.lit(level).alias("level"), x.alias("run")))
+    out, a, b = [], first, last
+    for level in range(LEVELS - 1):
+        inner, outer = F.ceil(a / F.lit(FAN)).cast("int"), F.floor((b + 1) / F.lit(FAN)).cast("int")
+        some = inner < outer
+        out += [F.when(some, listed(a, inner * FAN - 1, level)).otherwise(listed(a, b, level)), F.when(some, listed(outer * FAN, b, level)).otherwise(listed(F.lit(1), F.lit(0), level))]
+        # without whole runs inside, nothing is left for the next level
+        a, b = F.when(some, inner).otherwise(F.lit(1)), F.when(some, outer - 1).otherwise(F.lit(0))
+    return F.concat(*out, listed(a, b, LEVELS - 1))
+
+
+def range_join(points: DataFrame, ranges: DataFrame, x: str, low: str, high: str) -> DataFrame:
+    """Rows with low <= x < high as an equi-join.
+
+    The points' quantiles cut the axis into cells; a range is listed once per run of its cover by aligned runs of cells, at
+    most 50 times however long it is, and a point once per run length that some range uses. Both sides are shuffled by run,
+    so AQE can split a crowded one. Empty ranges and nulls join with nothing.
+    """
+    place = _cells([points.select(col(x).cast("double").alias("x"))])
+    whole = ranges.filter(col(low) < col(high)).withColumns({"__a": place(col(low).cast("double")), "__b": place(col(high).cast("double"))})
+    spread = whole.withColumn("__run", F.explode(_pieces(F.col("__a"), F.col("__b")))).drop("__a", "__b")
+    used = sorted(r["level"] for r in spread.select("__run.level").distinct().collect())  # at most LEVELS rows
+    runs = F.array(*[F.struct(F.lit(level).alias("level"), F.floor(F.col("__c") / F.lit(FAN**level)).cast("int").alias("run")) for level in used] or [F.lit(None).cast("struct<level:int,run:int>")])
+    listed = points.filter(col(x).isNotNull()).withColumn("__c", place(col(x).cast("double"))).withColumn("__run", F.explode(runs)).drop("__c")
+    return listed.join(spread, "__run").filter((col(x) >= col(low)) & (col(x) < col(high))).drop("__run")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_low: str, left_high: str, right_low: str, right_high: str) -> DataFrame:
+    """Pairs of rows whose ranges [low, high) overlap, each once; columns of the two sides have different names.
 
-    Each range is listed once per bucket it covers, so both sides are shuffled by bucket and AQE can split a hot bucket;
-    choose the width near the usual range length.
+    Two ranges overlap where one begins inside the other: the right one at or behind the left one's begin, or the left one
+    behind the right one's. Both cases are range joins. Empty ranges overlap nothing.
     """
-    bucket = lambda c: F.floor(c.cast("double") / F.lit(float(width)))
-    spread = ranges.withColumn("__b", F.explode(F.sequence(bucket(col(low)), bucket(col(high)))))
-    joined = points.withColumn("__b", bucket(col(x))).join(spread, "__b")
-    return joined.filter((col(x) >= col(low)) & (col(x) < col(high))).drop("__b")
+    a, b = left.filter(col(left_low) < col(left_high)), right.filter(col(right_low) < col(right_high))
+    inside = range_join(b, a, right_low, left_low, left_high)
+    behind = range_join(a, b, left_low, right_low, right_high).filter(col(left_low) > col(right_low))
+    columns = [*left.columns, *right.columns]
+    return inside.select(*[col(c) for c in columns]).unionByName(behind.select(*[col(c) for c in columns]))

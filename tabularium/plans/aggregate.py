@@ -249,6 +249,18 @@ def _(t: Tables):
     return A.correlations(t.lineitem, ["l_quantity", "l_extendedprice"], "spearman")
 
 
+def _kendall_sql(a: str, b: str) -> str:
+    """All pairs of distinct cells."""
+    return f"""SELECT '{a}' AS col1, '{b}' AS col2, (SELECT sum(p.w * q.w * sign(p.x - q.x) * sign(p.y - q.y)) / 2.0 FROM (SELECT {a} AS x, {b} AS y, count(*) AS w FROM lineitem GROUP BY ALL) AS p,
+    (SELECT {a} AS x, {b} AS y, count(*) AS w FROM lineitem GROUP BY ALL) AS q) / sqrt((SELECT sum(n) * (sum(n) - 1) / 2.0 - sum(n * (n - 1)) / 2.0 FROM (SELECT count(*) AS n FROM lineitem GROUP BY {a}))
+    * (SELECT sum(n) * (sum(n) - 1) / 2.0 - sum(n * (n - 1)) / 2.0 FROM (SELECT count(*) AS n FROM lineitem GROUP BY {b}))) AS r"""
+
+
+@query("a19_kendall", " UNION ALL ".join(_kendall_sql(a, b) for a, b in [("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax")]), floats="r", digits=9)
+def _(t: Tables):
+    return A.correlations(t.lineitem, ["l_quantity", "l_discount", "l_tax"], "kendall")
+
+
 @query(
     "a20_strong_pairs",
     f"""SELECT *, CASE WHEN abs(r) > 0.8 THEN 'very strong' ELSE 'strong' END AS strength FROM ({_corr_sql(PRICED, 'lineitem')}) WHERE abs(r) >= 0.7""",

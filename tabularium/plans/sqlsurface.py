@@ -17,10 +17,21 @@ BANDS = "(SELECT p_size AS band, min(p_retailprice) AS lo, min(p_retailprice) +
 )
 def _(t: Tables):
     bands = t.part.groupBy(F.col("p_size").alias("band")).agg(F.min("p_retailprice").alias("lo")).withColumn("hi", F.col("lo") + 25)
-    joined = S.range_join(t.part.select("p_retailprice"), bands, "p_retailprice", "lo", "hi", 25.0)
+    joined = S.range_join(t.part.select("p_retailprice"), bands, "p_retailprice", "lo", "hi")
     return joined.groupBy("band").agg(F.count(F.lit(1)).alias("parts"))
 
 
+@query(
+    "d01_overlap_join",
+    """WITH c AS (SELECT o_custkey, min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY 1), e AS (SELECT l_suppkey, min(l_extendedprice) AS lo, median(l_extendedprice) AS hi FROM lineitem GROUP BY 1)
+    SELECT o_custkey, count(*) AS suppliers FROM c JOIN e ON a < hi AND lo < b AND a < b AND lo < hi GROUP BY 1""",
+)
+def _(t: Tables):
+    customers = t.orders.groupBy("o_custkey").agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
+    suppliers = t.lineitem.groupBy("l_suppkey").agg(F.min("l_extendedprice").alias("lo"), F.median("l_extendedprice").alias("hi"))
+    return S.overlap_join(customers, suppliers, "a", "b", "lo", "hi").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("suppliers"))
+
+
 def sql_query(name: str, tables: str, text: str, duck: str | None = None, floats: str = "", digits: int = 6):
     """The same statement for Spark and the oracle unless the dialects differ."""
 
