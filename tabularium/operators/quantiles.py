@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,103 +45,137 @@ def _by_value_counts(df: DataFrame, keys: list[str], cols: list[str], probs: lis
     )
 
 
-ACCURACY = 10_000
-MARGIN = 3 / ACCURACY
-COLLECTED = 100_000
 COLUMNS_PER_PASS = 8
-PASSES = 6
+BINS = 512
+PASSES = 16
+
+
+class _Search:
+    """Order statistics of one column, by pairs of values that close in on them.
+
+    The values of all pairs are edges. They cut the column into zones: the copies of an edge (odd numbers) and what lies
+    strictly between two edges (even ones), which is cut into bins where the two are a pair.
+    """
+
+    def __init__(self, low: float, high: float, n: int, ranks: set[int]):
+        self.pairs = {(low, high)}
+        self.found = {0: low, n - 1: high}
+        self.ranks = ranks - {0, n - 1}
+
+    def edges(self) -> np.ndarray:
+        return np.unique(np.array(list(self.pairs)))
+
+    def settle(self, counts: list) -> None:
+        """Read ranks off the counts of (zone, bin), given in order; the others get nearer pairs."""
+        at, self.pairs = 0, set()
+        for r in counts:
+            low, high, n = r["low"], r["high"], r["n"]
+            for k in [k for k in self.ranks if at <= k < at + n and k not in self.found]:
+                if low == high or k == at:
+                    self.found[k] = low
+                elif k == at + n - 1:
+                    self.found[k] = high
+                else:
+                    self.pairs.add((low, high))
+            at += n
+        self.ranks = {k for k in self.ranks if k not in self.found}
+
+
+def _ordinal(x: np.ndarray) -> np.ndarray:
+    """The place of a double among all doubles, as a double: monotone, and even over orders of magnitude."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, np.int64(-(2**63)) - bits, bits).astype(np.float64)
+
+
+def _counts(df: DataFrame, searches: list[_Search], even: bool) -> DataFrame:
+    """(c, zone, bin, n, low, high): values of each column by zone and bin, added up in the tasks first.
+
+    Bins are equally wide, or with ``even`` hold equally many of the possible doubles.
+    """
+    limits, pairs, bins = [s.edges() for s in searches], [s.pairs for s in searches], BINS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # by the upper edge of a zone: where it begins, and the scale of its bins (0: not cut)
+        begins, scales, evens = [], [], []
+        for e, own in zip(limits, pairs):
+            lows = np.r_[e[:1], e[:-1]]
+            width = np.array([b - a if (a, b) in own else 0.0 for a, b in zip(lows, e)])
+            evens.append(even | ~np.isfinite(width))
+            width = np.where(evens[-1], [_ordinal(np.array([b]))[0] - _ordinal(np.array([a]))[0] if (a, b) in own else 0.0 for a, b in zip(lows, e)], width)
+            begins.append(lows)
+            scales.append(np.divide(bins, width, out=np.zeros(len(e)), where=width > 0))
+        sizes = [(2 * len(e) + 1) * bins for e in limits]
+        n = [np.zeros(s, np.int64) for s in sizes]
+        low, high = [np.full(s, np.inf) for s in sizes], [np.full(s, -np.inf) for s in sizes]
+        for batch in batches:
+            for i, e in enumerate(limits):
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                left, right = np.searchsorted(e, x, "left"), np.searchsorted(e, x, "right")
+                zone, upper = left + right, np.minimum(left, len(e) - 1)
+                key = zone * bins
+                cut = np.flatnonzero((zone % 2 == 0) & (left < len(e)) & (scales[i][upper] > 0))
+                y, at, by = x[cut], begins[i][upper[cut]], evens[i][upper[cut]]
+                away = np.where(by, _ordinal(y) - _ordinal(at), y - np.where(by, y, at))
+                key[cut] += np.clip(np.floor(away * scales[i][upper[cut]]), 0, bins - 1).astype(np.int64)
+                n[i] += np.bincount(key, minlength=sizes[i])
+                np.minimum.at(low[i], key, x)
+                np.maximum.at(high[i], key, x)
+        for i in range(len(limits)):
+            key = np.flatnonzero(n[i])
+            own = [np.full(len(key), i), key // bins, key % bins, n[i][key], low[i][key], high[i][key]]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in own], ["c", "zone", "bin", "n", "low", "high"])
+
+    made = df.mapInArrow(run, "c bigint, zone bigint, bin bigint, n bigint, low double, high double")
+    return made.groupBy("c", "zone", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _bracketed(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, dict[float, float | None]]:
-    """Exact global quantiles in a few narrow passes, without moving the data.
+    """Exact global quantiles in a few narrow passes, without moving the data or fetching values.
 
-    A sketch gives a bracket around each wanted rank. The next pass counts the values below the bracket, on its two ends
-    and strictly inside. Insides of a checked, small size are fetched and indexed; larger ones are bracketed again. Ties
-    only ever sit on bracket ends, where they are counted, not fetched.
+    A pass cuts the stretches that hold wanted ranks into bins, in the tasks, and notes the count, least and largest value of
+    each. A rank at an end of its bin is found, the bins of the others are cut in the next pass: two or three for evenly
+    spread values; every third pass follows the doubles themselves, so far outliers cost a few more. The driver receives
+    three numbers a bin, at most ``BINS`` bins a wanted rank, whatever the table's size; NaN counts as missing.
     """
-    v = {c: col(c).cast("double") for c in columns}
-    near = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-MARGIN, MARGIN)})
+    raw = {c: col(c).cast("double") for c in columns}
+    v = {c: F.when(~F.isnan(raw[c]), raw[c]) for c in columns}
     first = df.agg(
         *[F.count(v[c]).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.min(v[c]).alias(f"a{i}") for i, c in enumerate(columns)],
         *[F.max(v[c]).alias(f"z{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(v[c], [*near], F.lit(ACCURACY)).alias(f"q{i}") for i, c in enumerate(columns)],
     ).first()
+    searches = {}
+    for i, c in enumerate(columns):
+        n = first[f"n{i}"]
+        if n:
+            ranks = {k for p in probs for k in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))}
+            searches[c] = _Search(first[f"a{i}"], first[f"z{i}"], n, ranks)
+    for turn in range(PASSES):
+        left = [c for c, s in searches.items() if s.ranks]
+        if not left:
+            break
+        counts = _counts(df.select(*[v[c].alias(f"x{i}") for i, c in enumerate(left)]), [searches[c] for c in left], turn % 3 == 2).collect()
+        counts.sort(key=lambda r: (r["c"], r["zone"], r["bin"]))
+        for i, c in enumerate(left):
+            searches[c].settle([r for r in counts if r["c"] == i])
     out: dict[str, dict[float, float | None]] = {c: {p: None for p in probs} for c in columns}
-    ranks: list[tuple[str, float, int, float, float]] = []
     for i, c in enumerate(columns):
-        n, low, high = first[f"n{i}"], first[f"a{i}"], first[f"z{i}"]
+        s, n = searches.get(c), first[f"n{i}"]
         if not n:
             continue
-        at = dict(zip(near, first[f"q{i}"]))
+        if s.ranks:
+            # values closer than the bins can tell apart
+            own = _by_value_counts(df.select(v[c].alias("__x")), [], ["__x"], probs)
+            out[c] = {r["p"]: r["value"] for r in own.collect()}
+            continue
         for p in probs:
-            lo = low if p - MARGIN <= 0 else at[p - MARGIN]
-            hi = high if p + MARGIN >= 1 else at[p + MARGIN]
-            ranks.append((c, p, n, lo, hi))
-    for _ in range(PASSES):
-        if not ranks:
-            break
-        ranks = _resolve(df, v, ranks, out)
-    if ranks:
-        left = sorted({c for c, *_ in ranks})
-        for r in _by_value_counts(df, [], left, sorted({p for _, p, *_ in ranks})).collect():
-            if r["p"] in out[r["column"]]:
-                out[r["column"]][r["p"]] = r["value"]
+            k = int(p * (n - 1))
+            x, y = s.found[k], s.found[min(k + 1, n - 1)]
+            out[c][p] = x if x == y else x + (y - x) * (p * (n - 1) - k)
     return out
 
 
-def _resolve(df: DataFrame, v: dict, ranks: list[tuple], out: dict) -> list[tuple]:
-    """One round: settle ranks whose bracket is small enough, return the others with a narrower bracket."""
-    brackets = sorted({(c, lo, hi) for c, _, _, lo, hi in ranks})
-    aggs = []
-    for j, (c, lo, hi) in enumerate(brackets):
-        aggs += [
-            F.count_if(v[c] < F.lit(lo)).alias(f"b{j}"),
-            F.count_if(v[c] <= F.lit(lo)).alias(f"l{j}"),
-            F.count_if(v[c] < F.lit(hi)).alias(f"u{j}"),
-            F.count_if(v[c] <= F.lit(hi)).alias(f"t{j}"),
-        ]
-    row = df.agg(*aggs).first()
-    sizes = {k: (row[f"b{j}"], row[f"l{j}"], max(row[f"u{j}"], row[f"l{j}"]), row[f"t{j}"]) for j, k in enumerate(brackets)}
-    inside = {(c, lo, hi): (v[c] > F.lit(lo)) & (v[c] < F.lit(hi)) for c, lo, hi in brackets}
-    fetch = [k for k in brackets if 0 < sizes[k][2] - sizes[k][1] <= COLLECTED]
-    held: dict[tuple, list[float]] = {k: [] for k in brackets}
-    if fetch:
-        # the counts above bound what comes back
-        entries = [F.when(inside[k], F.struct(F.lit(j).alias("j"), v[k[0]].alias("x"))) for j, k in enumerate(fetch)]
-        some = F.lit(False)
-        for k in fetch:
-            some = some | F.coalesce(inside[k], F.lit(False))
-        found = df.filter(some).select(F.explode(F.array(*entries)).alias("e")).filter("e IS NOT NULL").select("e.*")
-        for r in found.collect():
-            held[fetch[r["j"]]].append(r["x"])
-        for values in held.values():
-            values.sort()
-    wide = [k for k in brackets if sizes[k][2] - sizes[k][1] > COLLECTED]
-    knots = {}
-    if wide:
-        steps = [i / 1000 for i in range(1001)]
-        narrow = df.agg(*[F.percentile_approx(F.when(inside[k], v[k[0]]), steps, F.lit(ACCURACY)).alias(f"k{j}") for j, k in enumerate(wide)]).first()
-        knots = {k: narrow[f"k{j}"] for j, k in enumerate(wide)}
-    again = []
-    for c, p, n, lo, hi in ranks:
-        below, start, stop, upto = sizes[(c, lo, hi)]
-        position = p * (n - 1)
-        k = int(position)
-        following = min(k + 1, n - 1)
-        if k < below or following >= upto:
-            again.append((c, p, n, float("-inf"), float("inf")))
-        elif (c, lo, hi) in knots and not (following < start or k >= stop):
-            points, size = knots[(c, lo, hi)], stop - start
-            left, right = int((k - start) / size * 1000) - 2, int((following - start) / size * 1000) + 3
-            again.append((c, p, n, lo if left < 0 else points[left], hi if right > 1000 else points[right]))
-        else:
-            values = held[(c, lo, hi)]
-            x, y = (lo if r < start else hi if r >= stop else values[r - start] for r in (k, following))
-            out[c][p] = x + (y - x) * (position - k)
-    return again
-
-
 def quantile_table(df: DataFrame, keys: list[str], cols: list[str], probs: list[float]) -> DataFrame:
     """(keys..., column, p, value) with exact quantiles of every column in every group."""
     if not keys:
