@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.guarded import col, corr, numeric_columns, wide_to_long
 from .aggregate import correlations
+from .lookup import join_lookup
+from .ordered import Ordered, running_totals
 from .quantiles import quantiles
 
 
@@ -89,11 +96,77 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
     return merged.groupBy("column").agg(F.sum(p * F.ln(F.col("n") * F.col("nn") / (F.col("nb") * F.col("nc")).cast("double"))).alias("score"))
 
 
+def digamma(n: Column) -> Column:
+    """psi of a whole number n >= 1: the asymptotic series ten steps further on, less those steps."""
+    x = n.cast("double") + 10.0
+    series = F.ln(x) - 0.5 / x - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8) - 1 / (132 * x**10)
+    steps = [F.lit(1.0) / (n + F.lit(float(i))) for i in range(10)]
+    return series - sum(steps[1:], steps[0])
+
+
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+def _ball(x: pd.Series, radius: pd.Series) -> pd.DataFrame:
+    """The least and the largest double whose distance to x, as computed, is below the radius, or zero where that is."""
+    x, reach = x.to_numpy(dtype=float), np.nextafter(radius.to_numpy(dtype=float), 0)
+    ends = []
+    for side in (-1, 1):
+        end = x + side * reach
+        # rounding leaves the sum a step or two off
+        for _ in range(3):
+            end = np.where(np.abs(end - x) > reach, np.nextafter(end, x), end)
+        for _ in range(3):
+            further = np.nextafter(end, side * np.inf)
+            end = np.where(np.abs(further - x) <= reach, further, end)
+        ends.append(end)
+    return pd.DataFrame({"low": ends[0], "high": ends[1]})
+
+
+def neighbour_information(df: DataFrame, columns: list[str], target: str, key: str, k: int = 3) -> DataFrame:
+    """(column, score): mutual information in nats between each feature and the class by k nearest neighbours.
+
+    For a row, the distance to the k-th nearest row of its class bounds a ball; rows of any class in it are counted. The
+    score is psi(n) + mean psi(k) - mean psi(rows of the class) - mean psi(rows in the ball), at least 0. Rows in order
+    of value have their neighbours within k places in their class, and counts are differences of running totals, so a
+    class or a value of any size is split over tasks. Classes of one row and rows with unknown feature or class are left
+    out; smaller classes use the neighbours they have. ``key`` is unique and breaks ties.
+    """
+    out = []
+    for c in columns:
+        rows = df.select(col(key).alias("__k"), (col(c).cast("double") + 0.0).alias("__x"), col(target).alias("__y")).filter("__x IS NOT NULL AND NOT isnan(__x) AND __y IS NOT NULL")
+        sizes = rows.groupBy("__y").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1")
+        rows = join_lookup(rows, sizes, ["__y"], "inner")
+        x = F.col("__x")
+
+        def build(w):
+            left = [F.lag(x, i).over(w) for i in range(1, k + 1)]
+            right = [F.lead(x, i).over(w) for i in range(1, k + 1)]
+            return {f"__l{i + 1}": a for i, a in enumerate(left)} | {f"__r{i + 1}": a for i, a in enumerate(right)}
+
+        near = Ordered(rows, ["__y"], ["__x", "__k"]).bounded(k, k, build)
+        # the j nearest rows of a class are some on the left and the others on the right
+        part = lambda side, i: F.abs(F.col(f"__{side}{i}") - x) if i else F.lit(0.0)
+        reach = lambda j: F.least(*[F.when(part("l", i).isNotNull() & part("r", j - i).isNotNull(), F.greatest(part("l", i), part("r", j - i))) for i in range(j + 1)])
+        used = F.least(F.lit(k).cast("bigint"), F.col("__c") - 1)
+        radius = F.coalesce(*[F.when(used == j, reach(j)) for j in range(1, k + 1)])
+        balls = near.select("__k", "__x", "__c", used.alias("__u"), _ball(x, radius).alias("b"))
+        # at equal values: begins of balls, then rows, then ends
+        stacked = balls.select(F.explode(F.array(
+            F.struct(F.col("b.low").alias("v"), F.lit(0).alias("what"), F.lit(0).alias("one")),
+            F.struct(F.col("__x").alias("v"), F.lit(1).alias("what"), F.lit(1).alias("one")),
+            F.struct(F.col("b.high").alias("v"), F.lit(2).alias("what"), F.lit(0).alias("one")),
+        )).alias("e"), "__k", "__c", "__u").select("e.*", "__k", "__c", "__u")
+        below = running_totals(stacked, [], ["v", "what", "__k"], {"__n": F.col("one").cast("bigint")})
+        inside = below.filter("what <> 1").groupBy("__k").agg(F.sum(F.when(F.col("what") == 2, F.col("__n")).otherwise(-F.col("__n"))).alias("__m"), F.first("__c").alias("__c"), F.first("__u").alias("__u"))
+        score = digamma(F.count(F.lit(1))) + F.avg(digamma(F.col("__u"))) - F.avg(digamma(F.col("__c"))) - F.avg(digamma(F.col("__m")))
+        out.append(inside.agg(F.greatest(F.lit(0.0), score).alias("score")).select(F.lit(c).alias("column"), "score"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def top_scores(scores: DataFrame, k: int) -> list[str]:
     return [r["column"] for r in scores.orderBy(F.col("score").desc_nulls_last(), "column").limit(k).collect()]
 
 
-SCORES = {"chi2": chi2_scores, "anova": anova_scores, "regression": regression_scores, "mutual_info": mutual_information}
+SCORES = {"chi2": chi2_scores, "anova": anova_scores, "regression": regression_scores, "mutual_info": mutual_information, "neighbours": neighbour_information}
 
 
 def select_features(df: DataFrame, columns: list[str], target: str, method: str = "anova", k: int = 10, **options) -> list[str]:

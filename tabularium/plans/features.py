@@ -579,6 +579,32 @@ def _(t: Tables):
     return L.mutual_information(t.lineitem, ["l_quantity", "l_extendedprice"], "l_returnflag")
 
 
+PSI = "(ln(n + 10.0) - 0.5 / (n + 10) - 1 / (12 * pow(n + 10.0, 2)) + 1 / (120 * pow(n + 10.0, 4)) - 1 / (252 * pow(n + 10.0, 6)) + 1 / (240 * pow(n + 10.0, 8)) - list_sum(list_transform(range(0, 10), lambda i: 1.0::DOUBLE / (n + i))))"
+
+
+def _psi(n: str) -> str:
+    """psi of a whole number in SQL."""
+    return f"""(ln({n} + 10.0) - 0.5 / ({n} + 10) - 1 / (12 * pow({n} + 10.0, 2)) + 1 / (120 * pow({n} + 10.0, 4)) - 1 / (252 * pow({n} + 10.0, 6)) + 1 / (240 * pow({n} + 10.0, 8))
+        - list_sum(list_transform(range(0, 10), lambda i: 1.0::DOUBLE / ({n} + i))))"""
+
+
+@query(
+    "l05_neighbour_information",
+    f"""WITH r AS (SELECT c_custkey AS id, round(c_acctbal * 100)::BIGINT AS x, c_mktsegment AS y FROM customer),
+    w AS (SELECT *, count(*) OVER (PARTITION BY y) AS c, lag(x, 3) OVER o AS l3, lag(x, 2) OVER o AS l2, lag(x, 1) OVER o AS l1, lead(x, 1) OVER o AS r1, lead(x, 2) OVER o AS r2, lead(x, 3) OVER o AS r3
+        FROM r WINDOW o AS (PARTITION BY y ORDER BY x, id)),
+    d AS (SELECT *, list_min(list_filter([x - l3, greatest(x - l2, r1 - x) + 0 * l2 + 0 * r1, greatest(x - l1, r2 - x) + 0 * l1 + 0 * r2, r3 - x], lambda f: f IS NOT NULL)) AS far FROM w),
+    m AS (SELECT c, count(*) OVER (ORDER BY x RANGE BETWEEN greatest(far - 1, 0) PRECEDING AND greatest(far - 1, 0) FOLLOWING) AS m FROM d),
+    s AS (SELECT count(*) AS n, avg({_psi('c')}) AS pc, avg({_psi('m')}) AS pm FROM m)
+    SELECT 'cents' AS "column", greatest(0.0, {_psi('n')} + {_psi('3')} - pc - pm) AS score FROM s""",
+    floats="score",
+    digits=9,
+)
+def _(t: Tables):
+    cents = t.customer.withColumn("cents", F.round(F.col("c_acctbal") * 100).cast("bigint"))
+    return L.neighbour_information(cents, ["cents"], "c_mktsegment", "c_custkey")
+
+
 @query("l09_select_top", "SELECT l_orderkey, l_linenumber, l_extendedprice / 2 + l_quantity AS half FROM lineitem", floats="half", digits=4)
 def _(t: Tables):
     df = t.lineitem.withColumn("half", F.col("l_extendedprice") / 2 + F.col("l_quantity"))
