@@ -117,12 +117,22 @@ def _class_ranks(df: DataFrame, target: str, key: str, seed: int) -> DataFrame:
     return join_lookup(ranked, sizes, [target], null_safe=True).drop("__h")
 
 
+#: copies of one row that one task makes
+COPIES_A_RUN = 10_000
+
+
 def oversample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFrame:
     """Every class reaches the majority count: rows are repeated evenly, the remainder by hashed rank."""
     ranked = _class_ranks(df, target, key, seed)
     top = df.groupBy(col(target)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()["m"]
     copies = F.floor(F.lit(top) / F.col("__size")) + F.when(F.col("__rn") <= F.lit(top) % F.col("__size"), 1).otherwise(0)
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("__rn", "__size")
+    # a rare row's copies are made in runs, which are dealt to all tasks before they are written out
+    run = F.lit(COPIES_A_RUN)
+    runs = ranked.withColumn("__copies", copies).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__copies") - 1) / run))))
+    if top > COPIES_A_RUN:
+        runs = runs.repartition(F.xxhash64(col(key), "__run"))
+    last = F.least(F.col("__copies"), (F.col("__run") + 1) * run)
+    return runs.withColumn("copy", F.explode(F.sequence(F.col("__run") * run + 1, last))).drop("__rn", "__size", "__copies", "__run")
 
 
 def undersample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFrame:
@@ -141,7 +151,8 @@ def stratified_split(df: DataFrame, target: str, key: str, test: float = 0.2, se
 
 def hash_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Random split without a shuffle: a row's side depends on its key only."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), col(key)), F.lit(10_000))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), col(key).cast("string")))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000
     return df.withColumn("split", F.when(bucket < int(test * 10_000), "test").otherwise("train"))
 
 

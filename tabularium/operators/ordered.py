@@ -2,8 +2,9 @@
 
 Spark runs a window per key in one task. A key holding a third of the rows, or a window without a key, would put
 an unbounded group there. Groups above ``spark.tabularium.maxGroupRows`` are therefore range-partitioned by
-(key, order), each range gets a number, and results are stitched: bounded frames borrow the few neighbouring rows they
-need, running aggregates add the totals of earlier ranges. Groups below the limit take the plain window.
+(key, order), each range gets a number, and results are stitched: bounded frames work on blocks of rows by place and borrow
+the few rows they need from the blocks beside them, running aggregates add the totals of earlier ranges. Groups below the limit take the
+plain window.
 """
 
 from __future__ import annotations
@@ -75,36 +76,25 @@ class Ordered:
         cold = self.cold.withColumns(added) if self.cold is not None else None
         if self.hot is None:
             return self._finish([cold], list(added))
-        local = self._spec(*self.keys, _RANGE)
-        rows = self.hot.withColumn("__o_rn", F.row_number().over(local).cast("long"))
-        by_key = Window.partitionBy(*[col(k) for k in self.keys]).orderBy(_RANGE)
-        spans = (
-            self.hot.groupBy(*self.keys, _RANGE)
-            .agg(F.count(F.lit(1)).alias("__o_n"))
-            .withColumn("__o_start", F.sum("__o_n").over(by_key) - F.col("__o_n"))
-        )
-        # one entry per range: bounded by rows / max_rows
-        spans = spans.withColumn("__o_end", F.col("__o_start") + F.col("__o_n"))
-        rows = self._null_safe(rows, spans, [*self.keys, _RANGE])
-        pos = F.col("__o_start") + F.col("__o_rn")
-        edge = (F.col("__o_rn") > F.col("__o_n") - preceding) | (F.col("__o_rn") <= following)
-        lists = spans.groupBy(*self.keys).agg(F.collect_list(F.struct(_RANGE, "__o_start", "__o_end")).alias("__o_spans"))
-        halo = self._null_safe(rows.filter(edge).withColumn("__o_pos", pos), lists, self.keys)
-        halo = halo.withColumn(
-            "__o_to",
-            F.explode(
-                F.expr(
-                    f"transform(filter(__o_spans, s -> (s.__o_start >= __o_pos and s.__o_start < __o_pos + {preceding})"
-                    f" or (s.__o_end < __o_pos and s.__o_end >= __o_pos - {following})), s -> s.{_RANGE})"
-                )
-            ),
-        )
-        base = [*self.df.columns]
-        own = rows.select(*[col(c) for c in base], col(_RANGE), F.lit(False).alias("__o_halo"))
-        halo = halo.select(*[col(c) for c in base], F.col("__o_to").alias(_RANGE), F.lit(True).alias("__o_halo"))
-        hot = own.unionByName(halo).withColumns(build(local)).filter(~F.col("__o_halo"))
+        # rows are counted off into blocks of a key, so a frame reaches into the next block on either side at most
+        size = max(self.max_rows, preceding, following)
+        place = F.col("__o_pos") % size
+        after = F.when(place >= size - preceding, F.lit(1))
+        before = F.when(place < following, F.lit(-1))
+        rows = self._positions().withColumn("__o_step", F.explode(F.array_compact(F.array(F.lit(0), after, before))))
+        rows = rows.withColumn("__o_block", F.floor(F.col("__o_pos") / size) + F.col("__o_step"))
+        hot = rows.withColumns(build(self._spec(*self.keys, "__o_block"))).filter("__o_step = 0")
         return self._finish([cold, hot], list(added))
 
+    def _positions(self) -> DataFrame:
+        """Rows of hot keys with their 0-based place in the key: the place in the range plus the rows of earlier ranges."""
+        rows = self.hot.withColumn("__o_rn", F.row_number().over(self._spec(*self.keys, _RANGE)).cast("long"))
+        earlier = Window.partitionBy(*[col(k) for k in self.keys]).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        starts = self.hot.groupBy(*self.keys, _RANGE).agg(F.count(F.lit(1)).alias("__o_n"))
+        starts = starts.withColumn("__o_start", F.coalesce(F.sum("__o_n").over(earlier), F.lit(0))).drop("__o_n")
+        placed = self._null_safe(rows, starts, [*self.keys, _RANGE])
+        return placed.withColumn("__o_pos", F.col("__o_start") + F.col("__o_rn") - 1).drop("__o_start", "__o_rn")
+
     def running(
         self,
         sums: dict[str, Column] | None = None,
@@ -150,8 +140,8 @@ class Ordered:
 
     @staticmethod
     def _null_safe(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-        """Join the per-range table (at most rows / max_rows entries) to the rows."""
-        renamed = F.broadcast(table.withColumnsRenamed({k: f"__j_{k}" for k in on}))
+        """Join the per-range table (a few times rows / max_rows entries) to the rows; Spark sees its size at run time."""
+        renamed = table.withColumnsRenamed({k: f"__j_{k}" for k in on})
         cond = [rows[k].eqNullSafe(renamed[f"__j_{k}"]) for k in on]
         return rows.join(renamed, cond, "left").drop(*[f"__j_{k}" for k in on])
 

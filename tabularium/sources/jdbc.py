@@ -42,14 +42,30 @@ def literal(value) -> str:
         return repr(value)
     if isinstance(value, (datetime.date, datetime.datetime)):
         return f"'{value.isoformat(sep=' ') if isinstance(value, datetime.datetime) else value.isoformat()}'"
-    return "'" + str(value).replace("'", "''") + "'"
+    text = str(value)
+    # some databases take a backslash for an escape, others for itself: no quoting is right for both
+    if "\\" in text:
+        raise ValueError("text with a backslash cannot be bound")
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: what a name may not be looked for in: literals, quoted names, comments and casts; then the name itself
+TOKENS = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/|::|:([A-Za-z_]\w*)""", re.S)
 
 
 def bind(query: str, params: dict[str, object] | None) -> str:
-    """Replace ``:name`` by quoted literals; every name must be given."""
+    """Replace ``:name`` by quoted literals outside of literals, quoted names and comments; every name must be given."""
     if not params:
         return query
-    return re.sub(r"(?<!:):([A-Za-z_]\w*)", lambda m: literal(params[m.group(1)]), query)
+
+    def replaced(m: re.Match) -> str:
+        if m.group(1) is None:
+            return m.group(0)
+        if m.group(1) not in params:
+            raise KeyError(f"no value for :{m.group(1)}")
+        return literal(params[m.group(1)])
+
+    return TOKENS.sub(replaced, query)
 
 
 def read_options(

@@ -97,3 +97,35 @@ def test_registry(table):
 def test_unoracled_queries_return_rows(spark, sf_dir, name):
     assert name not in oracle_sql()
     assert queries()[name](spark, sf_dir).count() > 0
+
+
+def test_permutation_importance_of_a_known_model(spark):
+    """A model that doubles one column: the loss is that of the column moved round the hashed order."""
+    import hashlib
+    import random
+
+    import numpy as np
+    from pyspark.ml import Transformer
+
+    class Doubled(Transformer):
+        def _transform(self, df):
+            return df.withColumn("prediction", 2.0 * F.col("a"))
+
+    rows = [(i, float(i * i % 23), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame([(i, a, n, 2.0 * a) for i, a, n in rows], "id bigint, a double, noise double, y double")
+    got = {r["feature"]: r["importance"] for r in ML.permutation_importance(Doubled(), df, ["a", "noise"], "id", "y", "regression").collect()}
+    a = np.array([r[1] for r in sorted(rows, key=lambda r: hashlib.md5(f"42|{r[0]}".encode()).hexdigest())])
+    moved = np.roll(a, 1 + random.Random(42).randrange(59))
+    # the score is r2, at first 1
+    assert abs(got["a"] - np.mean((a - moved) ** 2) / np.var(a)) < 1e-9 and abs(got["noise"]) < 1e-12
+
+
+def test_copies_of_a_rare_row_are_dealt_to_tasks(spark, monkeypatch):
+    from tabularium.operators import monitoring as D
+
+    monkeypatch.setattr(D, "COPIES_A_RUN", 100)
+    df = spark.range(2001).select("id", (F.col("id") == 0).alias("y"))
+    made = D.oversample(df, "y", "id")
+    assert {r["y"]: r["n"] for r in made.groupBy("y").agg(F.count("*").alias("n")).collect()} == {True: 2000, False: 2000}
+    rare = made.filter("y")
+    assert rare.select(F.spark_partition_id()).distinct().count() > 1 and rare.select("copy").distinct().count() == 2000

@@ -69,3 +69,19 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id bigint, k bigint")
     assert row_numbers(df, ["k"], ["id"]).count() == 0
     assert row_numbers(df, [], ["id"]).count() == 0
+
+
+def test_no_list_of_ranges_travels_with_the_rows(table):
+    made = Ordered(table, [], ["t", "id"], 20).bounded(5, 2, lambda w: {"lag": F.lag("v", 5).over(w)})
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "ResolvedHint" not in plan and "strategy=broadcast" not in plan
+    # a row is copied to the blocks beside its own only
+    assert made.count() == 600
+
+
+def test_frames_longer_than_the_limit(table, frame):
+    made = Ordered(table, [], ["t", "id"], 10).bounded(70, 45, lambda w: {"sum": F.sum("v").over(w.rowsBetween(-70, 45))})
+    got = made.toPandas().sort_values("id").reset_index(drop=True)
+    v = frame.sort_values(["t", "id"])["v"]
+    want = pd.Series([v.iloc[max(0, i - 70) : i + 46].sum() for i in range(len(v))], v.index).sort_index()
+    np.testing.assert_allclose(got["sum"].to_numpy(float), want.to_numpy(float), atol=1e-9)

@@ -100,3 +100,14 @@ def test_csv_as_people_write_it(spark, tmp_path):
     (folder / "c.csv").write_bytes("id,name\n2,José\n3,Zoë\n".encode("latin-1"))
     rows = readers.read_csv(spark, str(folder)).orderBy("id").collect()
     assert [(r["id"], r["name"]) for r in rows] == [(1, "José"), (2, "José"), (3, "Zoë")]
+
+
+def test_bound_names_outside_of_literals_only():
+    bound = jdbc.bind("""SELECT ':mm', "a:b", x::text /* :c */ FROM t -- :d
+    WHERE at = :at AND name = :name AND note = 'it''s :name'""", {"at": 5, "name": "O'Hara :at"})
+    assert bound == """SELECT ':mm', "a:b", x::text /* :c */ FROM t -- :d
+    WHERE at = 5 AND name = 'O''Hara :at' AND note = 'it''s :name'"""
+    with pytest.raises(KeyError, match="no value for :b"):
+        jdbc.bind("SELECT :b", {"a": 1})
+    with pytest.raises(ValueError, match="backslash"):
+        jdbc.bind("SELECT :a", {"a": "x\\' OR 1=1 --"})
