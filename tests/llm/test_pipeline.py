@@ -55,5 +55,22 @@ def test_matches_oracle(spark, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and {*QUERIES, "pipeline"} <= set(queries())
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and {*QUERIES, "pipeline"} <= set(queries())
     assert set(ORACLES) <= set(oracle_sql())
+
+
+def test_columns_of_the_corpus_keep_their_names_and_values(spark, tmp_path):
+    """Columns named like those the operators add or use inside, in every stage but the last."""
+    extra = {"lang_pred": "mine", "score": 42, "n_removed": -1, "n_lines": -2, "held_out": "h", "component_id": "c", "contaminated": 7, "kept": "k", "doc": 3, "key_a": "a"}
+    docs = [(i, f"{prose(i, 40)}\nSubscribe to our newsletter") for i in range(24)] + [(40, None), (41, prose(3, 40)), (41, prose(3, 40)), (42, "")]
+    frame = spark.createDataFrame([Row(doc_id=i, text=t, lang="en", source=f"s{i % 12}", n_chars=len(t or ""), **extra) for i, t in docs])
+    spark.createDataFrame([(1, prose(77, 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == frame.columns and now.dtypes == frame.dtypes, name
+        got = now.collect()
+        assert len(got) >= 20 and all(r[c] == v for r in got for c, v in extra.items()), name
+    assert all(len(r["text"]) == r["n_chars"] for r in got)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0, name
