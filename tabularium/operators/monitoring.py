@@ -130,7 +130,8 @@ def oversample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFram
     run = F.lit(COPIES_A_RUN)
     runs = ranked.withColumn("__copies", copies).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__copies") - 1) / run))))
     if top > COPIES_A_RUN:
-        runs = runs.repartition(F.xxhash64(col(key), "__run"))
+        # a fixed number: runs are small now, and adaptive execution would put them together
+        runs = runs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(col(key), "__run"))
     last = F.least(F.col("__copies"), (F.col("__run") + 1) * run)
     return runs.withColumn("copy", F.explode(F.sequence(F.col("__run") * run + 1, last))).drop("__rn", "__size", "__copies", "__run")
 
