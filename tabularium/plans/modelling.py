@@ -129,6 +129,13 @@ def _(t: Tables):
     return trials.select("trial", F.to_json("params").alias("params"), "score")
 
 
+@query("m09_adaptive_search")
+def _(t: Tables):
+    ready = ML.assemble(graded(t).withColumn("label", F.col("label").cast("double")), NUMERIC)
+    _, trials = ML.adaptive_search(ready, ML.build("classification", "decision_tree"), ML.SPACES["decision_tree"], "label", "classification", "doc_id", n=6, first=3)
+    return trials.select("trial", F.to_json("params").alias("params"), "share", "score")
+
+
 @query("m10_auto_train")
 def _(t: Tables):
     report = ML.auto_train(graded(t), "label", "doc_id", NUMERIC, ["lang"], models=["decision_tree", "logistic_regression"])

@@ -129,3 +129,23 @@ def test_copies_of_a_rare_row_are_dealt_to_tasks(spark, monkeypatch):
     assert {r["y"]: r["n"] for r in made.groupBy("y").agg(F.count("*").alias("n")).collect()} == {True: 2000, False: 2000}
     rare = made.filter("y")
     assert rare.select(F.spark_partition_id()).distinct().count() > 1 and rare.select("copy").distinct().count() == 2000
+
+
+def test_adaptive_search_needs_fewer_full_fits(spark):
+    df = spark.range(1500).select("id", (F.rand(3) * 8).alias("a"), (F.rand(4) * 8).alias("b"))
+    df = ML.assemble(df.withColumn("label", (F.floor("a") % 2).cast("double")), ["a", "b"]).persist()
+    space, tree = {"maxDepth": [1, 2, 3, 4, 6, 8, 10], "minInstancesPerNode": [1, 2, 5, 50]}, ML.build("classification", "decision_tree")
+    runs = [ML.adaptive_search(df, tree, space, "label", "classification", "id", n=14, first=4, shares=(0.3, 0.6, 1.0)) for _ in range(2)]
+    tables = [sorted(map(tuple, ((r["trial"], r["share"], r["score"]) for r in t.collect()))) for _, t in runs]
+    assert tables[0] == tables[1] and len({t for t, *_ in tables[0]}) == 14
+    full = [s for _, share, s in tables[0] if share == 1.0]
+    _, grid = ML.search(df, tree, space, "label", "classification", n=14)
+    assert len(full) + 1 <= 4 < grid.count() and max(full) >= grid.agg(F.max("score")).first()[0] - 0.05
+    assert runs[0][0].getMaxDepth() >= 3
+
+
+def test_proposals_turn_to_good_values():
+    tried = {(i, j): -abs(i - 5) - abs(j - 2) for i in (0, 3, 5, 7) for j in (0, 2, 3)}
+    made = [ML.Parzen({"a": list(range(8)), "b": list(range(4))}, seed).propose(tried, set(tried)) for seed in range(20)]
+    assert not set(made) & set(tried) and sum(abs(i - 5) <= 1 and abs(j - 2) <= 1 for i, j in made) >= 15
+    assert len({ML.Parzen({"a": [1, 2], "b": [1, 2]}, 1).propose({}, {(0, 0), (0, 1), (1, 0)})}) == 1
