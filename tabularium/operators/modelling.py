@@ -609,25 +609,30 @@ def yeo_johnson(df: DataFrame, column: str, name: str | None = None) -> tuple[Da
     return df.withColumn(name or f"{column}_yeo", (made - F.lit(fit["m"])) / F.lit(fit["s"] or 1.0)), lam
 
 
-def quantile_normal(df: DataFrame, column: str, knots: int = 100, name: str | None = None) -> DataFrame:
-    """Map values to normal scores through exact percentile knots."""
+def quantile_normal(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """Map values to normal scores of their exact rank: equal values share their average rank, missing ones stay null.
+
+    Ranks come from value counts and running totals over ranges, and are joined back by value; the score of the share
+    (rank - 1) / (n - 1), kept 1e-7 from 0 and 1, is computed once a distinct value.
+    """
     from statistics import NormalDist
 
-    probs = [i / knots for i in range(knots + 1)]
-    found = quantiles(df, [column], probs)[column]
-    edges = [found[p] for p in probs]
-    fine = [i / 10_000 for i in range(10_001)]
-    normal = [NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)) for p in fine]
+    import pandas as pd
+
+    from .aggregate import average_ranks
 
-    def scores(values):
-        import numpy as np
-        import pandas as pd
+    known = F.when(~F.isnan(col(column).cast("double")), col(column).cast("double") + 0.0)
+    values = df.select(known.alias("__v")).filter("__v IS NOT NULL")
+    n = values.count()
 
-        share = np.interp(values.to_numpy(dtype=float), edges, probs)
-        out = np.interp(share, fine, normal)
-        return pd.Series(out).where(values.notna().to_numpy())
+    def scores(share):
+        normal = NormalDist().inv_cdf
+        return pd.Series([normal(min(max(p, 1e-7), 1 - 1e-7)) for p in share], index=share.index, dtype=float)
 
-    return df.withColumn(name or f"{column}_quantile", F.pandas_udf(scores, "double")(col(column).cast("double")))
+    share = (F.col("__rank") - 1) / F.lit(float(n - 1)) if n > 1 else F.lit(0.5) + F.col("__rank") * 0
+    table = average_ranks(values, "__v").select(F.col("__v").alias("__key"), F.pandas_udf(scores, "double")(share).alias("__score"))
+    made = join_lookup(df.withColumn("__key", known), table, ["__key"])
+    return made.select(*[col(c) for c in df.columns if c != name], F.col("__score").alias(name or f"{column}_quantile"))
 
 
 def skew_transforms(df: DataFrame, columns: list[str], limit: float = 1.0) -> DataFrame:

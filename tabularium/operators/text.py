@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions.guarded import col, string_columns, wide_to_long
 from .lookup import join_lookup
+from .similarity import saved
 
 # letters, numbers and underscore of any script; everything else separates tokens
 SEPARATOR = r"[^\p{L}\p{N}_]+"
@@ -137,7 +138,8 @@ def tfidf(df: DataFrame, key: str, column: str, ngrams: int = 1, max_features: i
     """
     stop = lexicon.STOP_EN if stop is None else stop
     n = df.filter(col(column).isNotNull()).count()
-    counts = term_rows(df, key, column, ngrams, stop).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # written once: the vocabulary and the join read the counts, not the texts again
+    counts = saved(term_rows(df, key, column, ngrams, stop).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "tfidf")
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("__total"))
     if max_features:
         vocabulary = vocabulary.orderBy(F.desc("__total"), "term").limit(max_features).drop("__total")

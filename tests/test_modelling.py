@@ -149,3 +149,19 @@ def test_proposals_turn_to_good_values():
     made = [ML.Parzen({"a": list(range(8)), "b": list(range(4))}, seed).propose(tried, set(tried)) for seed in range(20)]
     assert not set(made) & set(tried) and sum(abs(i - 5) <= 1 and abs(j - 2) <= 1 for i, j in made) >= 15
     assert len({ML.Parzen({"a": [1, 2], "b": [1, 2]}, 1).propose({}, {(0, 0), (0, 1), (1, 0)})}) == 1
+
+
+def test_normal_scores_of_exact_ranks(spark, small_groups):
+    from statistics import NormalDist
+
+    import numpy as np
+    import pandas as pd
+
+    x = np.r_[np.random.default_rng(2).exponential(size=200).round(1), [np.nan, 50.0]]
+    df = spark.createDataFrame([(i, None if i == 7 else float(v)) for i, v in enumerate(x)], "id int, x double")
+    x[7] = np.nan
+    got = ML.quantile_normal(df, "x").toPandas().sort_values("id")["x_quantile"].to_numpy(float)
+    ranks = pd.Series(x).rank()
+    share = (ranks - 1) / (ranks.count() - 1)
+    want = [np.nan if np.isnan(p) else NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)) for p in share]
+    np.testing.assert_allclose(got, want, atol=1e-9)
