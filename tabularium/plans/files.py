@@ -87,6 +87,20 @@ def _(t: Tables):
     return readers.read(t.spark, path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
 
 
+@query(
+    "s20_star_export",
+    """SELECT o_orderstatus, o_orderpriority, count(*) AS n, sum(o_totalprice) AS total, (SELECT count(*) FROM orders) AS facts, (SELECT count(DISTINCT o_custkey) FROM orders) AS customers FROM orders GROUP BY 1, 2""",
+    floats="total",
+    digits=2,
+)
+def _(t: Tables):
+    folder = scratch_folder(t.spark, "star")
+    measures = writers.export_star(t.orders, folder, {"state": ["o_orderstatus", "o_orderpriority"], "customer": ["o_custkey"]}, [], distinct={"customers": "o_custkey"})
+    fact, state = (readers.read(t.spark, f"{folder}/{name}", "csv") for name in ("fact", "state"))
+    totals = fact.join(state, "state_id").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    return totals.join(F.broadcast(measures.withColumnRenamed("row_count", "facts")))
+
+
 @query(
     "s19_export_summary",
     """SELECT 'rows' AS item, count(*)::DOUBLE AS value FROM customer UNION ALL SELECT 'columns', 5 UNION ALL SELECT 'mean_c_custkey', avg(c_custkey) FROM customer

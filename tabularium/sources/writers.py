@@ -44,3 +44,26 @@ def export_with_summary(df: DataFrame, folder: str, if_exists: str = "fail") ->
     write(df, f"{folder}/data", "csv", if_exists)
     write(summary.coalesce(1), f"{folder}/summary", "csv", if_exists)
     return summary
+
+
+def export_star(df: DataFrame, folder: str, dimensions: dict[str, list[str]], keys: list[str], if_exists: str = "fail", **named: dict[str, str]) -> DataFrame:
+    """Write a fact table, its dimensions and its measures as CSV below ``folder``; returns the measures.
+
+    A dimension holds the distinct rows of its columns, numbered from 1 in their order as ``<name>_id``; the fact table has
+    the number in their place, so no column stands twice. Measures are those of ``aggregate.measures`` by ``keys``, given
+    as ``distinct``, ``averages``, ``variances`` and ``totals``. Nulls are values of a dimension like others.
+    """
+    from ..functions.guarded import col
+    from ..operators.aggregate import measures
+    from ..operators.lookup import join_lookup
+    from ..operators.ordered import row_numbers
+
+    fact = df
+    for name, columns in dimensions.items():
+        table = row_numbers(df.select(*[col(c) for c in columns]).distinct(), [], columns, f"{name}_id")
+        write(table, f"{folder}/{name}", "csv", if_exists)
+        fact = join_lookup(fact, table, columns, null_safe=True).drop(*columns)
+    write(fact, f"{folder}/fact", "csv", if_exists)
+    made = measures(df, keys, **named)
+    write(made, f"{folder}/measures", "csv", if_exists)
+    return made
