@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -306,27 +309,50 @@ def bootstrap_accuracy(df: DataFrame, actual: str, first: str, second: str, repl
     return out.withColumn("difference", F.col("accuracy_first") - F.col("accuracy_second"))
 
 
-def poisson_one(u):
-    """Poisson(1) draw from a uniform value by its cumulative distribution."""
-    out, term, total = F.lit(12), math.exp(-1.0), 0.0
-    steps = []
+def poisson_limits() -> list[float]:
+    """Cumulative distribution of Poisson(1) for 0 to 11."""
+    out, term = [], math.exp(-1.0)
     for k in range(12):
-        total += term
-        steps.append((k, total))
+        out.append((out[-1] if out else 0.0) + term)
         term /= k + 1
-    for k, limit in reversed(steps):
-        out = F.when(u < limit, F.lit(k)).otherwise(out)
     return out
 
 
-def bootstrap_expression(df: DataFrame, metric, key: str, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """(replicate, value) of a row-level metric: ``metric`` gets the weight column and returns an aggregate.
+#: draws are fifth powers modulo this prime, a permutation of its residues
+PRIME, STEP = 2_147_483_647, 1_000_003
 
-    Weights depend on (row key, replicate) only, so a retried task draws the same ones.
+
+def bootstrap_sums(df: DataFrame, parts: dict[str, Column], key: str, replicates: int = 200, seed: int = 42) -> DataFrame:
+    """(replicate, weight, part...): Poisson-weighted row count and sums of the parts in every replicate, in one pass.
+
+    A task holds one row of sums a replicate and adds up its rows batch by batch, so no row is copied and tasks x replicates
+    rows are shuffled. The weight of a row depends on its key, the seed and the replicate only; a null part adds nothing.
     """
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(key), "replicate"), 11).cast("double")) / F.lit(float(2**53))
-    return rows.withColumn("__w", poisson_one(u)).groupBy("replicate").agg(metric(F.col("__w")).alias("value"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), col(key).cast("string")))
+    values = df.select(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint").alias("h"), *[c.cast("double").alias(f"p{i}") for i, c in enumerate(parts.values())])
+    limits, names = np.array(poisson_limits()), ["weight", *[f"p{i}" for i in range(len(parts))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, steps = np.zeros((replicates, len(names))), STEP * np.arange(1, replicates + 1, dtype=np.int64)
+        for batch in batches:
+            own = np.column_stack([np.ones(batch.num_rows), *[np.nan_to_num(c.to_numpy(zero_copy_only=False)) for c in batch.columns[1:]]])
+            h = batch.column(0).to_numpy()
+            for at in range(0, len(h), 2048):
+                x = (h[at : at + 2048, None] + steps[None, :]) % PRIME
+                square = x * x % PRIME
+                weights = np.searchsorted(limits, (square * square % PRIME) * x % PRIME / PRIME, side="right")
+                total += weights.T @ own[at : at + 2048]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), *[pa.array(c) for c in total.T]], ["replicate", *names])
+
+    made = values.mapInArrow(run, "replicate int, " + ", ".join(f"{n} double" for n in names))
+    renamed = {"weight": "weight"} | {f"p{i}": name for i, name in enumerate(parts)}
+    return made.groupBy("replicate").agg(*[F.sum(n).alias(renamed[n]) for n in names])
+
+
+def bootstrap_metric(df: DataFrame, parts: dict[str, Column], metric: Callable[[dict[str, Column]], Column], key: str, replicates: int = 200, seed: int = 42) -> DataFrame:
+    """(replicate, value): ``metric`` of the weighted sums of named row values and of ``weight``, the weighted row count."""
+    sums = bootstrap_sums(df, parts, key, replicates, seed)
+    return sums.select("replicate", metric({n: col(n) for n in ["weight", *parts]}).alias("value"))
 
 
 def bootstrap_interval(replicates: DataFrame, value: str = "difference", level: float = 0.95) -> DataFrame:

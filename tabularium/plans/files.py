@@ -8,7 +8,7 @@ from ..operators import extension as U
 from ..operators import metrics as M
 from ..sources import catalog, readers, uri, writers
 from ..streaming.sources import scratch_folder
-from .metrics import regressed
+from .metrics import bootstrap_sql, regressed
 from .registry import Tables, query
 
 
@@ -131,11 +131,14 @@ def _(t: Tables):
     return U.chain(t.orders, [lambda d: d.filter("o_totalprice > 100000"), lambda d: d.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))])
 
 
-@query("u05_custom_metric")
+KEYED = """(SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, l_extendedprice AS y, l_extendedprice * (0.9 + l_discount) + l_quantity * (l_partkey % 7 - 3) * 100 AS p FROM lineitem)"""
+
+
+@query("u05_custom_metric", bootstrap_sql(KEYED, "key", "(abs(y - p) < 5000)::INTEGER::DOUBLE", 50), floats="mean lower upper")
 def _(t: Tables):
     rows = regressed(t)
     within = (F.abs(F.col("y") - F.col("p")) < 5000).cast("double")
-    made = M.bootstrap_expression(rows, lambda w: F.sum(within * w) / F.sum(w), "key", 50)
+    made = M.bootstrap_metric(rows, {"within": within}, lambda s: s["within"] / s["weight"], "key", 50)
     return M.bootstrap_interval(made, "value")
 
 

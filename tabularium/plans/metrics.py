@@ -326,10 +326,18 @@ def _(t: Tables):
     return M.bootstrap_interval(M.bootstrap_accuracy(classed(t).withColumn("alt", F.lit("O")), "y", "yhat", "alt", 500))
 
 
-@query("m30_bootstrap_rows")
+def bootstrap_sql(rows: str, key: str, value: str, replicates: int) -> str:
+    """The same draws and the interval of a weighted mean, one row per row and replicate."""
+    weight = "CASE " + " ".join(f"WHEN u < {limit!r} THEN {k}" for k, limit in enumerate(M.poisson_limits())) + " ELSE 12 END"
+    return f"""WITH d AS (SELECT {value} AS v, ('0x' || substr(md5('42|' || {key}), 1, 8))::BIGINT AS h FROM {rows}), x AS (SELECT v, r, (h + (r + 1) * {M.STEP}) % {M.PRIME} AS x FROM d, range({replicates}) AS q(r)),
+    s AS (SELECT v, r, x, x * x % {M.PRIME} AS x2 FROM x), u AS (SELECT v, r, (x2 * x2 % {M.PRIME}) * x % {M.PRIME} / {M.PRIME}::DOUBLE AS u FROM s), w AS (SELECT v, r, {weight} AS w FROM u),
+    m AS (SELECT sum(v * w) / sum(w) AS value FROM w GROUP BY r)
+    SELECT mean, lower, upper, lower > 0 OR upper < 0 AS significant FROM (SELECT avg(value) AS mean, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM m)"""
+
+
+@query("m30_bootstrap_rows", bootstrap_sql(SCORED, "doc_id", "abs(score - y)", 100), floats="mean lower upper")
 def _(t: Tables):
-    error = F.abs(F.col("score") - F.col("y"))
-    made = M.bootstrap_expression(scored(t), lambda w: F.sum(error * w) / F.sum(w), "doc_id", 100)
+    made = M.bootstrap_metric(scored(t), {"error": F.abs(F.col("score") - F.col("y"))}, lambda s: s["error"] / s["weight"], "doc_id", 100)
     return M.bootstrap_interval(made, "value")
 
 

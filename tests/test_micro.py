@@ -1,7 +1,9 @@
 """Edge cases: NULL, NaN, infinities, constants, ties, empty and single-row tables, scripts."""
 
+import hashlib
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +204,22 @@ def test_bootstrap_is_repeatable(spark):
     assert first["significant"] and first["mean"] == pytest.approx(0.5, abs=0.05)
 
 
+def test_bootstrap_sums_equal_row_by_row(spark):
+    rows = [(i, float(i % 7), None if i % 5 == 0 else float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, a double, b double").repartition(5)
+    got = sorted(M.bootstrap_sums(df, {"a": F.col("a"), "b": F.col("b")}, "k", 40, seed=3).collect())
+    limits, want = M.poisson_limits(), [[0.0, 0.0, 0.0] for _ in range(40)]
+    for k, a, b in rows:
+        h = int(hashlib.md5(f"3|{k}".encode()).hexdigest()[:8], 16)
+        for r in range(40):
+            u = pow(h + (r + 1) * M.STEP, 5, M.PRIME) / M.PRIME
+            w = sum(u >= limit for limit in limits)
+            want[r] = [want[r][0] + w, want[r][1] + w * a, want[r][2] + w * (b or 0.0)]
+    assert all(list(g)[1:] == pytest.approx(w) for g, w in zip(got, want))
+    weights = [r["weight"] for r in got]
+    assert 2850 < sum(weights) / 40 < 3150 and 20 < pd.Series(weights).std() < 110
+
+
 def test_balancing_counts(spark):
     df = spark.range(100).select("id", F.when(F.col("id") < 90, "big").otherwise("small").alias("c"))
     over = {r["c"]: r["count"] for r in D.oversample(df, "c", "id").groupBy("c").count().collect()}
