@@ -244,6 +244,27 @@ def _(t: Tables):
     return VR.latest_production(log).select("model", "version", F.col("metrics")["rows"].alias("rows"))
 
 
+@query(
+    "m42_version_log",
+    """WITH l AS (SELECT user_id::VARCHAR AS model, (event_id % 5)::INTEGER AS version, event_type = 'view' AS registered, CASE event_type WHEN 'purchase' THEN 'production' WHEN 'view' THEN 'none' ELSE 'archived' END AS stage, value, ts FROM events),
+    m AS (SELECT model, version, arg_max(stage, ts) AS stage, arg_max(value, ts) FILTER (WHERE registered) AS value FROM l GROUP BY 1, 2)
+    SELECT model, version, value FROM m WHERE stage = 'production' QUALIFY row_number() OVER (PARTITION BY model ORDER BY version DESC) = 1""",
+)
+def _(t: Tables):
+    kind = F.col("event_type")
+    registered = kind == "view"
+    log = t.events.select(
+        F.col("user_id").cast("string").alias("model"),
+        (F.col("event_id") % 5).cast("int").alias("version"),
+        F.when(registered, "register").otherwise("transition").alias("event"),
+        F.when(kind == "purchase", "production").when(registered, "none").otherwise("archived").alias("stage"),
+        F.when(registered, F.create_map(F.lit("value"), F.col("value"))).alias("metrics"),
+        F.when(registered, F.concat(F.lit("models/"), F.col("event_id").cast("string"))).alias("path"),
+        F.col("ts").alias("at"),
+    )
+    return VR.latest_production(log).select("model", "version", F.col("metrics")["value"].alias("value"))
+
+
 @query("m39_dataset_versions", """SELECT 1::INTEGER AS version, count(*) AS rows FROM customer UNION ALL SELECT 2, count(*) FROM customer WHERE c_acctbal > 0""")
 def _(t: Tables):
     store = VR.DatasetVersions(t.spark, scratch_folder(t.spark, "versions"))
