@@ -1,12 +1,15 @@
 """Near-duplicate documents by a chosen-path similarity join over word shingles.
 
 Each distinct shingle set is a class with a sketch of minwise tokens. A tree sends a class down ``branches`` paths per
-level, each path extended by the sketch's token at a coordinate chosen for that tree and level. A node of at most
-``leaf`` classes is compared exhaustively on sketches; a larger node branches again. A node that keeps half or more of
-its parent holds texts that are alike already: it is compared exhaustively on full sets instead, in blocks, and only
-links that join two parts are emitted, so a large group of near copies yields about one link per text. Trees are
-independent, so a pair of similarity s is missed by all of them with a probability that falls geometrically. Every
-link is confirmed on full sets.
+level, each path extended by the sketch's token at a coordinate chosen for that tree and level. A node of few classes
+is compared exhaustively on sketches; a larger node branches again. Trees are independent, so a pair of similarity s is
+missed by all of them with a probability that falls geometrically. Every link is confirmed on full sets.
+
+Crowded nodes are folded first: their classes are linked to representatives, confirmed on full sets, and the parts
+these links join are the homes of the classes. From then on only classes of different homes need to meet. A node of one
+home ends there, so a group of near copies takes no further path; a node where one home meets few others compares these
+with all of it; a node whose other classes stay half or more of its parent's is compared on full sets in blocks.
+Every class stays in the search, and links between homes are looked for as before.
 """
 
 from __future__ import annotations
@@ -72,51 +75,103 @@ def sketched(documents: DataFrame, coordinates: int, seed: int, id_col: str, tex
     return written(map_arrow(docs, run, f"doc_id {kind}, key_a bigint, key_b bigint, n_shingles bigint, sig binary, sketch array<int>"), "sketches")
 
 
-def grow(classes: DataFrame, trees: int, branches: int, leaf: int, coordinates: int, depth: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(sig, node) of nodes to compare on sketches, and (sig, node, size) of nodes to compare in blocks."""
-    draw = random.Random(seed)
-    leaves, blocks = [], []
-    order = draw.sample(range(coordinates), coordinates)
-    # the first level takes other coordinates in every tree
+def first_paths(classes: DataFrame, trees: int, branches: int, coordinates: int, seed: int) -> DataFrame:
+    """(sig, tree, node) of the first level, which takes other coordinates in every tree."""
+    order = random.Random(seed).sample(range(coordinates), coordinates)
     first = [(tree, order[(tree * branches + i) % coordinates]) for tree in range(trees) for i in range(branches)]
     keys = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.lit(c), F.get("sketch", F.lit(c))).alias("node")) for t, c in first]
-    paths = classes.select("sig", F.inline(F.array(*keys))).withColumn("parent", F.lit(1 << 62))
+    return classes.select("sig", F.inline(F.array(*keys)))
+
+
+def attach(pairs: DataFrame, table: DataFrame, value: str, side: str, other: str, heavy: int = 512) -> DataFrame:
+    """The pairs with ``value`` of one side, named by it; a class of more than ``heavy`` pairs is dealt over copies of its row."""
+    hot = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("parts")).filter("parts > 1")
+    salted = pairs.join(hot, side, "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("parts"))).cast("int")).drop("parts")
+    held = table.select(F.col("sig").alias(side), F.col(value).alias(f"{value}_{side}")).join(hot, side, "left")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return salted.join(held, [side, "salt"]).drop("salt")
+
+
+def star_pairs(paths: DataFrame, classes: DataFrame, leaf: int, trees: int, coordinates: int, floor: float, seed: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes in crowded nodes with representatives whose sketches agree in ``floor`` or more.
+
+    A representative is the least or the largest class that shares two more tokens in the node, so every group inside a
+    node has its own, and a class takes part in at most two pairs a node.
+    """
+    draw = random.Random(seed + 1)
+    crowded = paths.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > leaf)
+    tables = [F.array(*[F.lit(draw.randrange(coordinates)) for _ in range(trees)]) for _ in range(2)]
+    placed = paths.join(crowded, "node", "left_semi").join(classes, "sig")
+    cells = written(placed.select("sig", F.xxhash64("node", *[F.get("sketch", F.get(t, F.col("tree"))) for t in tables]).alias("cell")), "cells")
+    ends = cells.groupBy("cell").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low < high")
+    met = cells.join(ends, "cell")
+    pairs = met.select(F.col("low").alias("a"), F.col("sig").alias("b")).union(met.select(F.col("sig").alias("a"), F.col("high").alias("b")))
+    pairs = written(pairs.filter("a < b").distinct(), "stars")
+    both = attach(attach(pairs, classes, "sketch", "a", "b"), classes, "sketch", "b", "a")
+    agree = F.size(F.filter(F.arrays_zip("sketch_a", "sketch_b"), lambda t: t["sketch_a"] == t["sketch_b"]))
+    return both.filter(agree >= floor * coordinates).select("a", "b")
+
+
+def grow(
+    paths: DataFrame, classes: DataFrame, trees: int, branches: int, leaf: int, coordinates: int, depth: int, seed: int, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """(node, sig, home) of nodes to compare on sketches, and (node, i, j, mine, sig, home) of those to compare on full sets.
+
+    ``paths`` has the first level with homes. Groups (node, i, j) hold the classes of blocks i and j; block -1 are the
+    classes outside the largest home of a node that has few of them.
+    """
+    draw = random.Random(seed)
+    leaves, blocks = [], []
+    paths = paths.withColumn("parent", F.lit(1 << 62))
     for level in range(depth):
-        sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        members = written(paths.join(sizes, "node"), "nodes")
-        leaves.append(members.filter(F.col("size") <= leaf).select("sig", "node"))
+        homes = paths.groupBy("node", "home").agg(F.count(F.lit(1)).alias("n"))
+        nodes = homes.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "home")).alias("top"))
+        nodes = nodes.select("node", "size", (F.col("size") - F.col("top.n")).alias("others"), F.col("top.home").alias("top")).filter("others > 0")
+        members = written(paths.join(nodes, "node"), "nodes")
+        leaves.append(members.filter(F.col("size") <= leaf).select("node", "sig", "home"))
         large = members.filter(F.col("size") > leaf)
-        alike = F.lit(level == depth - 1) | (F.col("size") * 2 >= F.col("parent"))
-        blocks.append(large.filter(alike).select("sig", "node", "size"))
-        rest = large.filter(~alike)
+        few = F.col("others") < leaf
+        parts = F.ceil((F.col("size") - F.col("others")) / block).cast("int")
+        own = F.when(F.col("home") == F.col("top"), F.pmod(F.xxhash64("sig"), parts).cast("int")).otherwise(-1)
+        thin = large.filter(few).withColumns({"mine": own, "parts": parts})
+        to = F.when(F.col("mine") >= 0, F.array(F.col("mine"))).otherwise(F.sequence(F.lit(-1), F.col("parts") - 1))
+        blocks.append(thin.select("node", F.lit(-1).alias("i"), F.explode(to).alias("j"), "mine", "sig", "home"))
+        alike = F.lit(level == depth - 1) | (F.col("others") * 2 >= F.col("parent"))
+        parts = F.ceil(F.col("size") / block).cast("int")
+        dense = large.filter(~few & alike).withColumns({"parts": parts, "mine": F.pmod(F.xxhash64("sig"), parts).cast("int")})
+        met = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        blocks.append(met.select("node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sig", "home"))
+        rest = large.filter(~few & ~alike)
         if level == depth - 1 or rest.limit(1).count() == 0:
             break
         table = F.array(*[F.array(*[F.lit(c) for c in draw.sample(range(coordinates), branches)]) for _ in range(trees)])
         grown = rest.join(classes, "sig").withColumn("at", F.explode(F.get(table, F.col("tree"))))
         # one path per node and coordinate: two coordinates drawn alike give one child
-        paths = grown.select("sig", "tree", F.xxhash64("node", "at", F.get("sketch", F.col("at"))).alias("node"), F.col("size").alias("parent")).distinct()
+        child = F.xxhash64("node", "at", F.get("sketch", F.col("at"))).alias("node")
+        paths = grown.select("sig", "home", "tree", child, F.col("others").alias("parent")).distinct()
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
     return union(leaves), union(blocks)
 
 
 def leaf_pairs(leaves: DataFrame, classes: DataFrame, coordinates: int, floor: float) -> DataFrame:
-    """Distinct pairs (a, b) of a leaf whose sketches agree in ``floor`` of the coordinates or more."""
+    """Distinct pairs (a, b) of a leaf with different homes whose sketches agree in ``floor`` of the coordinates or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part, groups in whole_groups(batches, "node"):
             sigs, rows = part.column("sig").to_pylist(), np.array(part.column("sketch").to_pylist(), dtype=np.int32)
+            homes = part.column("home").to_pylist()
             out_a, out_b = [], []
             for lo, hi in groups:
                 own = rows[lo:hi]
                 same = (own[:, None, :] == own[None, :, :]).sum(axis=2)
                 for i, j in zip(*np.nonzero(np.triu(same >= floor * coordinates, 1))):
-                    a, b = sorted((sigs[lo + i], sigs[lo + j]))
-                    if a != b:
+                    if homes[lo + i] != homes[lo + j]:
+                        a, b = sorted((sigs[lo + i], sigs[lo + j]))
                         out_a.append(a)
                         out_b.append(b)
             yield {"a": out_a, "b": out_b}
 
-    placed = leaves.join(classes, "sig").select("node", "sig", "sketch").repartition("node").sortWithinPartitions("node")
+    placed = leaves.join(classes, "sig").select("node", "sig", "home", "sketch").repartition("node").sortWithinPartitions("node")
     return map_arrow(placed, run, "a binary, b binary").distinct()
 
 
@@ -170,17 +225,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out_b.append(b)
             yield {"a": out_a, "b": out_b}
 
-    with_a = pairs.join(sets.select(F.col("sig").alias("a"), F.col("own").alias("own_a")), "a")
-    with_b = with_a.join(sets.select(F.col("sig").alias("b"), F.col("own").alias("own_b")), "b")
+    with_b = attach(attach(pairs, sets, "own", "a", "b"), sets, "own", "b", "a")
     return map_arrow(with_b.select("a", "b", "own_a", "own_b"), run, "a binary, b binary")
 
 
-def block_links(blocks: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links of large nodes: every two blocks meet in one task, which emits links that join parts not yet joined there."""
-    n = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("sig"), n).cast("int")
-    met = blocks.withColumns({"n": n, "mine": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = met.select("node", "sig", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets, "sig")
+def block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of large nodes: every two blocks meet in one task, which emits links that join homes not yet joined there."""
+    met = blocks.join(sets, "sig")
 
     def run(table: pa.Table) -> pa.Table:
         sigs, mine = table["sig"].to_pylist(), table["mine"].to_numpy()
@@ -193,7 +244,9 @@ def block_links(blocks: DataFrame, sets: DataFrame, percent: int, block: int) ->
         tokens = np.concatenate([sets_here[x] for x in indexed]) if len(indexed) else np.empty(0, np.uint64)
         order = np.argsort(tokens, kind="stable")
         tokens, owners = tokens[order], owners[order]
-        parent = list(range(len(sigs)))
+        # classes of one home are joined already
+        homes: dict[bytes, int] = {}
+        parent = [homes.setdefault(home, at) for at, home in enumerate(table["home"].to_pylist())]
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -241,12 +294,20 @@ def near_duplicates(
     """
     rows = sketched(documents, coordinates, seed, id_col, text_col)
     classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.first("sketch").alias("sketch")), "classes")
-    leaves, blocks = grow(classes, trees, branches, leaf, coordinates, depth, seed)
     s = percent / 100
-    pairs = written(leaf_pairs(leaves, classes, coordinates, s - 3.5 * (s * (1 - s) / coordinates) ** 0.5), "pairs")
-    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(blocks.select("sig")).distinct()
-    sets = full_sets(documents, written(needed, "needed"), text_col)
-    links = confirm(pairs, sets, percent).unionByName(block_links(blocks, sets, percent, block))
+    floor = s - 3.5 * (s * (1 - s) / coordinates) ** 0.5
+    paths = first_paths(classes, trees, branches, coordinates, seed)
+    stars = written(star_pairs(paths, classes, leaf, trees, coordinates, floor, seed), "stars")
+    ends = lambda pairs: pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
+    folded = full_sets(documents, written(ends(stars).distinct(), "needed"), text_col)
+    star_links = written(confirm(stars, folded, percent), "links")
+    homes = connected_components(star_links).select(F.col("id").alias("sig"), "component")
+    placed = paths.join(homes, "sig", "left").select("sig", "tree", "node", F.coalesce("component", "sig").alias("home"))
+    leaves, blocks = grow(placed, classes, trees, branches, leaf, coordinates, depth, seed, block)
+    pairs = written(leaf_pairs(leaves, classes, coordinates, floor), "pairs")
+    needed = ends(pairs).union(blocks.select("sig")).distinct().join(folded, "sig", "left_anti")
+    sets = folded.unionByName(full_sets(documents, written(needed, "needed"), text_col))
+    links = star_links.unionByName(confirm(pairs, sets, percent)).unionByName(block_links(blocks, sets, percent))
     parts = connected_components(links).select(F.col("id").alias("sig"), "component")
     joined = rows.select("doc_id", "key_a", "key_b", "n_shingles", "sig").join(parts, "sig", "left")
     group = F.coalesce("component", "sig")

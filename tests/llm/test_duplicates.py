@@ -205,3 +205,20 @@ def test_missed_target_is_reported(spark):
 def test_repeated_vector_ids(spark):
     rows = nn_descent.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (None, [1.0, 0.01], 3)], "vec_id bigint, embedding array<double>, label int")).collect()
     assert [(r.n_links, r.component_id) for r in rows] == [(2, 1)] * 3
+
+
+def test_a_group_of_near_copies_takes_no_paths_once_folded(spark):
+    base = prose(70, 150).split()
+    docs = [(i, " ".join(f"x{i}" if at == i % 150 else w for at, w in enumerate(base))) for i in range(300)]
+    docs += [(300 + i, prose(400 + i, 60)) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    rows = chosen_path.sketched(frame, 64, 7, "doc_id", "text")
+    classes = rows.select("sig", "sketch")
+    paths = chosen_path.first_paths(classes, 6, 2, 64, 7)
+    stars = chosen_path.star_pairs(paths, classes, 32, 6, 64, 0.56, 7)
+    assert 299 <= stars.count() <= 2 * 12 * 300
+    homes = components.connected_components(chosen_path.confirm(stars, chosen_path.full_sets(frame, rows.select("sig"), "text"), 75))
+    assert homes.count() == 300 and homes.select("component").distinct().count() == 1
+    placed = paths.join(homes.select(F.col("id").alias("sig"), "component"), "sig", "left").select("sig", "tree", "node", F.coalesce("component", "sig").alias("home"))
+    leaves, blocks = chosen_path.grow(placed, classes, 6, 2, 32, 64, 8, 7, 512)
+    assert leaves.count() == 0 and blocks.count() == 0
