@@ -1,7 +1,8 @@
 """Main text of web pages, with each site's templates removed.
 
 A page is read once into a tree of elements. Elements that are never main text by their kind or their declared role
-(menus, headers, footers, forms, adverts, comments and so on) are left out. Every block element's subtree is hashed;
+(menus, headers, footers, forms, adverts, comments and so on) are left out; a word in a class or id leaves none out that
+carries the page's text. Every block element's subtree is hashed;
 Spark counts per host under how many different page bodies each hash occurs, and subtrees that recur on many pages of
 their host are deleted. A body is known by its longest block, so copies of one page count once, and paragraphs and
 headings of an article are its text even where copies repeat them.
@@ -43,6 +44,8 @@ LABELS = {
     "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "share", "sharing", "social", "related", "recommended",
     "widget", "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "pagination", "pager", "toolbar", "masthead", "skip",
 }
+#: labels of what readers write
+COMMENTS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus"}
 #: outside the article only: an article's own header holds its title
 OUTER_LABELS = {"header", "topbar", "logo"}
 CLOSES = {
@@ -54,39 +57,78 @@ SCOPES = {"html", "body", "article", "main", "section", "div", "table", "ul", "o
 PROTECTED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "td", "th", "dd", "dt", "table", "figcaption"}
 
 
+KEEP, DROP, LABELLED, COMMENTARY = range(4)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "inside", "parts", "prose", "hash")
+    __slots__ = ("tag", "parent", "dropped", "label", "inside", "parts", "prose", "hash", "size", "titled")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool, inside: bool):
         self.tag, self.parent, self.dropped, self.inside = tag, parent, dropped, inside
         self.parts: list = []
         self.prose = False
         self.hash = 0
+        #: KEEP, DROP, LABELLED or COMMENTARY; characters of text in it; whether it is or holds an article, main or h1
+        self.label = KEEP
+        self.size = 0
+        self.titled = tag in ("article", "main", "h1")
 
 
-def unwanted(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is no main text by its kind, role or labels."""
+def unwanted(tag: str, attrs: str, inside: bool) -> int:
+    """DROP for no main text by kind or role, LABELLED or COMMENTARY for a word of class or id, else KEEP."""
     if tag in DROPPED or (tag == "header" and not inside):
-        return True
+        return DROP
     if tag in ("html", "body", "article", "main") and "comment" not in attrs:
-        return False
+        return KEEP
+    label = KEEP
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
             words = set(re.findall(r"[a-z]+|[A-Z][a-z]*", re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
             words = {w.lower() for w in words}
             if words & LABELS or (not inside and words & OUTER_LABELS):
-                return True
+                label = max(label, COMMENTARY if words & COMMENTS else LABELLED)
         elif name == "role" and value.strip().lower() in ROLES:
-            return True
+            return DROP
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-    return False
+            return DROP
+    return label
+
+
+def settle(nodes: list[Node]) -> None:
+    """Decide the labelled elements of a page; ``nodes`` in page order.
+
+    One that holds half of the page's text or more stays if an article, main or h1 is in it or is it, or, unless its
+    label is of comments, if less than a tenth of the text is outside of labels, and none of that in an article or main.
+    """
+    for node in nodes:
+        node.dropped |= node.label == DROP or (node.parent is not None and node.parent.dropped)
+        if not node.dropped:
+            node.size = sum(len(part.strip()) for part in node.parts if isinstance(part, str))
+    labelled: set[int] = set()
+    clear, stated = 0, False
+    for node in nodes:
+        if node.label in (LABELLED, COMMENTARY) or id(node.parent) in labelled:
+            labelled.add(id(node))
+        else:
+            clear += node.size
+            stated |= node.size > 0 and (node.inside or node.tag in ("article", "main"))
+    for node in reversed(nodes):
+        if node.parent is not None and not node.dropped:
+            node.parent.size += node.size
+            node.parent.titled |= node.titled
+    total = nodes[0].size
+    for node in nodes:
+        if node.label in (LABELLED, COMMENTARY):
+            carries = 2 * node.size >= total and (node.titled or (node.label == LABELLED and not stated and 10 * clear < total))
+            node.dropped |= not carries
+        node.dropped |= node.parent is not None and node.parent.dropped
 
 
 def parse(page: str) -> Node:
     """Tree of a page; missing end tags are implied."""
     root = Node("", None, False, False)
+    nodes = [root]
     now, at = root, 0
     while at < len(page):
         match = TOKEN.match(page, at)
@@ -119,13 +161,16 @@ def parse(page: str) -> Node:
             if tag in ("tr", "tbody", "tfoot"):
                 while now.tag in closes:
                     now = now.parent
-        made = Node(tag, now, now.dropped or unwanted(tag, match["attrs"], now.inside), now.inside or tag in ("article", "main"))
+        made = Node(tag, now, False, now.inside or tag in ("article", "main"))
+        made.label = unwanted(tag, match["attrs"], now.inside)
         now.parts.append(made)
+        nodes.append(made)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif not match["attrs"].endswith("/"):
             now = made
+    settle(nodes)
     return root
 
 
@@ -175,20 +220,25 @@ def walk(root: Node) -> tuple[list[Node], list[tuple[str, Node]]]:
     return elements, blocks
 
 
-def scope_of(elements: list[Node], blocks: list[tuple[str, Node]]) -> Node | None:
-    """The article with the most text, else the main element, else nothing: the whole page."""
+def scope_of(elements: list[Node], blocks: list[tuple[str, Node]]) -> list[Node]:
+    """The article with the most text and its sibling articles, if they hold half or more of the text of the main
+    element, or of the page where there is none; else that main element; else nothing: the whole page."""
     sizes: dict[int, int] = {}
     for text, owner in blocks:
         up = owner
         while up is not None:
-            if up.tag in ("article", "main"):
+            if up.tag in ("article", "main", ""):
                 sizes[id(up)] = sizes.get(id(up), 0) + len(text)
             up = up.parent
-    for tag in ("article", "main"):
-        found = [n for n in elements if n.tag == tag and not n.dropped and sizes.get(id(n))]
-        if found:
-            return max(found, key=lambda n: sizes[id(n)])
-    return None
+    articles, mains = ([n for n in elements if n.tag == tag and not n.dropped and sizes.get(id(n))] for tag in ("article", "main"))
+    main = max(mains, key=lambda n: sizes[id(n)], default=None)
+    if articles:
+        longest = max(articles, key=lambda n: sizes[id(n)])
+        joined = [n for n in articles if n.parent is longest.parent]
+        around = sum(len(text) for text, _ in blocks) if main is None else sizes[id(main)]
+        if 2 * sum(sizes[id(n)] for n in joined) >= around:
+            return joined
+    return [] if main is None else [main]
 
 
 def page_parts(page: str) -> dict:
@@ -198,11 +248,11 @@ def page_parts(page: str) -> dict:
     out = []
     for text, owner in blocks:
         within, up = [], owner
-        while up is not None and up is not scope:
-            if up.hash and up.tag not in ("", "html", "body") and not (scope is not None and up.prose):
+        while up is not None and up not in scope:
+            if up.hash and up.tag not in ("", "html", "body") and not (scope and up.prose):
                 within.append(up.hash)
             up = up.parent
-        if scope is None or up is scope:
+        if not scope or up is not None:
             out.append({"text": text, "within": within})
     longest = max((b["text"] for b in out), key=len, default="")
     body = int.from_bytes(hashlib.blake2b(longest.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)

@@ -33,6 +33,20 @@ def test_odd_pages(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<main><p>long text of the page here</p><article>teaser</article></main>", "long text of the page here\nteaser"),
+    ("<body><article><p>one</p></article><article><p>two and more</p></article></body>", "one\ntwo and more"),
+    ("<div class='content has-sidebar'><p>the text of it</p><nav>x</nav></div>", "the text of it"),
+    ("<div class=notice-board-page><h1>Board</h1><p>words of the page</p></div><p>small print</p>", "Board\nwords of the page\nsmall print"),
+    ("<article class='post comments-open'><p>body text</p></article>", "body text"),
+    ("<article><p>story</p></article><div class=comments><p>much longer words of many readers</p></div>", "story"),
+    ("<article><p>s</p></article><div class=sidebar><p>much longer than the story</p></div>", "s"),
+    ("<div class=comments><p>nothing but readers</p></div>", ""),
+])
+def test_labels_and_articles_that_carry_the_text(page, text):
+    assert text_of(page) == text
+
+
 def test_recurring_subtrees_of_a_host_go(spark):
     page = "<body><div class=box><span>Follow us</span> today</div><div><p>Body of page {0} {1}</p></div></body>"
     rows = [(i, "http://a.example/x", page.format(i, "words " * 9)) for i in range(12)] + [(50 + i, "http://b.example/x", page.format(i, "words " * 9)) for i in range(3)]
