@@ -40,7 +40,8 @@ def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text")
     """Adds lang_pred and score, the posterior of the predicted language over whole texts.
 
     Texts that are null or hold no letter are ``und`` with score 0, as is every text if no language was learned. Ties go
-    to the language that sorts first. Repeated rows get equal results; other columns stay (a column named lang_pred or
+    to the language that sorts first. Texts of any length are scored whole, words of any length over all their
+    segmentations; an empty table gives no rows. Repeated rows get equal results; other columns stay (a column named lang_pred or
     score is replaced).
     """
     shared = documents.sparkSession.sparkContext.broadcast(tuple(model))

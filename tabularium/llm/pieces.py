@@ -1,7 +1,7 @@
 """Unigram piece models over a fixed vocabulary, scored by dynamic programming on a trie of distinct pre-tokens.
 
-A pre-token is a white-space separated word with a leading word mark. ``pretokens`` lower-cases words and cuts them after
-``MAX_CHARS`` characters; words that come longer are scored one by one along their characters instead of on a trie. The
+A pre-token is a white-space separated word with a leading word mark; ``pretokens`` lower-cases them. Words of more than
+``MAX_CHARS`` characters are scored whole, one by one along their characters instead of on a trie. The
 probability of a prefix is the sum over its last piece of the probability of what precedes it times the piece's; it is
 computed once per trie node, so words that share a prefix share its scores. Characters outside the vocabulary count as a
 piece of small fixed weight.
@@ -30,11 +30,8 @@ MEMO_WORDS = 400_000
 
 
 def pretokens(text: str) -> list[str]:
-    """Lower-case words; longer ones in parts of ``MAX_CHARS``."""
-    words = text.lower().split()
-    if any(len(w) > MAX_CHARS for w in words):
-        words = [w[i : i + MAX_CHARS] for w in words for i in range(0, len(w), MAX_CHARS)]
-    return words
+    """Lower-case words."""
+    return text.lower().split()
 
 
 def load_pieces(path: str) -> list[str]:
@@ -103,16 +100,34 @@ def forward(trie: Trie, pieces: Pieces, weights: np.ndarray) -> list[np.ndarray]
     return alpha
 
 
+def long_word_score(word: str, pieces: Pieces, log_weights: np.ndarray) -> np.ndarray:
+    """Natural log probability of a word of any length under each column; no more prefixes are held than a piece is long."""
+    marked, held = MARK + word, pieces.longest + 1
+    total = np.zeros((held, log_weights.shape[1]))
+    for end in range(1, len(marked) + 1):
+        starts, found = zip(*last_pieces_of(marked, end, pieces.by_text, pieces.longest))
+        logs = total[np.array(starts) % held] + log_weights[list(found)]
+        high = logs.max(axis=0)
+        total[end % held] = high + np.log(np.exp(logs - high).sum(axis=0))
+    return total[len(marked) % held].copy()
+
+
 def word_scores(words: list[str], pieces: Pieces, weights: np.ndarray) -> np.ndarray:
     """Natural log probability of each word under each column."""
     out = np.empty((len(words), weights.shape[1]))
-    for at in range(0, len(words), TRIE_WORDS):
-        part = words[at : at + TRIE_WORDS]
-        trie = Trie(part)
+    short = np.array([i for i, w in enumerate(words) if len(w) <= MAX_CHARS], np.int64)
+    if len(short) < len(words):
+        log_weights = np.log(weights)
+        for i, word in enumerate(words):
+            if len(word) > MAX_CHARS:
+                out[i] = long_word_score(word, pieces, log_weights)
+    for at in range(0, len(short), TRIE_WORDS):
+        part = short[at : at + TRIE_WORDS]
+        trie = Trie([words[i] for i in part])
         alpha = forward(trie, pieces, weights)
         for d in range(1, len(alpha)):
             ends = np.flatnonzero(trie.depth == d)
-            out[at + ends] = np.log(alpha[d][trie.end[ends]])
+            out[part[ends]] = np.log(alpha[d][trie.end[ends]])
     return out
 
 

@@ -47,6 +47,32 @@ def test_trie_scores_equal_the_sum_over_all_segmentations():
     assert expected.sum() == pytest.approx(uses)
 
 
+def test_a_long_word_is_one_word():
+    known = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "aba"]
+    weights = np.array([[0.1, 0.2, 0.05, 0.3, 0.1, 0.05, 0.1, 0.1, pieces.UNKNOWN], [0.2, 0.1, 0.3, 0.05, 0.05, 0.1, 0.1, 0.1, pieces.UNKNOWN]]).T
+    finder = pieces.Pieces(known)
+    long = "abaxbab" * 1_500
+    words = ["ab", long, "aba", long[:40]]
+    scores = pieces.word_scores(words, finder, weights)
+    for column in (0, 1):
+        log_weight = np.log(weights[:, column]).tolist()
+        for word, score in zip(words, scores[:, column]):
+            assert score == pytest.approx(pieces.along(word, finder.by_text, finder.longest, log_weight)[0][-1], rel=1e-9)
+    assert pieces.pretokens("Ab " + long) == ["ab", long]
+
+
+def test_language_of_texts_equals_the_recursion(spark):
+    rows = [(i, f"{'der die das' if i % 2 else 'the and of'} w{i} {'q' * 50}", "de" if i % 2 else "en") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(frame, VOCABULARY)
+    ids, longest = {p: i for i, p in enumerate(model.pieces)}, max(map(len, model.pieces))
+    logs = [np.log(model.weights[:, k]).tolist() for k in range(len(model.labels))]
+    for row in language_id.predict(frame, model).collect():
+        total = [p + sum(pieces.along(w, ids, longest, logs[k])[0][-1] for w in row.text.split()) for k, p in enumerate(model.prior)]
+        best = max(range(len(total)), key=lambda k: (total[k], -k))
+        assert row.lang_pred == model.labels[best] and row.score == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total))
+
+
 def test_language_is_found_on_held_out_documents(spark, sf_dir):
     found = QUERIES["op1_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in found if r.held_out]
