@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guarded import all_of, col
-from .ordered import Ordered
+from .ordered import Ordered, running_totals
+from .similarity import saved
 
 
 def as_of_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, left_key: list[str], right_key: list[str], values: list[str]) -> DataFrame:
@@ -94,3 +95,21 @@ def overlap_join(left: DataFrame, right: DataFrame, left_low: str, left_high: st
     behind = range_join(a, b, left_low, right_low, right_high).filter(col(left_low) > col(right_low))
     columns = [*left.columns, *right.columns]
     return inside.select(*[col(c) for c in columns]).unionByName(behind.select(*[col(c) for c in columns]))
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, left_low: str, left_high: str, right_low: str, right_high: str, name: str = "overlaps") -> DataFrame:
+    """Left rows with the number of right ranges [low, high) that overlap theirs, without listing the pairs.
+
+    A range that ends at or before the left one's begin begins before its end too, so the number is that of the begins below
+    the left end less that of the ends up to the left begin: two running totals over the distinct ends, written once, and two
+    joins by value. Left rows with an empty range or without overlap are left out, as by the join.
+    """
+    a, b = left.filter(col(left_low) < col(left_high)), right.filter(col(right_low) < col(right_high))
+    mark = lambda c, begun, ended: F.struct(col(c).alias("__x"), F.lit(begun).alias("__begun"), F.lit(ended).alias("__ended"))
+    marks = b.select(F.inline(F.array(mark(right_low, 1, 0), mark(right_high, 0, 1)))).unionByName(a.select(F.inline(F.array(mark(left_low, 0, 0), mark(left_high, 0, 0)))))
+    steps = saved(marks.groupBy("__x").agg(F.sum("__begun").alias("__begun"), F.sum("__ended").alias("__ended")), "ends")
+    totals = running_totals(steps, [], ["__x"], {"__b": F.col("__begun"), "__e": F.col("__ended")})
+    below = totals.select(F.col("__x").alias("__high"), (F.col("__b") - F.col("__begun")).alias("__below"))
+    upto = totals.select(F.col("__x").alias("__low"), F.col("__e").alias("__upto"))
+    met = a.join(below, col(left_high) == F.col("__high")).join(upto, col(left_low) == F.col("__low"))
+    return met.withColumn(name, F.col("__below") - F.col("__upto")).filter(col(name) > 0).drop("__high", "__below", "__low", "__upto")

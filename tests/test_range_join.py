@@ -43,6 +43,25 @@ def test_overlap_join_equals_all_pairs(spark):
     assert got == sorted((i, j) for i, p, q in a for j, r, s in b if p < s and r < q and p < q and r < s)
 
 
+@pytest.mark.parametrize("most", ["25", "1000000"])
+def test_overlap_counts_equal_all_pairs_and_list_none(spark, most):
+    spark.conf.set("spark.tabularium.maxGroupRows", most)
+    try:
+        a, b = drawn(7, 150, False)[1], drawn(8, 150, True)[1]
+        # the same row twice, touching ranges, an empty one and nulls
+        a += [a[0], (900, b[0][2], b[0][2] + 1), (901, b[0][1] - 1, b[0][1]), (902, 3.0, 3.0), (903, None, 1.0), (904, 2.0, None)]
+        b += [(900, 3.0, 3.0), (901, None, 9.0), b[1]]
+        left, right = spark.createDataFrame(a, "i int, a double, b double"), spark.createDataFrame(b, "j int, c double, d double")
+        made = S.overlap_counts(left, right, "a", "b", "c", "d", "n")
+        meets = lambda p, q, r, s: None not in (p, q, r, s) and p < s and r < q and p < q and r < s
+        want = [(i, sum(meets(p, q, r, s) for _, r, s in b)) for i, p, q in a]
+        assert sorted((r["i"], r["n"]) for r in made.collect()) == sorted((i, n) for i, n in want if n)
+        plan = made._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "__run" not in plan
+    finally:
+        spark.conf.unset("spark.tabularium.maxGroupRows")
+
+
 def test_range_join_of_times_and_whole_numbers(spark):
     left = spark.sql("SELECT id AS p, CAST(id AS BIGINT) AS x, timestamp'2024-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS t FROM range(40)")
     right = spark.sql("SELECT id AS s, id AS lo, id + 5 AS hi, timestamp'2024-01-03' AS a, timestamp'2024-01-05' AS b FROM range(3)")
