@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.guarded import col
 from ..operators.ordered import row_numbers
 
+#: groups of keys in a stateful stream; keys that are null or NaN have groups of their own
+BUCKETS, NULL_BUCKET, NAN_BUCKET = 512, -1, -2
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -131,25 +135,30 @@ def buffered_windows(
 
 
 class EventOrdered(StatefulProcessor):
-    """Rows of a key in event-time order, whatever the order they arrive in.
+    """Rows of each key in event-time order, whatever the order they arrive in.
 
-    Arrivals are held in list state until the watermark has passed them: an event-time timer at the earliest held row wakes
-    the key, the rows at or below the watermark go to ``step`` in order, the others stay. Rows behind the watermark never
-    get here; Spark counts them (see ``late_rows``). A key whose events pause for more than ``idle`` seconds starts anew, and
-    a timer frees its state then; without ``idle`` it is kept for good.
+    The state's group is a bucket of keys, as a call from Python to the state store costs more than the rows of most keys.
+    Arrivals are held, a piece of state a micro-batch, until the watermark has passed them: an event-time timer at the
+    earliest held row wakes the bucket, the rows at or below the watermark go key by key to ``step`` in order, the others
+    stay. Rows behind the watermark never get here; Spark counts them (see ``late_rows``). A key whose events pause for more
+    than ``idle`` seconds starts anew, and a timer frees its state then; without ``idle`` it is kept for good.
 
-    Held rows are tuples (microseconds, *fields); ``order`` gives the places that break ties.
+    ``step``, ``passed`` and ``forget`` change a key's ``state``, a dictionary of plain values, and yield what ``table``
+    takes. Rows are tuples (microseconds, *fields); ``order`` names the fields that break ties.
     """
 
-    def __init__(self, key: str, fields: list[str], held_schema: str, order: list[int], idle: int | None):
-        self.key, self.fields, self.held_schema, self.order = key, fields, held_schema, order
+    #: rows in a piece of state, and items in a table
+    PIECE = 50_000
+
+    def __init__(self, fields: list[str], order: list[str], columns: list[str], idle: int | None):
+        self.fields, self.order, self.columns = fields, order, columns
         self.idle = idle * 1_000_000 if idle else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.held_schema)
-        self.newest = handle.getValueState("newest", "at bigint")
-        self.open(handle)
+        self.pending = handle.getListState("pending", "piece binary")
+        self.states = handle.getValueState("states", "all binary")
+        self.reached: dict[int, int] = {}
 
     def wake(self, at: int) -> None:
         # timers count milliseconds and fire once the watermark is past them
@@ -160,44 +169,95 @@ class EventOrdered(StatefulProcessor):
         for part in rows:
             if part.empty:
                 continue
-            held = part[["at", *self.fields]].astype(object)
-            held = held.where(held.notna(), None)
-            self.pending.appendList([tuple(r) for r in held.itertuples(index=False, name=None)])
+            self.pending.appendList(self._pieces(part[["event_key", "at", *self.fields]]))
             first = int(part["at"].min())
             earliest = first if earliest is None else min(first, earliest)
         if earliest is not None:
             self.wake(earliest)
         return iter(())
 
+    def _pieces(self, rows: pd.DataFrame) -> list[tuple]:
+        return [(pickle.dumps(rows.iloc[i : i + self.PIECE]),) for i in range(0, len(rows), self.PIECE)]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        held.sort(key=lambda r: (r[0], *(r[i] for i in self.order)))
-        n = sum(r[0] <= watermark for r in held)
-        if n:
-            if n < len(held):
-                self.pending.put(held[n:])
+        watermark, bucket = timerValues.getCurrentWatermarkInMs() * 1000, int(key[0])
+        if self.reached.get(bucket) == watermark:
+            return
+        self.reached[bucket] = watermark
+        states = pickle.loads(self.states.get()[0]) if self.states.exists() else {}
+        due, waiting, wakes = self._due(bucket, watermark)
+        items = []
+        for name in list(dict.fromkeys([*due, *states])) if self.timed() else list(due):
+            entry = states.setdefault(name, {"newest": None, "state": {}})
+            items.extend(self._advance(name, entry, due.get(name, []), watermark, name in waiting))
+            if entry["newest"] is None:
+                del states[name]
+            elif self.timed():
+                wakes += self._wakes(entry, name in waiting)
+            while len(items) >= self.PIECE:
+                yield self.table(items[: self.PIECE])
+                items = items[self.PIECE :]
+        if items:
+            yield self.table(items)
+        if states:
+            self.states.update((pickle.dumps(states),))
+        else:
+            self.states.clear()
+        if wakes:
+            self.wake(min(wakes))
+
+    def _due(self, bucket: int, watermark: int) -> tuple[dict, set, list[int]]:
+        """Rows the watermark has passed by key, in order; the keys of the others, and the time of the first of those."""
+        held = [pickle.loads(r[0]) for r in self.pending.get()] if self.pending.exists() else []
+        if not held:
+            return {}, set(), []
+        rows = pd.concat(held, ignore_index=True)
+        if bucket < 0:
+            rows["event_key"] = bucket
+        passed = rows["at"] <= watermark
+        later, rows = rows[~passed], rows[passed]
+        if len(rows):
+            if len(later):
+                self.pending.put(self._pieces(later))
             else:
                 self.pending.clear()
-        if n < len(held):
-            self.wake(held[n][0])
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        for rows in self.without_pauses(held[:n], newest):
-            if newest is not None and self.idle and rows[0][0] - newest > self.idle:
-                yield from self.forget(key)
-            yield from self.step(key, rows)
-            newest = rows[-1][0]
-        if n:
-            self.newest.update((newest,))
-        yield from self.passed(key, watermark)
-        if self.idle and newest is not None:
-            if newest + self.idle < watermark and n == len(held):
-                yield from self.forget(key)
-                self.newest.clear()
-            else:
-                self.wake(newest + self.idle)
-
-    def without_pauses(self, rows: list[tuple], newest: int | None) -> Iterator[list[tuple]]:
+        rows = rows.sort_values(["at", *self.order], kind="stable")
+        values = rows[["at", *self.fields]].astype(object)
+        values = values.where(values.notna(), None)
+        due: dict = {}
+        for name, row in zip(rows["event_key"].tolist(), values.itertuples(index=False, name=None)):
+            due.setdefault(self._name(bucket, name), []).append(row)
+        waiting = {self._name(bucket, name) for name in later["event_key"].unique().tolist()}
+        return due, waiting, [int(later["at"].min())] if len(later) else []
+
+    @staticmethod
+    def _name(bucket: int, name):
+        """Null and NaN have buckets of their own."""
+        return name if bucket >= 0 else None if bucket == NULL_BUCKET else "NaN"
+
+    def _advance(self, name, entry: dict, rows: list[tuple], watermark: int, waits: bool) -> Iterator:
+        key, newest, state = float("nan") if name == "NaN" and self.nan else name, entry["newest"], entry["state"]
+        for run in self.without_pauses(rows):
+            if newest is not None and self.idle and run[0][0] - newest > self.idle:
+                yield from self.forget(key, state)
+                state.clear()
+            yield from self.step(key, state, run)
+            newest = run[-1][0]
+        yield from self.passed(key, state, watermark)
+        if self.idle and newest is not None and newest + self.idle < watermark and not waits:
+            yield from self.forget(key, state)
+            newest = None
+        entry["newest"] = newest
+
+    def timed(self) -> bool:
+        """Whether keys have something to do without events."""
+        return bool(self.idle)
+
+    def _wakes(self, entry: dict, waits: bool) -> list[int]:
+        # a key with rows held is looked at again with them
+        return [entry["newest"] + self.idle] if self.idle and not waits else []
+
+    def without_pauses(self, rows: list[tuple]) -> Iterator[list[tuple]]:
         """Rows cut where the gap to the row before is a pause."""
         start = 0
         for i in range(1, len(rows)):
@@ -207,35 +267,39 @@ class EventOrdered(StatefulProcessor):
         if rows:
             yield rows[start:]
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
+    def table(self, items: list) -> pd.DataFrame:
+        return pd.DataFrame(items, columns=self.columns)
 
-    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def step(self, key, state: dict, rows: list[tuple]) -> Iterator:
         raise NotImplementedError
 
-    def forget(self, key) -> Iterator[pd.DataFrame]:
-        raise NotImplementedError
+    def forget(self, key, state: dict) -> Iterator:
+        return iter(())
 
-    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+    def passed(self, key, state: dict, watermark: int) -> Iterator:
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def in_event_order(df: DataFrame, key: str, ts: str, order: list[str], fields: list[Column], watermark: str, build: Callable, output: str) -> DataFrame:
+def in_event_order(df: DataFrame, key: str, ts: str, order: list[str], fields: list[Column], watermark: str, build: Callable, output: str, buckets: int = BUCKETS) -> DataFrame:
     """Feed a processor: ``fields`` and tie breakers by key, under a watermark; rows without time never get there.
 
-    ``order`` breaks ties of ``ts`` and has no nulls.
+    ``order`` breaks ties of ``ts`` and has no nulls. ``buckets`` is the number of groups the keys are dealt to by hash; a
+    running stream must keep it.
     """
     use_rocksdb(df.sparkSession)
     # rows reach Python as named tuples, which know no leading underscores, spaces or keywords
     made = {f"f{i}": c for i, c in enumerate(fields)} | {f"o{i}": col(c) for i, c in enumerate(order)}
-    kept = df.select(col(key).alias("event_key"), col(ts).cast("timestamp").alias("event_time"), *[c.alias(n) for n, c in made.items()])
+    real = isinstance(df.schema[key].dataType, (T.FloatType, T.DoubleType))
+    dealt = F.pmod(F.xxhash64(col(key)), F.lit(buckets)).cast("int")
+    dealt = F.when(col(key).isNull(), NULL_BUCKET).when(F.isnan(col(key)) if real else F.lit(False), NAN_BUCKET).otherwise(dealt)
+    kept = df.select(dealt.alias("bucket"), col(key).alias("event_key"), col(ts).cast("timestamp").alias("event_time"), *[c.alias(n) for n, c in made.items()])
     kept = kept.filter(F.col("event_time").isNotNull()).withWatermark("event_time", watermark).withColumn("at", F.unix_micros("event_time"))
-    held = "at bigint, " + ", ".join(f"{n} {kept.schema[n].dataType.simpleString()}" for n in made)
-    processor = build(key, list(made), held, [1 + len(fields) + i for i in range(len(order))])
-    return kept.groupBy("event_key").transformWithStateInPandas(processor, output, "Append", "EventTime")
+    processor = build(list(made), [f"o{i}" for i in range(len(order))])
+    processor.nan = real
+    return kept.groupBy("bucket").transformWithStateInPandas(processor, output, "Append", "EventTime")
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -246,60 +310,47 @@ def late_rows(query: StreamingQuery) -> int:
 class EventWindows(EventOrdered):
     """Windows of ``size`` consecutive events, or of the events within ``seconds`` of their first one, by event time."""
 
-    def __init__(self, *base, columns: list[str], size: int, seconds: int | None, processors: list[Callable[[pd.DataFrame], pd.DataFrame]], idle: int | None):
-        super().__init__(*base, idle)
-        self.columns, self.size, self.processors = columns, size, processors
+    def __init__(self, *base, key: str, values: list[str], size: int, seconds: int | None, processors: list[Callable[[pd.DataFrame], pd.DataFrame]], idle: int | None):
+        super().__init__(*base, [], idle)
+        self.key, self.values, self.size, self.processors = key, values, size, processors
         self.span = seconds * 1_000_000 if seconds else None
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getListState("buffer", self.held_schema)
-        self.flushed = handle.getValueState("flushed", "n bigint")
-
-    def _flush(self, key, rows: list[tuple]) -> pd.DataFrame:
-        number = self.flushed.get()[0] if self.flushed.exists() else 0
-        self.flushed.update((number + 1,))
-        out = pd.DataFrame([r[1 : 1 + len(self.columns)] for r in rows], columns=self.columns)
+    def _flush(self, key, state: dict) -> pd.DataFrame:
+        number = state.get("flushed", 0)
+        out = pd.DataFrame([r[1 : 1 + len(self.values)] for r in state["held"]], columns=self.values)
+        state |= {"flushed": number + 1, "held": []}
         for p in self.processors:
             out = p(out)
         out.insert(0, "window", number)
-        out.insert(0, self.key, key[0])
+        out.insert(0, self.key, key)
         return out
 
-    def _held(self) -> list[tuple]:
-        return [tuple(r) for r in self.buffer.get()] if self.buffer.exists() else []
+    def step(self, key, state: dict, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        state.setdefault("held", [])
+        for row in rows:
+            if state["held"] and self.span and row[0] - state["held"][0][0] >= self.span:
+                yield self._flush(key, state)
+            state["held"].append(row)
+            if len(state["held"]) == self.size:
+                yield self._flush(key, state)
+
+    def passed(self, key, state: dict, watermark: int) -> Iterator[pd.DataFrame]:
+        if self.span and state.get("held") and watermark >= state["held"][0][0] + self.span:
+            yield self._flush(key, state)
 
-    def _hold(self, rows: list[tuple]) -> None:
-        if rows:
-            self.buffer.put(rows)
-            if self.span:
-                self.wake(rows[0][0] + self.span)
-        else:
-            self.buffer.clear()
+    def forget(self, key, state: dict) -> Iterator[pd.DataFrame]:
+        if state.get("held"):
+            yield self._flush(key, state)
 
-    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        held = self._held()
-        for row in rows:
-            if held and self.span and row[0] - held[0][0] >= self.span:
-                yield self._flush(key, held)
-                held = []
-            held.append(row)
-            if len(held) == self.size:
-                yield self._flush(key, held)
-                held = []
-        self._hold(held)
-
-    def passed(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        held = self._held() if self.span else []
-        if held and watermark >= held[0][0] + self.span:
-            yield self._flush(key, held)
-            self._hold([])
+    def timed(self) -> bool:
+        return bool(self.idle or self.span)
 
-    def forget(self, key) -> Iterator[pd.DataFrame]:
-        held = self._held()
-        if held:
-            yield self._flush(key, held)
-        self.buffer.clear()
-        self.flushed.clear()
+    def _wakes(self, entry: dict, waits: bool) -> list[int]:
+        held = entry["state"].get("held")
+        return super()._wakes(entry, waits) + ([held[0][0] + self.span] if self.span and held else [])
+
+    def table(self, items: list) -> pd.DataFrame:
+        return pd.concat(items, ignore_index=True)
 
 
 def event_windows(
@@ -320,7 +371,7 @@ def event_windows(
     ``output`` is the schema of (key, window, processed columns). An open window is held; after a pause of ``idle`` seconds
     it is flushed short, and the key's numbers start again.
     """
-    build = lambda *base: EventWindows(*base, columns=fields, size=size, seconds=seconds, processors=processors, idle=idle)
+    build = lambda *base: EventWindows(*base, key=key, values=fields, size=size, seconds=seconds, processors=processors, idle=idle)
     return in_event_order(df, key, ts, order, [col(c) for c in fields], watermark, build, output)
 
 
@@ -345,24 +396,17 @@ def trailing_z(values: np.ndarray, begin: int, window: int, min_rows: int) -> np
 class TrailingScore(EventOrdered):
     """Largest |z| of each event against the last ``window`` events of its key, kept as a ring of values."""
 
-    def __init__(self, *base, columns: int, row_id: str, window: int, min_rows: int, idle: int | None):
+    def __init__(self, *base, values: int, window: int, min_rows: int, idle: int | None):
         super().__init__(*base, idle)
-        self.columns, self.row_id, self.window, self.min_rows = columns, row_id, window, min_rows
+        self.values, self.window, self.min_rows = values, window, min_rows
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", T.StructType([T.StructField(f"c{i}", T.ArrayType(T.DoubleType())) for i in range(self.columns)]))
-
-    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        past = np.array([list(v) for v in self.ring.get()], dtype=float) if self.ring.exists() else np.empty((self.columns, 0))
-        fresh = np.array([[np.nan if r[2 + i] is None else r[2 + i] for r in rows] for i in range(self.columns)], dtype=float)
+    def step(self, key, state: dict, rows: list[tuple]) -> Iterator[tuple]:
+        past = state.get("ring", np.empty((self.values, 0)))
+        fresh = np.array([[np.nan if r[2 + i] is None else r[2 + i] for r in rows] for i in range(self.values)], dtype=float)
         values = np.hstack([past, fresh])
         scores = trailing_z(values, past.shape[1], self.window, self.min_rows)
-        self.ring.update(tuple(list(map(float, v[-self.window :])) for v in values))
-        yield pd.DataFrame({self.key: key[0], self.row_id: [r[1] for r in rows], "score": scores})
-
-    def forget(self, key) -> Iterator[pd.DataFrame]:
-        self.ring.clear()
-        return iter(())
+        state["ring"] = values[:, -self.window :].copy()
+        yield from ((key, r[1], x) for r, x in zip(rows, scores.tolist()))
 
 
 def anomaly_scores(
@@ -382,7 +426,7 @@ def anomaly_scores(
     types = {c: df.schema[c].dataType.simpleString() for c in (key, row_id)}
     output = f"{key} {types[key]}, {row_id} {types[row_id]}, score double"
     fields = [col(row_id), *[col(c).cast("double") for c in columns]]
-    build = lambda *base: TrailingScore(*base, columns=len(columns), row_id=row_id, window=window, min_rows=min_rows, idle=idle)
+    build = lambda *base: TrailingScore(*base, [key, row_id, "score"], values=len(columns), window=window, min_rows=min_rows, idle=idle)
     scored = in_event_order(df, key, ts, order, fields, watermark, build, output)
     return scored.withColumn("is_anomaly", (F.col("score") > threshold).cast("int"))
 
@@ -394,23 +438,14 @@ class LastOutcomes(EventOrdered):
         super().__init__(*base, idle)
         self.last, self.min_labelled, self.baseline, self.tolerance = last, min_labelled, baseline, tolerance
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
+    def step(self, key, state: dict, rows: list[tuple]) -> Iterator[tuple]:
         # 1 right, 0 wrong, -1 not labelled
-        self.log = handle.getValueState("log", T.StructType([T.StructField("outcomes", T.ArrayType(T.IntegerType()))]))
-
-    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        held = list(self.log.get()[0]) if self.log.exists() else []
-        held = (held + [int(r[1]) for r in rows])[-self.last :]
-        self.log.update((held,))
-        labelled = [x for x in held if x >= 0]
+        state["log"] = (state.get("log", []) + [int(r[1]) for r in rows])[-self.last :]
+        labelled = [x for x in state["log"] if x >= 0]
         enough = len(labelled) >= self.min_labelled
         accuracy = sum(labelled) / len(labelled) if enough else None
         alert = bool(enough and self.baseline - accuracy > self.tolerance)
-        yield pd.DataFrame({self.key: [key[0]], "upto": [rows[-1][0]], "labelled": [len(labelled)], "accuracy": [accuracy], "alert": [alert]})
-
-    def forget(self, key) -> Iterator[pd.DataFrame]:
-        self.log.clear()
-        return iter(())
+        yield key, rows[-1][0], len(labelled), accuracy, alert
 
 
 def live_accuracy(
@@ -433,40 +468,32 @@ def live_accuracy(
     """
     output = f"{key} {df.schema[key].dataType.simpleString()}, upto bigint, labelled bigint, accuracy double, alert boolean"
     outcome = F.when(col(actual).isNull(), F.lit(-1)).otherwise(col(prediction).eqNullSafe(col(actual)).cast("int"))
-    build = lambda *base: LastOutcomes(*base, last=last, min_labelled=min_labelled, baseline=baseline, tolerance=tolerance, idle=idle)
+    columns = [key, "upto", "labelled", "accuracy", "alert"]
+    build = lambda *base: LastOutcomes(*base, columns, last=last, min_labelled=min_labelled, baseline=baseline, tolerance=tolerance, idle=idle)
     return in_event_order(df, key, ts, order, [outcome], watermark, build, output)
 
 
 class RunningFeatures(EventOrdered):
     """Events so far, and sums and averages of the values of a key, one row whenever the watermark passes events."""
 
-    def __init__(self, *base, values: list[str], idle: int | None):
+    def __init__(self, *base, values: int, idle: int | None):
         super().__init__(*base, idle)
         self.values = values
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "events bigint, sums array<double>")
-
-    def step(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        events, sums = self.total.get() if self.total.exists() else (0, [0.0] * len(self.values))
+    def step(self, key, state: dict, rows: list[tuple]) -> Iterator[tuple]:
+        events, sums = state.get("total", (0, [0.0] * self.values))
         events += len(rows)
-        sums = [float(s) + sum(r[1 + i] or 0.0 for r in rows) for i, s in enumerate(sums)]
-        self.total.update((events, sums))
-        made = {self.key: [key[0]], "upto": [rows[-1][0]], "events": [events]}
-        for c, s in zip(self.values, sums):
-            made |= {f"{c}_sum": [s], f"{c}_avg": [s / events]}
-        yield pd.DataFrame(made)
-
-    def forget(self, key) -> Iterator[pd.DataFrame]:
-        self.total.clear()
-        return iter(())
+        sums = [s + sum(r[1 + i] or 0.0 for r in rows) for i, s in enumerate(sums)]
+        state["total"] = (events, sums)
+        yield key, rows[-1][0], events, *[x for s in sums for x in (s, s / events)]
 
 
 def event_features(df: DataFrame, key: str, values: list[str], ts: str, order: list[str], watermark: str, idle: int | None = None) -> DataFrame:
     """Append-mode twin of ``running_features``: (key, upto, events, c_sum, c_avg); a key silent for ``idle`` seconds starts anew."""
     output = f"{key} {df.schema[key].dataType.simpleString()}, upto bigint, events bigint, " + ", ".join(f"{c}_sum double, {c}_avg double" for c in values)
     fields = [col(c).cast("double") for c in values]
-    build = lambda *base: RunningFeatures(*base, values=values, idle=idle)
+    columns = [key, "upto", "events", *[f"{c}_{x}" for c in values for x in ("sum", "avg")]]
+    build = lambda *base: RunningFeatures(*base, columns, values=len(values), idle=idle)
     return in_event_order(df, key, ts, order, fields, watermark, build, output)
 
 

@@ -123,6 +123,23 @@ def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
     assert O.late_rows(q) == 1 and max(r["events"] for r in seen) == 4
 
 
+def test_state_is_held_by_buckets_of_keys(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    n = O.BUCKETS * 4
+    part(spark, folder, "a", [(i, str(i % (n // 2)), i, i) for i in range(n)])
+    part(spark, folder, "b", [CLOSE])
+    # keys that are null and NaN stay apart from each other and from the others, though pandas shows both as null
+    name = F.when(F.col("k") == "1", F.lit(float("nan"))).when(F.col("k") != "2", F.expr("try_cast(k AS double)"))
+    made = O.event_features(stream(spark, folder).filter("k IS NOT NULL").withColumn("k", name), "k", ["v"], "ts", ["id"], "1 hour")
+    seen = []
+    q = S.for_each_batch(made.selectExpr("CAST(k AS string) AS k", "events", "v_sum"), lambda batch, _: seen.extend(batch.collect()), str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    got = sorted((r["k"] or "", r["events"], r["v_sum"]) for r in seen)
+    assert got == sorted(("" if k in (1, 2) else f"{k}.0", 2, 2.0 * k + n // 2) for k in range(n // 2))
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress]
+    assert max(held) < n
+
+
 def test_a_pause_starts_a_key_anew(spark, tmp_path):
     folder = str(tmp_path / "in")
     part(spark, folder, "a", [(1, "x", 1, 1), (2, "x", 5, 2), (3, "x", 500, 4)])
