@@ -12,6 +12,8 @@ from .similarity import saved
 
 # letters, numbers and underscore of any script; everything else separates tokens
 SEPARATOR = r"[^\p{L}\p{N}_]+"
+#: tables of at most so many terms are broadcast
+LOOKUP_ROWS = 100_000
 ARABIC = r"[^\x{0600}-\x{06FF}]"
 
 
@@ -120,34 +122,63 @@ def terms(c: str, ngrams: int, stop: list[str]) -> Column:
     return F.concat(words, pairs)
 
 
+def _pairs(df: DataFrame, keys: list[str], column: str, stop: list[str]) -> DataFrame:
+    """(keys, __w, __n): each word and the one that follows it, null behind the last."""
+    worded = df.select(*[col(k) for k in keys], terms(column, 1, stop).alias("__w"))
+    following = F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0)))
+    zipped = worded.withColumn("__n", following).select(*keys, F.explode(F.arrays_zip("__w", "__n")).alias("z"))
+    return zipped.select(*keys, "z.__w", "z.__n")
+
+
+def _joined() -> Column:
+    return F.concat(F.col("__w"), F.lit(" "), F.col("__n"))
+
+
 def term_rows(df: DataFrame, key: str, column: str, ngrams: int, stop: list[str]) -> DataFrame:
     """(key, term), one row per occurrence; pairs are formed after the explode, inside generated code."""
-    worded = df.select(col(key), terms(column, 1, stop).alias("__w"))
     if ngrams == 1:
-        return worded.select(key, F.explode("__w").alias("term"))
-    following = F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0)))
-    zipped = worded.withColumn("__n", following).select(key, F.explode(F.arrays_zip("__w", "__n")).alias("z"))
-    both = F.array(F.col("z.__w"), F.concat(F.col("z.__w"), F.lit(" "), F.col("z.__n")))
-    return zipped.select(key, F.explode(both).alias("term")).filter(F.col("term").isNotNull())
+        return df.select(col(key), F.explode(terms(column, 1, stop)).alias("term"))
+    both = F.array(F.col("__w"), _joined())
+    return _pairs(df, [key], column, stop).select(key, F.explode(both).alias("term")).filter(F.col("term").isNotNull())
+
+
+def frequent_terms(df: DataFrame, column: str, ngrams: int, k: int, stop: list[str]) -> DataFrame:
+    """(term): the ``k`` terms of highest corpus count, ties by term.
+
+    A pair is no more frequent than its words. With the count of the k-th word as a bound, only pairs of two words that reach
+    it can be among the k, so no other pair is counted: k words at that count or above are there already.
+    """
+    words = saved(df.select(F.explode(terms(column, 1, stop)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "words")
+    best = words.orderBy(F.desc("n"), "term").limit(k)
+    if ngrams == 1:
+        return best.select("term")
+    # at most k rows, and those words that tie with the last of them
+    low = best.agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("low")).first()
+    bound = low["low"] if low["rows"] == k else 0
+    common = words.filter(F.col("n") >= F.lit(bound)).select(F.col("term").alias("__w"))
+    # many words tie only where most are rare; Spark then sees the size at run time
+    small = F.broadcast if common.count() <= LOOKUP_ROWS else lambda x: x
+    pairs = _pairs(df, [], column, stop).join(small(common), "__w").join(small(common.withColumnRenamed("__w", "__n")), "__n")
+    counted = pairs.groupBy("__w", "__n").agg(F.count(F.lit(1)).alias("n")).select(_joined().alias("term"), "n")
+    return words.unionByName(counted).groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(k).select("term")
 
 
 def tfidf(df: DataFrame, key: str, column: str, ngrams: int = 1, max_features: int | None = None, stop: list[str] | None = None) -> DataFrame:
     """(key, term, tf, df, weight): count * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
 
-    ``max_features`` keeps the terms of highest corpus count (ties by term).
+    ``max_features`` keeps the terms of highest corpus count (ties by term); then only those are counted by document.
     """
     stop = lexicon.STOP_EN if stop is None else stop
     n = df.filter(col(column).isNotNull()).count()
-    # written once: the vocabulary and the join read the counts, not the texts again
-    counts = saved(term_rows(df, key, column, ngrams, stop).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "tfidf")
-    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("__total"))
+    rows = term_rows(df, key, column, ngrams, stop)
+    small = F.broadcast if max_features and max_features <= LOOKUP_ROWS else lambda x: x
     if max_features:
-        vocabulary = vocabulary.orderBy(F.desc("__total"), "term").limit(max_features).drop("__total")
-        joined = counts.join(vocabulary, "term")
-    else:
-        joined = counts.join(vocabulary.drop("__total"), "term")
+        rows = rows.join(small(saved(frequent_terms(df, column, ngrams, max_features, stop), "terms")), "term")
+    # written once: the vocabulary and the join read the counts, not the texts again
+    counts = saved(rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "tfidf")
+    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.col("tf") * (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
-    joined = joined.withColumn("__raw", raw)
+    joined = counts.join(small(vocabulary), "term").withColumn("__raw", raw)
     # a document's terms are bounded by the document itself
     norm = F.sqrt(F.sum(F.col("__raw") * F.col("__raw")).over(Window.partitionBy(key)))
     return joined.select(key, "term", "tf", "df", (F.col("__raw") / norm).alias("weight"))

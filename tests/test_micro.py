@@ -283,3 +283,19 @@ def test_empty_table_profiles(spark):
     assert over["rows"] == 0 and over["missing_pct"] == 0.0
     assert A.describe(df).first()["count"] == 0
     assert A.histogram(df, "a").count() == 0
+
+
+@pytest.mark.parametrize("texts, k", [(["a1 b1 c1 a1 b1", "a1 b1 d1", None, "c1 c1 d1 e1 a1 b1", "b1", ""], 4), (["aa bb cc", "cc dd", "ee ff"], 5), (["aa bb"], 50)])
+def test_tfidf_counts_the_kept_terms_alone(spark, monkeypatch, texts, k):
+    from collections import Counter
+
+    kept = {}
+    plain = N.saved
+    monkeypatch.setattr(N, "saved", lambda df, label: kept.setdefault(label, plain(df, label)))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {(r["i"], r["term"]): (r["tf"], r["df"]) for r in N.tfidf(df, "i", "t", ngrams=2, max_features=k, stop=[]).collect()}
+    grams = {i: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for i, w in ((i, (t or "").split()) for i, t in enumerate(texts))}
+    total = sum(grams.values(), Counter())
+    terms = sorted(total, key=lambda t: (-total[t], t))[:k]
+    assert got == {(i, t): (g[t], sum(t in o for o in grams.values())) for i, g in grams.items() for t in terms if t in g}
+    assert kept["tfidf"].count() == len(got)
