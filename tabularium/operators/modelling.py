@@ -72,7 +72,8 @@ def with_target(df: DataFrame, target: str, problem: str) -> DataFrame:
     """Adds ``__y``: the class number, joined, or the number itself; rows without target go."""
     known = df.filter(col(target).isNotNull())
     if problem == "classification":
-        return join_lookup(known, target_codes(known, target), [target], "inner")
+        # a model holds numbers for each class, so their table is small; a shuffle by class would put each class into one task
+        return join_lookup(known, F.broadcast(target_codes(known, target)), [target], "inner")
     return known.withColumn("__y", col(target).cast("double"))
 
 
@@ -140,7 +141,7 @@ class TabularModel:
             if threshold is not None:
                 out = out.withColumn("prediction", (F.col("probability_1") >= threshold).cast("double"))
         out = out.drop("features", "rawPrediction", "probability")
-        return out if self.classes is None else join_lookup(out, self.classes, ["prediction"])
+        return out if self.classes is None else join_lookup(out, F.broadcast(self.classes), ["prediction"])
 
     def save(self, path: str) -> None:
         self.fitted.write().overwrite().save(f"{path}/pipeline")
@@ -693,7 +694,7 @@ def auto_train(
     options: dict = {"labelCol": "__y", "featuresCol": "features"}
     if balance and problem == "classification":
         weights = monitoring.class_balance(train, "__y").select(F.col("class").alias("__y"), F.col("weight").alias("__weight"))
-        ready = join_lookup(ready, weights, ["__y"])
+        ready = join_lookup(ready, F.broadcast(weights), ["__y"])
         options["weightCol"] = "__weight"
     ready = ready.persist()
     names = models or (["random_forest", "logistic_regression", "decision_tree"] if problem == "classification" else ["random_forest", "ridge", "decision_tree"])
@@ -714,7 +715,7 @@ def auto_train(
     table = importances(model, feature_names(ready), df.sparkSession) if has_weights else None
     kept = scored.select(col(key), col(target), "prediction")
     if problem == "classification":
-        kept = join_lookup(kept, target_codes(df, target).withColumnsRenamed({target: "class", "__y": "prediction"}), ["prediction"])
+        kept = join_lookup(kept, F.broadcast(target_codes(df, target)).withColumnsRenamed({target: "class", "__y": "prediction"}), ["prediction"])
     split.unpersist()
     return TrainingReport(problem, chosen, best, fitted, preprocess, board, table, kept)
 
@@ -744,7 +745,7 @@ def text_race(df: DataFrame, text: str, label: str, key: str, features: int = 1
     ]
     train, hold = split.filter("split = 'train'"), split.filter("split = 'test'")
     prep = Pipeline(stages=stages).fit(train)
-    ready, ready_hold = prep.transform(train).persist(), prep.transform(hold).persist()
+    ready, ready_hold = (prep.transform(side).select("__y", "features").persist() for side in (train, hold))
     names = models or ["naive_bayes", "logistic_regression", "linear_svc", "random_forest"]
     _, board = race(ready, ready_hold, {n: build("classification", n, labelCol="__y", featuresCol="features") for n in names}, "__y", "classification")
     ready.unpersist()

@@ -114,7 +114,8 @@ def _class_ranks(df: DataFrame, target: str, key: str, seed: int) -> DataFrame:
     """Row position inside its class in a reproducible random order, with the class size."""
     ranked = row_numbers(df.withColumn("__h", _hash_order(key, seed)), [target], ["__h", key], "__rn")
     sizes = df.groupBy(col(target)).agg(F.count(F.lit(1)).alias("__size"))
-    return join_lookup(ranked, sizes, [target], null_safe=True).drop("__h")
+    # one row a class: a shuffle by class would put each class into one task
+    return join_lookup(ranked, F.broadcast(sizes), [target], null_safe=True).drop("__h")
 
 
 #: copies of one row that one task makes

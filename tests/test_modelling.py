@@ -165,3 +165,19 @@ def test_normal_scores_of_exact_ranks(spark, small_groups):
     share = (ranks - 1) / (ranks.count() - 1)
     want = [np.nan if np.isnan(p) else NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)) for p in share]
     np.testing.assert_allclose(got, want, atol=1e-9)
+
+
+def test_classes_are_numbered_without_a_shuffle_of_the_rows(spark):
+    df = spark.range(4000, numPartitions=8).selectExpr("id", "CAST(id % 2 AS string) AS label", "CAST(id AS double) AS x")
+    adaptive = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = ML.with_target(df, "label", "classification").persist()
+        sizes = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        made.unpersist()
+        assert len(sizes) == 8 and max(sizes) == 500
+        model = ML.TabularModel("classification", "decision_tree", ["x"]).fit(df)
+        plan = model.predict(df)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", adaptive)
