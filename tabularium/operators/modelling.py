@@ -512,9 +512,16 @@ def learning_curve(train: DataFrame, test: DataFrame, estimator: Estimator, key:
     """(share, rows, train_score, test_score) on growing hash-threshold subsets."""
     score = evaluator(problem, label)
     bucket = F.pmod(F.xxhash64(F.lit(7), col(key)), F.lit(1_000_000))
+    columns = list(train.columns)
+    if hasattr(estimator, "getFeaturesCol"):
+        weight = [estimator.getWeightCol()] if estimator.hasParam("weightCol") and estimator.isSet("weightCol") else []
+        columns = list(dict.fromkeys([estimator.getFeaturesCol(), label, *weight]))
+    # written once: every fit and every score reads these rows, not the joins behind them
+    train = similarity.saved(train.select(*[col(c) for c in columns], bucket.alias("__bucket")), "curve-train")
+    test = similarity.saved(test.select(*[col(c) for c in columns]), "curve-test")
     rows = []
     for i in range(1, sizes + 1):
-        part = train.filter(bucket < 1_000_000 * i // sizes)
+        part = train.filter(F.col("__bucket") < 1_000_000 * i // sizes).drop("__bucket")
         n = part.count()
         if n == 0:
             continue

@@ -181,3 +181,19 @@ def test_classes_are_numbered_without_a_shuffle_of_the_rows(spark):
         assert "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", adaptive)
+
+
+def test_learning_curve_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x % 7)
+
+    df = spark.range(1000).select("id", F.col("id").cast("double").alias("y"), counted("id").alias("x"))
+    ready = ML.assemble(df, ["x"])
+    curve = ML.learning_curve(ready.filter("id < 800"), ready.filter("id >= 800"), ML.build("regression", "linear_regression", labelCol="y"), "id", "y", "regression", sizes=3).collect()
+    assert [r["share"] for r in curve] == [1 / 3, 2 / 3, 1.0] and curve[-1]["rows"] == 800
+    # each row is made once; the plan calls the function twice a row
+    assert seen.value <= 2000
