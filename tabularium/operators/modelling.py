@@ -463,10 +463,11 @@ def permutation_importance(model: Transformer, df: DataFrame, columns: list[str]
     return df.sparkSession.createDataFrame([(c, v, abs(v) / total) for c, v in rows], "feature string, importance double, share double")
 
 
-def partial_dependence(model: Transformer, df: DataFrame, column: str, points: int = 20, class_number: int = 1) -> DataFrame:
+def partial_dependence(model: Transformer, df: DataFrame, column: str, points: int = 20, class_number: int = 1, inputs: list[str] | None = None) -> DataFrame:
     """(value, average): mean prediction over all rows with the column set to each grid value between p5 and p95.
 
-    For a classifier it is the mean probability of one class.
+    For a classifier it is the mean probability of one class. ``inputs`` names the columns the model reads: rows that agree in
+    all of them but ``column`` are scored once and count as often as they occur.
     """
     distinct = [r[0] for r in df.select(col(column).cast("double")).distinct().limit(points + 1).collect()]
     if len(distinct) <= points:
@@ -475,10 +476,16 @@ def partial_dependence(model: Transformer, df: DataFrame, column: str, points: i
         q = quantiles(df, [column], [0.05, 0.95])[column]
         step = (q[0.95] - q[0.05]) / (points - 1)
         grid = [q[0.05] + step * i for i in range(points)]
-    spread = df.withColumn(column, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
+    if inputs is None:
+        rows = df.withColumn("__times", F.lit(1))
+    else:
+        rows = df.groupBy(*[col(c) for c in inputs if c != column]).agg(F.count(F.lit(1)).alias("__times"))
+    spread = rows.withColumn(column, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
     scored = model.transform(spread)
     value = F.get(vector_to_array("probability"), F.lit(class_number)) if "probability" in scored.columns else F.col("prediction")
-    return scored.groupBy(col(column).alias("value")).agg(F.avg(value).alias("average")).orderBy("value")
+    # a null prediction counts for nothing, as in a plain mean
+    average = F.sum(value * F.col("__times")) / F.sum(F.when(value.isNotNull(), F.col("__times")))
+    return scored.groupBy(col(column).alias("value")).agg(average.alias("average")).orderBy("value")
 
 
 def what_if(model: Transformer, df: DataFrame, key: str, changes: dict) -> DataFrame:

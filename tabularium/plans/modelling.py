@@ -186,7 +186,7 @@ def _(t: Tables):
 
 @query("m15_partial_dependence")
 def _(t: Tables):
-    return ML.partial_dependence(price_model(t).fitted, priced(t), "l_quantity")
+    return ML.partial_dependence(price_model(t).fitted, priced(t), "l_quantity", inputs=PRICE_FEATURES)
 
 
 @query("m17_what_if")

@@ -46,6 +46,22 @@ def test_linear_model_explanations(table):
     assert len(grid) == 20 and grid[0]["average"] < grid[-1]["average"]
 
 
+def test_partial_dependence_scores_equal_inputs_once(spark):
+    rows = spark.range(300).select("id", (F.col("id") % 30).cast("double").alias("a"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).cast("double").alias("b"))
+
+    class Model:
+        def transform(self, df):
+            self.scored = df.withColumn("prediction", F.when(F.col("a") < 28, F.col("a") * 2 + F.coalesce("b", F.lit(7.0))))
+            return self.scored
+
+    model = Model()
+    plain = ML.partial_dependence(model, rows, "a").collect()
+    assert model.scored.count() == 300 * 20
+    got = ML.partial_dependence(model, rows, "a", inputs=["a", "b"]).collect()
+    assert model.scored.count() == 4 * 20 and [r["value"] for r in got] == [r["value"] for r in plain]
+    assert all(x["average"] == pytest.approx(y["average"]) for x, y in zip(got, plain))
+
+
 def test_auto_train_and_vote(table):
     report = ML.auto_train(table, "label", "id", ["a", "noise"], ["c"], models=["decision_tree", "logistic_regression"], vote=2)
     assert report.problem == "classification" and report.leaderboard.agg(F.max("score")).first()[0] > 0.9
