@@ -441,16 +441,20 @@ def l1_selection(df: DataFrame, columns: list[str], target: str, k: int | None =
     return ranked[:k] if k else ranked
 
 
-def permutation_importance(model: Transformer, df: DataFrame, columns: list[str], key: str, label: str, problem: str, seed: int = 42) -> DataFrame:
+def permutation_importance(model: Transformer, df: DataFrame, columns: list[str], key: str, label: str, problem: str, seed: int = 42, inputs: list[str] | None = None) -> DataFrame:
     """(feature, importance, share): loss of the score when one column is shuffled.
 
     Rows are numbered once, in a hashed order of the unique ``key``, and each gets the columns of the row a fixed number of
-    places further round: one order and one join for all columns, written once, then one evaluation a column.
+    places further round: one order and one join for all columns, written once, then one evaluation a column. ``inputs``
+    names the columns the model reads: other ones are not moved, nor is the key once rows are numbered.
     """
     score = evaluator(problem, label)
-    base = score.evaluate(model.transform(df))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), col(key).cast("string")))
-    numbered = row_numbers(df.withColumn("__h", order), [], ["__h", key], "__rn").drop("__h")
+    kept = df.columns if inputs is None else [c for c in df.columns if c in {*inputs, *columns, label}]
+    df = df.select(*[col(c) for c in dict.fromkeys([*kept, key])])
+    base = score.evaluate(model.transform(df.select(*[col(c) for c in kept])))
+    # the digest's bytes sort like its digits and are half as long
+    order = F.unhex(F.md5(F.concat_ws("|", F.lit(str(seed)), col(key).cast("string"))))
+    numbered = row_numbers(df.withColumn("__h", order), [], ["__h", key], "__rn").select(*[col(c) for c in kept], "__rn")
     n = df.count()
     step = 1 + random.Random(seed).randrange(max(1, n - 1))
     other = numbered.select((F.pmod(F.col("__rn") - 1 + F.lit(step), F.lit(max(1, n))) + 1).alias("__rn"), F.struct(*[col(c).alias(f"v{i}") for i, c in enumerate(columns)]).alias("__other"))
@@ -458,7 +462,7 @@ def permutation_importance(model: Transformer, df: DataFrame, columns: list[str]
     mixed = numbered.join(other, "__rn").checkpoint()
     rows = []
     for i, c in enumerate(columns):
-        rows.append((c, float(base - score.evaluate(model.transform(mixed.withColumn(c, F.col(f"__other.v{i}")).select(*[col(x) for x in df.columns]))))))
+        rows.append((c, float(base - score.evaluate(model.transform(mixed.withColumn(c, F.col(f"__other.v{i}")).select(*[col(x) for x in kept]))))))
     total = sum(abs(v) for _, v in rows) or 1.0
     return df.sparkSession.createDataFrame([(c, v, abs(v) / total) for c, v in rows], "feature string, importance double, share double")
 

@@ -181,7 +181,7 @@ def _(t: Tables):
 
 @query("m14_permutation_importance")
 def _(t: Tables):
-    return ML.permutation_importance(price_model(t).fitted, priced(t), ["l_quantity", "l_tax"], "key", "label", "regression")
+    return ML.permutation_importance(price_model(t).fitted, priced(t), ["l_quantity", "l_tax"], "key", "label", "regression", inputs=PRICE_FEATURES)
 
 
 @query("m15_partial_dependence")

@@ -46,6 +46,21 @@ def test_linear_model_explanations(table):
     assert len(grid) == 20 and grid[0]["average"] < grid[-1]["average"]
 
 
+def test_permutation_importance_moves_only_what_the_model_reads(table):
+    model = ML.TabularModel("regression", "linear_regression", ["a", "noise"], label="y").fit(table)
+    seen = []
+
+    class Spy:
+        def transform(self, df):
+            seen.append(df.columns)
+            return model.fitted.transform(df)
+
+    plain = ML.permutation_importance(model.fitted, table, ["a", "noise"], "id", "y", "regression").collect()
+    got = ML.permutation_importance(Spy(), table, ["a", "noise"], "id", "y", "regression", inputs=["a", "noise"]).collect()
+    assert [(r["feature"], r["importance"]) for r in got] == [(r["feature"], pytest.approx(r["importance"])) for r in plain]
+    assert len(seen) == 3 and all(sorted(c) == ["a", "noise", "y"] for c in seen)
+
+
 def test_partial_dependence_scores_equal_inputs_once(spark):
     rows = spark.range(300).select("id", (F.col("id") % 30).cast("double").alias("a"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).cast("double").alias("b"))
 
