@@ -76,10 +76,17 @@ def sketched(documents: DataFrame, coordinates: int, seed: int, id_col: str, tex
 
 
 def first_paths(classes: DataFrame, trees: int, branches: int, coordinates: int, seed: int) -> DataFrame:
-    """(sig, tree, node) of the first level, which takes other coordinates in every tree."""
+    """(sig, tree, node, cell) of the first level, which takes other coordinates in every tree.
+
+    A cell holds the classes of a node that share two more tokens. It is told from the sketch at hand, so no sketch is joined.
+    """
     order = random.Random(seed).sample(range(coordinates), coordinates)
     first = [(tree, order[(tree * branches + i) % coordinates]) for tree in range(trees) for i in range(branches)]
-    keys = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.lit(c), F.get("sketch", F.lit(c))).alias("node")) for t, c in first]
+    draw = random.Random(seed + 1)
+    tables = [[draw.randrange(coordinates) for _ in range(trees)] for _ in range(2)]
+    node = lambda t, c: F.xxhash64(F.lit(t), F.lit(c), F.get("sketch", F.lit(c)))
+    cell = lambda t, c: F.xxhash64(node(t, c), *[F.get("sketch", F.lit(table[t])) for table in tables])
+    keys = [F.struct(F.lit(t).alias("tree"), node(t, c).alias("node"), cell(t, c).alias("cell")) for t, c in first]
     return classes.select("sig", F.inline(F.array(*keys)))
 
 
@@ -97,12 +104,10 @@ def star_pairs(paths: DataFrame, classes: DataFrame, leaf: int, trees: int, coor
 
     A representative is the least or the largest class that shares two more tokens in the node, so every group inside a
     node has its own, and a class takes part in at most two pairs a node.
+    Cells come with the paths; ``trees`` and ``seed`` are those the paths were made with.
     """
-    draw = random.Random(seed + 1)
     crowded = paths.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > leaf)
-    tables = [F.array(*[F.lit(draw.randrange(coordinates)) for _ in range(trees)]) for _ in range(2)]
-    placed = paths.join(crowded, "node", "left_semi").join(classes, "sig")
-    cells = written(placed.select("sig", F.xxhash64("node", *[F.get("sketch", F.get(t, F.col("tree"))) for t in tables]).alias("cell")), "cells")
+    cells = written(paths.join(crowded, "node", "left_semi").select("sig", "cell"), "cells")
     ends = cells.groupBy("cell").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low < high")
     met = cells.join(ends, "cell")
     pairs = met.select(F.col("low").alias("a"), F.col("sig").alias("b")).union(met.select(F.col("sig").alias("a"), F.col("high").alias("b")))

@@ -222,3 +222,14 @@ def test_a_group_of_near_copies_takes_no_paths_once_folded(spark):
     placed = paths.join(homes.select(F.col("id").alias("sig"), "component"), "sig", "left").select("sig", "tree", "node", F.coalesce("component", "sig").alias("home"))
     leaves, blocks = chosen_path.grow(placed, classes, 6, 2, 32, 64, 8, 7, 512)
     assert leaves.count() == 0 and blocks.count() == 0
+
+
+def test_cells_come_with_the_paths_and_join_no_sketch(spark):
+    classes = spark.range(40).select(F.encode(F.col("id").cast("string"), "utf-8").alias("sig"), F.array(*[(F.xxhash64("id", F.lit(i)) % 2).cast("int") for i in range(64)]).alias("sketch"))
+    paths = chosen_path.first_paths(classes, 6, 2, 64, 7)
+    assert "Join" not in paths._jdf.queryExecution().toString()
+    rows = paths.collect()
+    # a cell lies in one node, and two tokens of two values part a node into at most four
+    assert len(rows) == 40 * 12 and len({(r["node"], r["cell"]) for r in rows}) == len({r["cell"] for r in rows})
+    assert all(len({r["cell"] for r in rows if r["node"] == node}) <= 4 for node in {r["node"] for r in rows})
+    assert all(len({r["cell"] for r in rows if r["node"] == node}) > 1 for node in {r["node"] for r in rows if sum(x["node"] == r["node"] for x in rows) > 10})
