@@ -225,7 +225,7 @@ def test_a_group_of_near_copies_takes_no_paths_once_folded(spark):
 
 
 def test_cells_come_with_the_paths_and_join_no_sketch(spark):
-    classes = spark.range(40).select(F.encode(F.col("id").cast("string"), "utf-8").alias("sig"), F.array(*[(F.xxhash64("id", F.lit(i)) % 2).cast("int") for i in range(64)]).alias("sketch"))
+    classes = spark.range(40).select(F.encode(F.col("id").cast("string"), "utf-8").alias("sig"), F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)).cast("int") for i in range(64)]).alias("sketch"))
     paths = chosen_path.first_paths(classes, 6, 2, 64, 7)
     assert "Join" not in paths._jdf.queryExecution().toString()
     rows = paths.collect()
