@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import modelling as ML
 from ..operators import monitoring as D
+from ..operators import similarity as SI
 from ..operators import timeseries as TS
 from ..operators import versioning as VR
 from ..streaming.sources import scratch_folder
@@ -16,17 +17,21 @@ NUMERIC = ["chars", "words", "digits", "symbols"]
 
 
 def graded(t: Tables):
-    """Labelled documents with simple numeric traits."""
+    """Labelled documents with simple numeric traits, written once: fits and scores read these rows, not the texts.
+
+    Traits are told before the join, so no text is shuffled.
+    """
     count = lambda p: F.length("text") - F.length(F.regexp_replace("text", p, ""))
-    return t.documents.join(t.labels, "doc_id").select(
+    traits = t.documents.select(
         "doc_id",
         "lang",
-        F.col("quality").alias("label"),
         F.length("text").alias("chars"),
         F.size(F.split("text", r"\s+")).alias("words"),
-        count(r"\d").alias("digits"),
-        count(r"[\p{L}\p{N}\s]").alias("symbols"),
+        count(r"\d+").alias("digits"),
+        count(r"[\p{L}\p{N}\s]+").alias("symbols"),
     )
+    rows = traits.join(t.labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return SI.saved(rows.select("doc_id", "lang", "label", *NUMERIC), "graded")
 
 
 def priced(t: Tables):
@@ -51,8 +56,9 @@ def price_model(t: Tables, name: str = "linear_regression"):
 
 @query("c13_preprocess")
 def _(t: Tables):
-    fitted = ML.fit_preprocess(graded(t), NUMERIC, ["lang"])
-    sized = fitted.transform(graded(t)).select("doc_id", ML.vector_to_array("features").alias("v"))
+    rows = graded(t)
+    fitted = ML.fit_preprocess(rows, NUMERIC, ["lang"])
+    sized = fitted.transform(rows).select("doc_id", ML.vector_to_array("features").alias("v"))
     return sized.select("doc_id", F.size("v").alias("slots"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 

@@ -228,3 +228,16 @@ def test_learning_curve_reads_its_rows_once(spark):
     assert [r["share"] for r in curve] == [1 / 3, 2 / 3, 1.0] and curve[-1]["rows"] == 800
     # each row is made once; the plan calls the function twice a row
     assert seen.value <= 2000
+
+
+def test_graded_rows_are_written_once(spark, tmp_path):
+    from tabularium.plans.modelling import graded
+    from tabularium.plans.registry import Tables
+
+    texts = [(1, "Ab 12  3\n x-y!", "en"), (2, "", "de"), (3, " é٣ ..\t", None), (4, None, "en"), (5, "unlabelled", "en")]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in (1, 2, 3, 4)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = graded(Tables(spark, str(tmp_path)))
+    # a fit reads these rows many times, so no plan over them goes back to the texts
+    assert not [f for f in rows.inputFiles() if "documents" in f]
+    assert sorted(map(tuple, rows.drop("lang").collect())) == [(1, 1, 14, 4, 3, 12), (2, 0, 0, 1, 0, 0), (3, 1, 7, 4, 0, 5), (4, 0, None, None, None, None)]
