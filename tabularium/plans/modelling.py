@@ -115,10 +115,10 @@ def _(t: Tables):
 
 @query("m07_fit_save_load_predict")
 def _(t: Tables):
-    path = scratch_folder(t.spark, "model")
-    ML.TabularModel("classification", "logistic_regression", NUMERIC, ["lang"]).fit(graded(t)).save(path)
+    rows, path = graded(t), scratch_folder(t.spark, "model")
+    ML.TabularModel("classification", "logistic_regression", NUMERIC, ["lang"]).fit(rows).save(path)
     loaded = ML.TabularModel.load(path, "classification", "logistic_regression", NUMERIC, ["lang"])
-    return loaded.predict(graded(t), threshold=0.5).select("doc_id", F.round("probability_1", 6).alias("probability_1"), "prediction")
+    return loaded.predict(rows, threshold=0.5).select("doc_id", F.round("probability_1", 6).alias("probability_1"), "prediction")
 
 
 @query("m08_cross_validation")
