@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pvalues
 from ..functions.guarded import array_sum, col, string_columns, wide_to_long
+from ..session import max_group_rows
 from .lookup import join_lookup
 from .ordered import row_numbers, running_totals
 from .relational import cross
@@ -212,9 +213,14 @@ def profile_similarity(df: DataFrame, columns: list[str]) -> DataFrame:
 def propagate(edges: DataFrame, nodes: DataFrame, src: str, dst: str, node: str, features: str) -> DataFrame:
     """(node, features): mean feature vector over a node and its neighbours, edges taken undirected and once."""
     dims = nodes.select(F.size(col(features)).alias("d")).agg(F.max("d").alias("d")).first()["d"]
-    a, b = edges.select(col(src).alias("__to"), col(dst).alias(node)), edges.select(col(dst).alias("__to"), col(src).alias(node))
-    loops = nodes.select(col(node).alias("__to"), col(node))
-    linked = a.unionByName(b).filter(F.col("__to") != col(node)).unionByName(loops).distinct()
+    a, b = col(src), col(dst)
+    pairs = edges.select(F.least(a, b).alias("__a"), F.greatest(a, b).alias("__b"), (a != b).alias("__apart")).filter("__apart").drop("__apart")
+    # an edge is told from its repeats once, not once a direction, and a task holds so many rows whatever their number
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // max_group_rows(edges.sparkSession)))
+    once = pairs.repartition(parts, "__a", "__b").distinct()
+    ends = [F.struct(F.col(x).alias("__to"), F.col(y).alias(node)) for x, y in (("__a", "__b"), ("__b", "__a"))]
+    loops = nodes.select(col(node).alias("__to"), col(node)).distinct()
+    linked = once.select(F.inline(F.array(*ends))).unionByName(loops)
     joined = linked.join(nodes.select(col(node), col(features).alias("__x")), node)
     means = F.array(*[F.avg(F.get("__x", F.lit(i)).cast("double")) for i in range(dims)])
     return joined.groupBy(F.col("__to").alias(node)).agg(means.alias(features))

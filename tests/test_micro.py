@@ -271,6 +271,19 @@ def test_propagate_small_graph(spark):
     assert got[0] == pytest.approx([(0 + 1 + 3) / 3, 1.0]) and got[2] == pytest.approx([2.0, 1.0])
 
 
+def test_propagate_deals_edges_by_their_number(spark, small_groups):
+    # 1,000 edges, each given twice in both directions, one loop, one open end, and a neighbour that is no node
+    ring = spark.range(1000).select(F.col("id").alias("src"), ((F.col("id") + 1) % 1000).alias("dst"))
+    odd = spark.createDataFrame([(5, 5), (7, None), (3, 5000)], "src bigint, dst bigint")
+    edges = ring.union(ring).union(ring.select("dst", "src")).union(odd)
+    nodes = spark.range(1000).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    made = D.propagate(edges, nodes, "src", "dst", "id", "x")
+    # 3,003 rows at 25 a task, whatever the session's number of partitions
+    assert "RepartitionByExpression [__a" in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and ", 121" in plan
+    got = {r["id"]: r["x"][0] for r in made.collect()}
+    assert len(got) == 1001 and got[5000] == 3.0 and got[3] == 3.0 and got[5] == 5.0 and got[0] == pytest.approx(1000 / 3)
+
+
 def test_fingerprint_ignores_order(spark):
     a = spark.range(100).withColumn("v", F.col("id") % 3)
     assert D.fingerprint(a).first() == D.fingerprint(a.orderBy(F.desc("id")).repartition(5)).first()
