@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,38 +177,34 @@ def semantic_types(df: DataFrame, binary_first: bool = False) -> DataFrame:
     categorical_numeric.
     """
     numeric, text = numeric_columns(df), string_columns(df)
+    parsed = {"numeric_string": lambda v: F.regexp_replace(v, CURRENCY, "").try_cast("double"), "datetime_string": lambda v: F.try_to_timestamp(v)}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         v = col(c)
-        if c in numeric or c in text:
-            aggs += [F.count(v).alias(f"n{i}"), F.count_distinct(v).alias(f"d{i}")]
         if c in text:
-            aggs += [
-                F.count(F.regexp_replace(v, CURRENCY, "").try_cast("double")).alias(f"num{i}"),
-                F.count(F.try_to_timestamp(v)).alias(f"ts{i}"),
-                F.count_if(v.rlike(r"@.*\.")).alias(f"mail{i}"),
-                F.count_if(v.rlike("http|www")).alias(f"url{i}"),
-            ]
-    blocks = {}
+            # a form all values must have is ruled out by one that has not; a failed parse costs far more than a passed one
+            ends = [(form(F.min(v)).isNotNull() & form(F.max(v)).isNotNull()).alias(f"{kind}{i}") for kind, form in parsed.items()]
+            aggs += [F.count(v).alias(f"n{i}"), F.count_if(v.rlike(r"@.*\.")).alias(f"mail{i}"), F.count_if(v.rlike("http|www")).alias(f"url{i}"), *ends]
+    seen, kinds = df.agg(*aggs).first(), {}
+    asked = [(i, c, kind) for i, c in enumerate(df.columns) if c in text for kind in parsed if seen[f"{kind}{i}"]]
+    all_of = df.agg(*[F.count(parsed[kind](col(c))).alias(f"{kind}{i}") for i, c, kind in asked]).first().asDict() if asked else {}
     for i, f in enumerate(df.schema.fields):
-        n, d = F.col(f"n{i}"), F.col(f"d{i}")
-        if f.name in numeric:
-            kind = F.when(d == F.col("rows"), "id").otherwise("numeric")
-            small = F.when(d <= 10, F.lit("categorical_numeric")).otherwise(kind)
-            kind = F.when(d == 2, F.lit("binary")).otherwise(small) if binary_first else small
-        elif f.name in text:
-            kind = (
-                F.when(F.col(f"num{i}") == n, "numeric_string")
-                .when(F.col(f"ts{i}") == n, "datetime_string")
-                .when(F.col(f"mail{i}") > n * 0.5, "email")
-                .when(F.col(f"url{i}") > n * 0.5, "url")
-                .when(d == n, "id")
-                .otherwise("categorical")
-            )
+        if f.name in text:
+            n = seen[f"n{i}"]
+            forms = {kind: n == 0 or all_of.get(f"{kind}{i}") == n for kind in parsed} | {"email": seen[f"mail{i}"] > n * 0.5, "url": seen[f"url{i}"] > n * 0.5}
+            kinds[f.name] = next((kind for kind, found in forms.items() if found), None)
         else:
-            kind = F.lit(f.dataType.simpleString())
-        blocks[f.name] = {"semantic_type": kind}
-    return wide_to_long(df.agg(*aggs), blocks)
+            kinds[f.name] = None if f.name in numeric else f.dataType.simpleString()
+    # values are counted only where a form has not decided, each column by itself: counted together, every row goes through once a column with all of them
+    counts = [df.agg(F.lit(c).alias("column"), F.count_distinct(col(c)).alias("d")) for c, kind in kinds.items() if kind is None]
+    found = {r["column"]: r["d"] for r in reduce(DataFrame.unionAll, counts).collect()} if counts else {}
+    for i, c in enumerate(df.columns):
+        if c in found and c in text:
+            kinds[c] = "id" if found[c] == seen[f"n{i}"] else "categorical"
+        elif c in found:
+            few = "binary" if binary_first and found[c] == 2 else "categorical_numeric"
+            kinds[c] = few if found[c] <= 10 else "id" if found[c] == seen["rows"] else "numeric"
+    return df.sparkSession.createDataFrame(list(kinds.items()), "column string, semantic_type string")
 
 
 # fixed values: column names never given a role

@@ -264,6 +264,19 @@ def test_as_of_join_with_nulls_and_ties(spark):
     assert S.as_of_join(left, numbers, ["k"], "ts", "ts", ["id"], ["tie"], ["x"]).filter("id = 1").first()["x"] == 2.0
 
 
+def test_semantic_types_of_odd_columns(spark, monkeypatch):
+    rows = [(str(i), f"{i}.5" if i != 4 else "4x", f"2024-01-0{i + 1}", "2024-01-01" if i != 3 else "3rd", None, f"k{i}", 0.0 if i % 2 else -0.0, "a@b.c" if i else None) for i in range(8)]
+    df = spark.createDataFrame(rows, "num string, broken string, day string, broken_day string, none string, code string, zero double, mail string")
+    counted, real = [], F.count_distinct
+    monkeypatch.setattr(F, "count_distinct", lambda c, *more: counted.append(c) or real(c, *more))
+    got = {r[0]: r[1] for r in P.semantic_types(df).collect()}
+    # the ends of both broken columns have the form, one value between them has not
+    assert got == {"num": "numeric_string", "broken": "id", "day": "datetime_string", "broken_day": "categorical", "none": "numeric_string", "code": "id", "zero": "categorical_numeric", "mail": "email"}
+    # values are counted only where no form has decided
+    assert len(counted) == 4
+    assert {r[1] for r in P.semantic_types(df.limit(0)).collect()} == {"numeric_string", "categorical_numeric"}
+
+
 def test_propagate_small_graph(spark):
     edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 3), (3, 0)], "src bigint, dst bigint")
     nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "id bigint, x array<double>")
