@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -142,10 +142,7 @@ def grow(
         to = F.when(F.col("mine") >= 0, F.array(F.col("mine"))).otherwise(F.sequence(F.lit(-1), F.col("parts") - 1))
         blocks.append(thin.select("node", F.lit(-1).alias("i"), F.explode(to).alias("j"), "mine", "sig", "home"))
         alike = F.lit(level == depth - 1) | (F.col("others") * 2 >= F.col("parent"))
-        parts = F.ceil(F.col("size") / block).cast("int")
-        dense = large.filter(~few & alike).withColumns({"parts": parts, "mine": F.pmod(F.xxhash64("sig"), parts).cast("int")})
-        met = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        blocks.append(met.select("node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sig", "home"))
+        blocks.append(dense_blocks(large.filter(~few & alike), block))
         rest = large.filter(~few & ~alike)
         if level == depth - 1 or rest.limit(1).count() == 0:
             break
@@ -158,6 +155,27 @@ def grow(
     return union(leaves), union(blocks)
 
 
+def dense_blocks(dense: DataFrame, block: int) -> DataFrame:
+    """(node, i, j, mine, sig, home): every two classes of a node meet in a group (i, j), unless they meet in another node.
+
+    Each class names the largest node that holds it. Classes of a node that name one other node meet there, as both name
+    it; the most numerous of these meet only the rest of the node, which is left out if there is none.
+    """
+    named = dense.withColumn("first", F.max(F.struct("size", "node")).over(Window.partitionBy("sig"))["node"])
+    done = named.filter("first != node").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
+    done = done.groupBy("node").agg(F.max(F.struct("n", "first")).alias("done"))
+    cut = lambda n: F.ceil(n / block).cast("int")
+    known, others = F.coalesce("done.n", F.lit(0)), F.col("size") - F.coalesce("done.n", F.lit(0))
+    spared = known * cut(others) + others * (cut(others) + cut(known)) < F.col("size") * cut(F.col("size"))
+    dealt = named.join(done, "node", "left").withColumn("known", F.when(spared, known).otherwise(0))
+    dealt = dealt.filter("size > known").withColumns({"few": cut(F.col("size") - F.col("known")), "many": cut(F.col("known"))})
+    apart = (F.col("known") > 0) & (F.col("first") == F.col("done.first"))
+    place = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+    dealt = dealt.withColumn("mine", F.when(apart, F.col("few") + place("many")).otherwise(place("few")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(apart, 0).otherwise(F.col("many")))))
+    return met.select("node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sig", "home")
+
+
 def leaf_pairs(leaves: DataFrame, classes: DataFrame, coordinates: int, floor: float) -> DataFrame:
     """Distinct pairs (a, b) of a leaf with different homes whose sketches agree in ``floor`` of the coordinates or more."""
 

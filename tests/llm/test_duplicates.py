@@ -233,3 +233,17 @@ def test_cells_come_with_the_paths_and_join_no_sketch(spark):
     assert len(rows) == 40 * 12 and len({(r["node"], r["cell"]) for r in rows}) == len({r["cell"] for r in rows})
     assert all(len({r["cell"] for r in rows if r["node"] == node}) <= 4 for node in {r["node"] for r in rows})
     assert all(len({r["cell"] for r in rows if r["node"] == node}) > 1 for node in {r["node"] for r in rows if sum(x["node"] == r["node"] for x in rows) > 10})
+
+
+def test_classes_that_met_in_one_dense_node_are_spared_in_another(spark):
+    held = {1: range(45), 2: range(2, 46), 3: range(5, 35), 4: [*range(20, 40), *range(50, 70)]}
+    rows = [(bytes([c]), node, bytes([c]), len(classes)) for node, classes in held.items() for c in classes]
+    dense = spark.createDataFrame(rows, "sig binary, node bigint, home binary, size bigint")
+    blocks = chosen_path.dense_blocks(dense, 8).collect()
+    met = set()
+    for a in blocks:
+        assert a["mine"] in (a["i"], a["j"])
+        met |= {frozenset((a["sig"], b["sig"])) for b in blocks if (a["node"], a["i"], a["j"]) == (b["node"], b["i"], b["j"]) and {a["mine"], b["mine"]} == {a["i"], a["j"]}}
+    assert all(frozenset((bytes([a]), bytes([b]))) in met for classes in held.values() for a in classes for b in classes if a != b)
+    # 854 rows if every block of a node meets every other
+    assert len(blocks) <= 500 and {r["node"] for r in blocks} == {1, 2, 4}
