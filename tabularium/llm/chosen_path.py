@@ -90,13 +90,21 @@ def first_paths(classes: DataFrame, trees: int, branches: int, coordinates: int,
     return classes.select("sig", F.inline(F.array(*keys)))
 
 
-def attach(pairs: DataFrame, table: DataFrame, value: str, side: str, other: str, heavy: int = 512) -> DataFrame:
-    """The pairs with ``value`` of one side, named by it; a class of more than ``heavy`` pairs is dealt over copies of its row."""
-    hot = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("parts")).filter("parts > 1")
-    salted = pairs.join(hot, side, "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("parts"))).cast("int")).drop("parts")
-    held = table.select(F.col("sig").alias(side), F.col(value).alias(f"{value}_{side}")).join(hot, side, "left")
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return salted.join(held, [side, "salt"]).drop("salt")
+def attach(pairs: DataFrame, table: DataFrame, value: str, heavy: int = 512) -> DataFrame:
+    """The pairs with ``value`` of both sides, ``value_a`` and ``value_b``; a class of more than ``heavy`` pairs is dealt over copies of its row.
+
+    Such classes are counted once for both sides and written, so neither join is planned again to count the other side.
+    """
+    sides = [F.struct(F.col(side).alias("sig"), F.lit(side).alias("side")) for side in "ab"]
+    counted = pairs.select(F.inline(F.array(*sides))).groupBy("sig", "side").agg(F.ceil(F.count(F.lit(1)) / heavy).cast("int").alias("parts"))
+    hot = written(counted.filter("parts > 1"), "hot")
+    for side, other in ("ab", "ba"):
+        own = hot.filter(F.col("side") == side).select(F.col("sig").alias(side), "parts")
+        salted = pairs.join(own, side, "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("parts"))).cast("int")).drop("parts")
+        held = table.select(F.col("sig").alias(side), F.col(value).alias(f"{value}_{side}")).join(own, side, "left")
+        held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        pairs = salted.join(held, [side, "salt"]).drop("salt")
+    return pairs
 
 
 def star_pairs(paths: DataFrame, classes: DataFrame, leaf: int, trees: int, coordinates: int, floor: float, seed: int) -> DataFrame:
@@ -112,7 +120,7 @@ def star_pairs(paths: DataFrame, classes: DataFrame, leaf: int, trees: int, coor
     met = cells.join(ends, "cell")
     pairs = met.select(F.col("low").alias("a"), F.col("sig").alias("b")).union(met.select(F.col("sig").alias("a"), F.col("high").alias("b")))
     pairs = written(pairs.filter("a < b").distinct(), "stars")
-    both = attach(attach(pairs, classes, "sketch", "a", "b"), classes, "sketch", "b", "a")
+    both = attach(pairs, classes, "sketch")
     agree = F.size(F.filter(F.arrays_zip("sketch_a", "sketch_b"), lambda t: t["sketch_a"] == t["sketch_b"]))
     return both.filter(agree >= floor * coordinates).select("a", "b")
 
@@ -126,7 +134,7 @@ def grow(
     classes outside the largest home of a node that has few of them.
     """
     draw = random.Random(seed)
-    leaves, blocks = [], []
+    leaves, thinned, dense = [], [], []
     paths = paths.withColumn("parent", F.lit(1 << 62))
     for level in range(depth):
         homes = paths.groupBy("node", "home").agg(F.count(F.lit(1)).alias("n"))
@@ -140,9 +148,9 @@ def grow(
         own = F.when(F.col("home") == F.col("top"), F.pmod(F.xxhash64("sig"), parts).cast("int")).otherwise(-1)
         thin = large.filter(few).withColumns({"mine": own, "parts": parts})
         to = F.when(F.col("mine") >= 0, F.array(F.col("mine"))).otherwise(F.sequence(F.lit(-1), F.col("parts") - 1))
-        blocks.append(thin.select("node", F.lit(-1).alias("i"), F.explode(to).alias("j"), "mine", "sig", "home"))
+        thinned.append(thin.select("node", F.lit(-1).alias("i"), F.explode(to).alias("j"), "mine", "sig", "home"))
         alike = F.lit(level == depth - 1) | (F.col("others") * 2 >= F.col("parent"))
-        blocks.append(dense_blocks(large.filter(~few & alike), block))
+        dense.append(large.filter(~few & alike).select("node", "sig", "home", "size"))
         rest = large.filter(~few & ~alike)
         if level == depth - 1 or rest.limit(1).count() == 0:
             break
@@ -152,7 +160,8 @@ def grow(
         child = F.xxhash64("node", "at", F.get("sketch", F.col("at"))).alias("node")
         paths = grown.select("sig", "home", "tree", child, F.col("others").alias("parent")).distinct()
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-    return union(leaves), union(blocks)
+    # the nodes of all levels are dealt at once: a plan of few joins, whatever the depth
+    return union(leaves), written(union(thinned).unionByName(dense_blocks(union(dense), block)), "blocks")
 
 
 def dense_blocks(dense: DataFrame, block: int) -> DataFrame:
@@ -161,7 +170,7 @@ def dense_blocks(dense: DataFrame, block: int) -> DataFrame:
     Each class names the largest node that holds it. Classes of a node that name one other node meet there, as both name
     it; the most numerous of these meet only the rest of the node, which is left out if there is none.
     """
-    named = dense.withColumn("first", F.max(F.struct("size", "node")).over(Window.partitionBy("sig"))["node"])
+    named = written(dense.withColumn("first", F.max(F.struct("size", "node")).over(Window.partitionBy("sig"))["node"]), "dense")
     done = named.filter("first != node").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
     done = done.groupBy("node").agg(F.max(F.struct("n", "first")).alias("done"))
     cut = lambda n: F.ceil(n / block).cast("int")
@@ -248,8 +257,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out_b.append(b)
             yield {"a": out_a, "b": out_b}
 
-    with_b = attach(attach(pairs, sets, "own", "a", "b"), sets, "own", "b", "a")
-    return map_arrow(with_b.select("a", "b", "own_a", "own_b"), run, "a binary, b binary")
+    return map_arrow(attach(pairs, sets, "own").select("a", "b", "own_a", "own_b"), run, "a binary, b binary")
 
 
 def block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +338,9 @@ def near_duplicates(
     pairs = written(leaf_pairs(leaves, classes, coordinates, floor), "pairs")
     needed = ends(pairs).union(blocks.select("sig")).distinct().join(folded, "sig", "left_anti")
     sets = folded.unionByName(full_sets(documents, written(needed, "needed"), text_col))
-    links = star_links.unionByName(confirm(pairs, sets, percent)).unionByName(block_links(blocks, sets, percent))
+    # each kind of links is written by itself, so the driver plans and runs the joins of one kind at a time
+    links = [star_links, written(confirm(pairs, sets, percent), "links"), written(block_links(blocks, sets, percent), "links")]
+    links = links[0].unionByName(links[1]).unionByName(links[2])
     parts = connected_components(links).select(F.col("id").alias("sig"), "component")
     joined = rows.select("doc_id", "key_a", "key_b", "n_shingles", "sig").join(parts, "sig", "left")
     group = F.coalesce("component", "sig")

@@ -247,3 +247,30 @@ def test_classes_that_met_in_one_dense_node_are_spared_in_another(spark):
     assert all(frozenset((bytes([a]), bytes([b]))) in met for classes in held.values() for a in classes for b in classes if a != b)
     # 854 rows if every block of a node meets every other
     assert len(blocks) <= 500 and {r["node"] for r in blocks} == {1, 2, 4}
+
+
+def test_hot_classes_are_counted_once_for_both_sides(spark):
+    table = spark.range(40).select(F.encode(F.col("id").cast("string"), "utf-8").alias("sig"), F.col("id").cast("int").alias("own"))
+    name = lambda c: F.encode(c.cast("string"), "utf-8")
+    pairs = spark.range(39).select(name(F.lit(0)).alias("a"), name(F.col("id") + 1).alias("b")).union(spark.range(1, 39).select(name(F.col("id")).alias("a"), name(F.lit(39)).alias("b")))
+    both = chosen_path.attach(pairs, table, "own", heavy=4)
+    assert sorted((int(r["a"]), int(r["b"]), r["own_a"], r["own_b"]) for r in both.collect()) == sorted([(0, i, 0, i) for i in range(1, 40)] + [(i, 39, i, 39) for i in range(1, 39)])
+    # a join with the value and two with the hot classes a side; no aggregation is left in the plan
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 6 and "Aggregate" not in plan
+
+
+def test_dense_nodes_of_all_levels_are_dealt_at_once(spark, monkeypatch):
+    # halves of two tokens at the first level, everything alike below
+    classes = spark.range(64).select(F.encode(F.col("id").cast("string"), "utf-8").alias("sig"), F.array(*[F.lit(1) for _ in range(64)]).alias("sketch"))
+    tokens = [F.struct(F.lit(0).alias("tree"), F.lit(5).cast("bigint").alias("node")), F.struct(F.lit(1).alias("tree"), (F.col("sig") < F.encode(F.lit("4"), "utf-8")).cast("bigint").alias("node"))]
+    paths = classes.select("sig", F.col("sig").alias("home"), F.inline(F.array(*tokens)))
+    dealt, deal = [], chosen_path.dense_blocks
+    monkeypatch.setattr(chosen_path, "dense_blocks", lambda dense, block: dealt.append(dense) or deal(dense, block))
+    leaves, blocks = chosen_path.grow(paths, classes, 2, 2, 4, 64, 3, 7, 8)
+    assert len(dealt) == 1 and dealt[0].select("node").distinct().count() > 2
+    rows, met = blocks.collect(), set()
+    for a in rows:
+        met |= {frozenset((a["sig"], b["sig"])) for b in rows if (a["node"], a["i"], a["j"]) == (b["node"], b["i"], b["j"]) and {a["mine"], b["mine"]} == {a["i"], a["j"]}}
+    assert leaves.count() == 0 and len({x for x in met if len(x) == 2}) == 64 * 63 // 2
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
