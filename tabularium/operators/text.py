@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions.guarded import col, string_columns, wide_to_long
 from .lookup import join_lookup
+from .ordered import row_numbers
 from .similarity import saved
 
 # letters, numbers and underscore of any script; everything else separates tokens
@@ -163,6 +164,28 @@ def frequent_terms(df: DataFrame, column: str, ngrams: int, k: int, stop: list[s
     return words.unionByName(counted).groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(k).select("term")
 
 
+def vocabulary(df: DataFrame, key: str, column: str, ngrams: int, k: int | None, stop: list[str]) -> DataFrame:
+    """(term): the ``k`` terms of highest corpus count, ties by term; all of them without ``k``.
+
+    For many terms, where most words are as rare as pairs: all are counted, and only those at the count of the k-th or above are
+    put in order, by ranges if they are many. ``frequent_terms`` would gather ``k`` rows of every task in one.
+    """
+    counted = saved(term_rows(df, key, column, ngrams, stop).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
+    if k is None:
+        return counted.select("term")
+    above, low = 0, 0
+    # one row for each different count
+    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("terms")).orderBy(F.desc("n")).collect():
+        above, low = above + r["terms"], r["n"]
+        if above >= k:
+            break
+    counted = counted.filter(F.col("n") >= low)
+    if above > k:
+        placed = row_numbers(counted.withColumn("__rare", -F.col("n")), [], ["__rare", "term"], "__place")
+        counted = placed.filter(F.col("__place") <= k)
+    return saved(counted.select("term"), "vocabulary")
+
+
 def tfidf(df: DataFrame, key: str, column: str, ngrams: int = 1, max_features: int | None = None, stop: list[str] | None = None) -> DataFrame:
     """(key, term, tf, df, weight): count * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
 

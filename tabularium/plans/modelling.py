@@ -303,7 +303,7 @@ def _(t: Tables):
 
 @query("n10_text_race")
 def _(t: Tables):
-    return ML.text_race(t.documents.join(t.labels, "doc_id"), "text", "quality", "doc_id", models=["naive_bayes", "logistic_regression", "linear_svc"])
+    return ML.text_race(t.documents.join(t.labels, "doc_id"), "text", "quality", "doc_id")
 
 
 @query("u04_scenario_callable")
