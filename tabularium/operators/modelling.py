@@ -789,8 +789,9 @@ def text_race(df: DataFrame, text: str, label: str, key: str, features: int | No
 
     def model(name: str) -> Estimator:
         if name == "random_forest":
-            # MLlib numbers the terms in no fixed order
-            return SparseForest(**options, key="__k", order=np.argsort(counter.vocabulary))
+            # MLlib numbers the terms in no fixed order; an array of strings would be as wide as the longest
+            terms = counter.vocabulary
+            return SparseForest(**options, key="__k", order=np.array(sorted(range(len(terms)), key=terms.__getitem__)))
         made = build("classification", name, **options)
         return made if two or name != "linear_svc" else MC.OneVsRest(classifier=made, **options)
 
